@@ -124,16 +124,16 @@ def words(message: Column) -> Column:
 def char_trigrams(message: Column) -> Column:
     """All overlapping runs of three characters; empty below three characters."""
     chars = F.filter(F.split(message, ""), lambda c: c != "")
-    pairs = F.zip_with(chars, F.slice(chars, 2, 2147483647), lambda a, b: F.concat(a, b))
-    triples = F.zip_with(pairs, F.slice(chars, 3, 2147483647), lambda a, b: F.concat(a, b))
+    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), F.size(chars)), lambda a, b: F.concat(a, b))
+    triples = F.zip_with(pairs, F.slice(chars, F.lit(3), F.size(chars)), lambda a, b: F.concat(a, b))
     return F.filter(triples, lambda t: t.isNotNull())
 
 
 def word_trigrams(message: Column) -> Column:
     tokens = words(message)
     space = F.lit(" ")
-    pairs = F.zip_with(tokens, F.slice(tokens, 2, 2147483647), lambda a, b: F.concat(a, space, b))
-    triples = F.zip_with(pairs, F.slice(tokens, 3, 2147483647), lambda a, b: F.concat(a, space, b))
+    pairs = F.zip_with(tokens, F.slice(tokens, F.lit(2), F.size(tokens)), lambda a, b: F.concat(a, space, b))
+    triples = F.zip_with(pairs, F.slice(tokens, F.lit(3), F.size(tokens)), lambda a, b: F.concat(a, space, b))
     return F.filter(triples, lambda t: t.isNotNull())
 
 

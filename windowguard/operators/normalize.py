@@ -77,7 +77,9 @@ def apply_minmax(df: DataFrame, stats: DataFrame, rules: dict[str, str]) -> Data
             )
         )
         if group is None:
-            ranges = [wide.select(f"_r{i}").scalar() for i in range(len(features))]
+            row = [f"_r{i}" for i in range(len(features))]
+            out = out.withColumn("_global", wide.select(F.struct(*row)).scalar())
+            ranges = [F.col("_global")[r] for r in row]
             seen = F.lit(True)
         else:
             match = out[group].cast("string") == wide["group_key"]
@@ -90,7 +92,7 @@ def apply_minmax(df: DataFrame, stats: DataFrame, rules: dict[str, str]) -> Data
             width = F.greatest(bounds["hi"] - bounds["lo"], F.lit(MIN_WIDTH))
             scaled[feature] = F.when(seen, (value - bounds["lo"]) / width).otherwise(value)
         out = out.withColumns(scaled).drop(
-            *[f"_r{i}" for i in range(len(features))], f"_seen_{scope}"
+            *[f"_r{i}" for i in range(len(features))], f"_seen_{scope}", "_global"
         )
     return out.select(*df.columns)
 
@@ -121,6 +123,6 @@ def impute(
         return df.fillna(0.0, subset=columns)
     if strategy != "mean":
         raise ValueError(f"unknown strategy {strategy!r}, use 'mean' or 'zero'")
-    means = feature_means(df if fit is None else fit, columns)
-    mean = means.select(F.struct(*columns)).scalar()
-    return df.withColumns({c: F.coalesce(F.col(c), mean[c]) for c in columns})
+    means = feature_means(df if fit is None else fit, columns).select(F.struct(*columns)).scalar()
+    filled = {c: F.coalesce(F.col(c), F.col("_means")[c]) for c in columns}
+    return df.withColumn("_means", means).withColumns(filled).drop("_means")

@@ -50,9 +50,9 @@ def fit_center(df: DataFrame, vector: str, dim: int, eps: float = CENTER_EPS) ->
 
 def score_sq(df: DataFrame, center: DataFrame, vector: str, dim: int) -> DataFrame:
     """Add ``score``, the squared distance to the centre (its mean is the one-class loss)."""
-    return df.withColumn(
-        "score", S.squared_distance(F.col(vector), center.select("center").scalar(), dim)
-    )
+    placed = df.withColumn("_center", center.select("center").scalar())
+    score = S.squared_distance(F.col(vector), F.col("_center"), dim)
+    return placed.withColumn("score", score).drop("_center")
 
 
 def score_l2(df: DataFrame, center: DataFrame, vector: str, dim: int) -> DataFrame:
@@ -63,14 +63,16 @@ def score_l2(df: DataFrame, center: DataFrame, vector: str, dim: int) -> DataFra
 def score_table(
     contract: DataFrame, config: ContractConfig | None = None, eps: float = CENTER_EPS
 ) -> DataFrame:
-    """Scores of all rows against the centre of the Normal rows, features imputed by Normal means."""
+    """Scores of all rows against the centre of the Normal rows, features imputed by Normal means.
+
+    ``contract`` is read for the means, the centre and the scores and should be a stored table.
+    """
     config = config or ContractConfig()
     columns = config.feature_columns
     normal = contract.where(S.is_normal(F.col("anomaly_type")))
     filled = fused_vector(impute(contract, columns, "mean", fit=normal), config)
-    center = fit_center(
-        filled.where(S.is_normal(F.col("anomaly_type"))), "features", len(columns), eps
-    )
+    normal_filled = fused_vector(impute(normal, columns, "mean"), config)
+    center = fit_center(normal_filled, "features", len(columns), eps)
     return score_sq(filled, center, "features", len(columns)).select(
         "sample_id",
         "score",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 HEAVY_ROWS = 1_000_000
 HEAVY_GROUPS = 1_024
-SPLIT_BITS = 8
+RANGE_BITS = 8
 CHUNK_WINDOWS = 65_536
 
 
@@ -26,16 +26,14 @@ def prefix_sums(
     least ``heavy_rows`` rows is split into value ranges: the ranges are summed first, then each
     range is ranked by itself and shifted by the sum of the ranges below it. The cut points only
     balance the load, any would give the same result. Only the largest ``HEAVY_GROUPS`` groups
-    are split; any further group holds less than one part in ``HEAVY_GROUPS`` of the rows.
+    are split, which bounds the broadcast; any further group holds less than one part in
+    ``HEAVY_GROUPS`` of the rows. A light group is one range and needs no shift.
 
     All branches read the same columns of ``df`` (hence ``every``), so its exchange is reused.
     """
     df = reduce(lambda d, k: d.where(F.col(k).isNotNull()), keys, df)
-    numbers = [c for c in df.columns if c not in {*keys, order}]
-    every = reduce(lambda a, b: a + b, [F.col(c) for c in numbers]) >= 0
-    parts = 2**SPLIT_BITS
-    probabilities = [i / parts for i in range(1, parts)]
-    cuts = df.agg(F.percentile_approx(F.when(every, F.col(order)), probabilities, 10_000)).scalar()
+    numbers = [F.col(c) for c in df.columns if c not in {*keys, order}]
+    every = reduce(lambda a, b: a + b, numbers) >= 0
     sizes = df.groupBy(*keys).agg(F.count(F.when(every, 1)).alias("_rows"))
     if keys:
         heavy = (
@@ -48,38 +46,48 @@ def prefix_sums(
     else:
         split = df.withColumn("_heavy", sizes.scalar() >= heavy_rows)
 
-    # Binary search for the number of cut points <= order; light groups keep one range.
-    split = split.withColumn("_cuts", F.when(F.col("_heavy"), cuts)).withColumn("_range", F.lit(0))
-    for bit in reversed(range(SPLIT_BITS)):
-        probe = F.get("_cuts", F.col("_range") + (2**bit - 1))
-        split = split.withColumn(
-            "_range", F.col("_range") + F.when(probe <= F.col(order), 2**bit).otherwise(0)
-        )
-    split = split.drop("_cuts", "_heavy")
+    ranges = 2**RANGE_BITS
+    shares = ", ".join(f"{i / ranges}D" for i in range(1, ranges))
+    cuts = df.select(F.when(every, F.col(order)).alias("_x")).agg(
+        F.expr(f"percentile_approx(_x, array({shares}), 10000)")
+    )
+    # Binary search for the number of cut points <= order.
+    place = F.aggregate(
+        F.array(*[F.lit(2**bit) for bit in reversed(range(RANGE_BITS))]),
+        F.lit(0),
+        lambda low, step: low
+        + F.when(F.get("_cuts", low + step - 1) <= F.col(order), step).otherwise(0),
+    )
+    split = split.withColumn("_cuts", cuts.scalar()).select(
+        *df.columns, "_heavy", F.when(F.col("_heavy"), place).otherwise(0).alias("_range")
+    )
 
-    ranges = split.groupBy(*keys, "_range").agg(
+    per_range = split.where("_heavy").groupBy(*keys, "_range").agg(
         *[F.sum(F.when(every, F.col(w))).alias(w) for w in weights]
     )
-    whole = Window.partitionBy(*keys)
-    below = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.select(
+    group = Window.partitionBy(*keys)
+    lower = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = per_range.select(
         *keys,
         "_range",
-        *[F.coalesce(F.sum(w).over(below), F.lit(0)).alias(f"_{w}_offset") for w in weights],
-        *[F.sum(w).over(whole).alias(f"{w}_total") for w in weights],
-    )
-    inside = (
-        Window.partitionBy(*keys, "_range")
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, -1)
+        *[F.sum(w).over(lower).alias(f"_{w}_shift") for w in weights],
+        *[F.sum(w).over(group).alias(f"_{w}_total") for w in weights],
     )
+    one_range = Window.partitionBy(*keys, "_range")
+    inside = one_range.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     ranked = split.select(
-        "*", *[F.coalesce(F.sum(w).over(inside), F.lit(0)).alias(f"_{w}_inside") for w in weights]
-    ).join(offsets, [*keys, "_range"])
+        "*",
+        *[F.sum(w).over(inside).alias(f"_{w}_inside") for w in weights],
+        *[F.sum(w).over(one_range).alias(f"_{w}_range") for w in weights],
+    ).join(shifts, [*keys, "_range"], "left")
+    nothing = F.lit(0)
     return ranked.select(
         *df.columns,
-        *[(F.col(f"_{w}_offset") + F.col(f"_{w}_inside")).alias(f"{w}_before") for w in weights],
-        *[f"{w}_total" for w in weights],
+        *[
+            (F.coalesce(f"_{w}_shift", nothing) + F.coalesce(f"_{w}_inside", nothing)).alias(f"{w}_before")
+            for w in weights
+        ],
+        *[F.coalesce(f"_{w}_total", f"_{w}_range").alias(f"{w}_total") for w in weights],
     )
 
 

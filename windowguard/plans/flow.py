@@ -39,16 +39,18 @@ def build_wide(
     """The wide table before normalisation: one row per (case, endpoint, window).
 
     Only cells on both the server and the client side exist. Metric and log features join by
-    service and stay NULL where a service has none. The case bounds and the template table are
-    staged: they are small and otherwise would be computed again inside the scans they filter.
+    service and stay NULL where a service has none. The cells and the templates are staged: they
+    are small, and otherwise the scans that the case bounds and the templates filter would
+    compute them again.
     """
     config = config or ContractConfig()
-    cells = red.endpoint_features(sources.trace_red, sources.client_red, sources.endpoints)
+    cells = stage(
+        red.endpoint_features(sources.trace_red, sources.client_red, sources.endpoints), "cells"
+    )
     wide = red.with_service(cells, sources.endpoints)
     on_service = ["case_id", "service_name", "timestamp_window_ms"]
     if sources.samples is not None:
-        bounds = stage(red.case_bounds(cells), "bounds")
-        kept = metrics.filter_samples(sources.samples, bounds)
+        kept = metrics.filter_samples(sources.samples, red.case_bounds(cells))
         services = sorted(set(sources.endpoints.values()))
         wide = wide.join(metrics.metric_features(kept, services, window_ms), on_service, "left")
     if sources.logs is not None:

@@ -34,8 +34,9 @@ def wide_table(spark, folder) -> DataFrame:
 
 
 def contract_table(spark, folder) -> DataFrame:
-    """Normalised wide table; the raw one is staged because fit and apply both read it."""
-    return flow.normalize_wide(stage(wide_table(spark, folder), "wide"), CONFIG)
+    """Normalised wide table; staged, as is the raw one, because what follows reads it again."""
+    wide = stage(wide_table(spark, folder), "wide")
+    return stage(flow.normalize_wide(wide, CONFIG), "contract")
 
 
 @query(f"WITH {Q.WIDE} SELECT {WHOLE} FROM wide")

@@ -15,6 +15,22 @@ SETTINGS = {
 }
 
 
+def build(app: str, master: str | None = None, partitions: str | None = None) -> SparkSession:
+    """A session with the settings above; ``partitions`` is for small local runs."""
+    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    # Call-site capture costs a stack walk per column expression.
+    builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
+    if master:
+        builder = builder.master(master)
+    if master and master.startswith("local"):
+        builder = builder.config("spark.driver.memory", "8g")
+    if partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", partitions)
+    spark = configure(builder.getOrCreate())
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Set the SQL options the operators count on (UTC, AQE with skew-join splitting)."""
     for key, value in SETTINGS.items():
