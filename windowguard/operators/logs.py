@@ -21,34 +21,35 @@ def parse_logs(lines: DataFrame, timezone: str = K.LOG_TIMEZONE) -> DataFrame:
 
 
 def _tokens() -> Column:
-    return F.filter(F.split("content", r"\s+"), lambda t: t != "")
+    words = F.filter(F.split("content", r"\s+"), lambda t: t != "")
+    return F.transform(words, lambda t: F.when(t.rlike("[0-9]"), WILDCARD).otherwise(t))
 
 
 def _template_key(df: DataFrame) -> DataFrame:
-    """Add tokens, their number and the first token (a wildcard if it has a digit)."""
-    first = F.coalesce(F.get("tokens", F.lit(0)), F.lit(""))
+    """Add tokens (a wildcard for each with a digit), their number and the first one."""
     return (
         df.withColumn("tokens", _tokens())
         .withColumn("n_tokens", F.size("tokens"))
-        .withColumn("first_token", F.when(first.rlike("[0-9]"), WILDCARD).otherwise(first))
+        .withColumn("first_token", F.coalesce(F.get("tokens", F.lit(0)), F.lit("")))
     )
 
 
 def fit_templates(parsed: DataFrame) -> DataFrame:
     """One template per (token count, first token): tokens that vary become wildcards.
 
-    The result does not depend on the order of the lines. Equal lines are merged first and each
-    token position is reduced on its own, so a frequent message costs no more than a rare one.
+    Tokens with a digit are wildcards from the start, so that most lines of a message are equal
+    and merge before the shuffle. The result does not depend on the order of the lines.
     """
-    lines = _template_key(parsed.select("content").distinct())
+    lines = _template_key(parsed).select("n_tokens", "first_token", "tokens").distinct()
     token = F.when(F.min("token") == F.max("token"), F.min("token")).otherwise(WILDCARD)
     positions = (
         lines.select("n_tokens", "first_token", F.posexplode_outer("tokens").alias("position", "token"))
+        .fillna("", subset=["token"])
         .groupBy("n_tokens", "first_token", "position")
         .agg(token.alias("token"))
     )
     ordered = F.array_sort(F.collect_list(F.struct("position", "token")))
-    text = F.array_join(F.transform(ordered, lambda p: F.coalesce(p["token"], F.lit(""))), " ")
+    text = F.array_join(F.transform(ordered, lambda p: p["token"]), " ")
     return positions.groupBy("n_tokens", "first_token").agg(text.alias("template")).select(
         "n_tokens", "first_token", "template", F.md5("template").alias("template_id")
     )

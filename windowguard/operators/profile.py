@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from windowguard import constants as K
 from windowguard.functions import scalars as S
 from windowguard.operators.series import quantiles
+from windowguard.session import stage
 
 
 def _folder(path: Column) -> Column:
@@ -167,7 +168,8 @@ def trim_lines(
     1/``fraction`` of the rest, rounded down.
 
     ``lines`` has (path, line_no from 0, line). Only the named logs outside metrics folders are
-    kept. A file is never sorted, its lines are compared with a bound that is counted per file.
+    kept. A file is never sorted, its lines are compared with a bound that is counted per file
+    and staged, so that the lines are shuffled only if the bounds are too many to broadcast.
     """
     folder = _folder(F.col("path"))
     kept = lines.where(~folder.contains("metrics"))
@@ -176,8 +178,9 @@ def trim_lines(
     rest = F.greatest(F.col("_lines") - skip, F.lit(0))
     cut = F.when(folder.contains("correct"), F.floor(rest / F.lit(fraction))).otherwise(rest)
     index = F.col("line_no") - skip
+    ends = stage(ends.withColumn("_kept", cut).drop("_lines"), "line-counts")
     return (
-        kept.join(ends.withColumn("_kept", cut).drop("_lines"), "path")
+        kept.join(ends, "path")
         .where((index >= 0) & (index < F.col("_kept")))
         .drop("_kept")
     )
@@ -263,11 +266,13 @@ def positional_split(df: DataFrame, order: list[str], n: int) -> DataFrame:
 def merge_sorted(frames: list[DataFrame], by: str, numeric: bool = False) -> DataFrame:
     """All rows of tables with the same columns, sorted by ``by``.
 
-    The order is by text, as in the merged files, unless ``numeric``. The other columns break
-    ties, so that a frequent value is spread over tasks.
+    The order is by text, as in the merged files, unless ``numeric``. The other columns and a
+    row number break ties, so that a frequent value or row is spread over tasks.
     """
     merged = frames[0]
     for frame in frames[1:]:
         merged = merged.unionByName(frame)
     first = F.col(by).cast("double") if numeric else F.col(by)
-    return merged.orderBy(first, *[c for c in merged.columns if c != by])
+    others = [c for c in merged.columns if c != by]
+    numbered = merged.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.orderBy(first, *others, "_row").drop("_row")

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 HEAVY_ROWS = 1_000_000
 HEAVY_GROUPS = 1_024
-RANGE_BITS = 8
+RANGE_BITS = 10
+CUT_ROWS = 1_000_000
 CHUNK_WINDOWS = 65_536
 
 
@@ -24,10 +25,11 @@ def prefix_sums(
     ``df`` has one row per (keys, order), a numeric ``order`` and otherwise numeric columns
     without NULL; groups with a NULL key are left out, as in a pandas group-by. A group with at
     least ``heavy_rows`` rows is split into value ranges: the ranges are summed first, then each
-    range is ranked by itself and shifted by the sum of the ranges below it. The cut points only
-    balance the load, any would give the same result. Only the largest ``HEAVY_GROUPS`` groups
-    are split, which bounds the broadcast; any further group holds less than one part in
-    ``HEAVY_GROUPS`` of the rows. A light group is one range and needs no shift.
+    range is ranked by itself and shifted by the sum of the ranges below it. Every row is ranked;
+    only the cut points come from about ``CUT_ROWS`` rows picked by hash, because they merely
+    balance the load and any others would give the same result. Only the largest
+    ``HEAVY_GROUPS`` groups are split, which bounds the broadcast; any further group holds less
+    than one part in ``HEAVY_GROUPS`` of the rows. A light group is one range and needs no shift.
 
     All branches read the same columns of ``df`` (hence ``every``), so its exchange is reused.
     """
@@ -48,8 +50,12 @@ def prefix_sums(
 
     ranges = 2**RANGE_BITS
     shares = ", ".join(f"{i / ranges}D" for i in range(1, ranges))
-    cuts = df.select(F.when(every, F.col(order)).alias("_x")).agg(
-        F.expr(f"percentile_approx(_x, array({shares}), 10000)")
+    rows = df.agg(F.count(F.when(every, 1))).scalar()
+    draw = F.abs(F.xxhash64(*keys, order) / F.lit(2.0**63))
+    cuts = (
+        df.where(draw <= F.lit(CUT_ROWS) / rows)
+        .select(F.when(every, F.col(order)).alias("_x"))
+        .agg(F.expr(f"percentile_approx(_x, array({shares}), 10000)"))
     )
     # Binary search for the number of cut points <= order.
     place = F.aggregate(

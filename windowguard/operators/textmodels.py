@@ -210,7 +210,8 @@ def sample_runs(
     chosen_runs = (
         tests.select("run").distinct().withColumn("_dice", dice("run")).orderBy("_dice", "run").limit(n_runs)
     )
-    runs = chosen_runs.select("run", "_dice")
+    # At most n_runs rows, and below n_runs * (errors_per_run + 1): broadcast by construction.
+    runs = F.broadcast(chosen_runs.select("run", "_dice"))
     errors = tests.where(F.col("test_name") != normal).join(runs.select("run"), "run", "left_semi")
     if error_type is not None:
         errors = errors.where(F.col("test_name") == error_type)
@@ -231,4 +232,4 @@ def sample_runs(
         picked = errors.join(seats, "run").join(names, ["test_name", "_seat"])
     normals = tests.where(F.col("test_name") == normal).join(runs.select("run"), "run", "left_semi")
     chosen = normals.unionByName(picked.select("run", "test_name"))
-    return files.join(chosen, ["run", "test_name"], "left_semi")
+    return files.join(F.broadcast(chosen), ["run", "test_name"], "left_semi")

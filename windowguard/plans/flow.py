@@ -39,9 +39,9 @@ def build_wide(
     """The wide table before normalisation: one row per (case, endpoint, window).
 
     Only cells on both the server and the client side exist. Metric and log features join by
-    service and stay NULL where a service has none. The cells and the templates are staged: they
-    are small, and otherwise the scans that the case bounds and the templates filter would
-    compute them again.
+    service and stay NULL where a service has none. The cells, the case bounds and the templates
+    are staged: they are read again, and with a known size the joins with the raw samples and
+    lines are planned as broadcasts only where that side is small.
     """
     config = config or ContractConfig()
     cells = stage(
@@ -50,7 +50,8 @@ def build_wide(
     wide = red.with_service(cells, sources.endpoints)
     on_service = ["case_id", "service_name", "timestamp_window_ms"]
     if sources.samples is not None:
-        kept = metrics.filter_samples(sources.samples, red.case_bounds(cells))
+        bounds = stage(red.case_bounds(cells), "bounds")
+        kept = metrics.filter_samples(sources.samples, bounds)
         services = sorted(set(sources.endpoints.values()))
         wide = wide.join(metrics.metric_features(kept, services, window_ms), on_service, "left")
     if sources.logs is not None:
@@ -107,7 +108,7 @@ def sources_from_folder(
     return Sources(
         trace_red=files.read_trace_red(spark, root),
         client_red=files.read_client_red(spark, root),
-        cases=files.read_cases(spark, root),
+        cases=stage(files.read_cases(spark, root), "cases"),
         endpoints=dict(endpoints or K.ENDPOINT_SERVICES),
         samples=files.read_metric_samples(spark, f"{root}/*/metric_data/*.csv") if with_metrics else None,
         logs=logs.parse_logs(files.read_logs(spark, root), timezone) if with_logs else None,

@@ -9,6 +9,7 @@ from windowguard.functions import scalars as S
 from windowguard.operators import logs, metrics, red, series
 from windowguard.plans import sql as Q
 from windowguard.plans.registry import query, rounded
+from windowguard.session import stage
 from windowguard.sources import tables as A
 
 HOUR = A.HOUR_MS
@@ -38,7 +39,7 @@ def metric_filter(spark, folder):
     trace = red.trace_red(A.spans(spark, folder), A.DAY_MS)
     client = red.client_red(A.client_requests(spark, folder), A.DAY_MS)
     bounds = red.case_bounds(red.endpoint_features(trace, client, A.ENDPOINTS))
-    kept = metrics.filter_samples(A.metric_reports(spark, folder), bounds)
+    kept = metrics.filter_samples(A.metric_reports(spark, folder), stage(bounds, "bounds"))
     return kept.groupBy("case_id", "metric_name").agg(
         F.count("*").alias("n"),
         F.count("pod").alias("n_pod"),
@@ -134,7 +135,8 @@ def _parsed(spark, folder):
 
 
 def _templates(spark, folder):
-    return logs.fit_templates(_parsed(spark, folder).where(F.col("case_id") == "Normal"))
+    normal = _parsed(spark, folder).where(F.col("case_id") == "Normal")
+    return stage(logs.fit_templates(normal), "templates")
 
 
 @query(

@@ -226,12 +226,10 @@ parsed AS (
 def keyed(source: str, name: str) -> str:
     return f"""
 {name}_tokens AS (
-  SELECT *, list_filter(regexp_split_to_array(content, '\\s+'), lambda t: t <> '') AS tokens FROM {source}),
+  SELECT *, list_transform(list_filter(regexp_split_to_array(content, '\\s+'), lambda t: t <> ''),
+    lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM {source}),
 {name} AS (
-  SELECT *, CAST(len(tokens) AS INT) AS n_tokens,
-    CASE WHEN regexp_matches(coalesce(tokens[1], ''), '[0-9]') THEN '<*>'
-      ELSE coalesce(tokens[1], '') END AS first_token
-  FROM {name}_tokens)"""
+  SELECT *, CAST(len(tokens) AS INT) AS n_tokens, coalesce(tokens[1], '') AS first_token FROM {name}_tokens)"""
 
 
 def templates_of(source: str) -> str:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from windowguard import schemas
 from windowguard.functions import scalars as S
+from windowguard.session import stage
 
 TRACE_RED_FILE = "tt_traces_red_15s.csv"
 CLIENT_RED_FILE = "tt_endpoint_health_15s.csv"
@@ -92,6 +93,7 @@ def read_logs(spark: SparkSession, root: str) -> DataFrame:
     flat = tops.groupBy("case_id").agg(
         F.max((F.col("_shallow") == 2) & (F.col("_deep") == 2)).alias("_flat")
     )
+    flat = stage(flat, "layout")
     wanted = F.when(F.col("_flat"), 2).otherwise(3)
     return (
         placed.join(flat, "case_id")
