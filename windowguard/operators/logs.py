@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from windowguard import constants as K
 from windowguard.functions import scalars as S
 from windowguard.operators.series import fill_windows
+from windowguard.session import stage
 
 WILDCARD = "<*>"
 UNMATCHED = "-1"
@@ -87,7 +88,8 @@ def log_features(
 ) -> DataFrame:
     """The three log features, windows without events filled with 0.
 
-    Without templates every line counts as unmatched.
+    Without templates every line counts as unmatched. The counts are staged, so that filling the
+    gaps does not parse the lines again.
     """
     if templates is None:
         matched = parsed.withColumn("template_id", F.lit(UNMATCHED))
@@ -95,9 +97,8 @@ def log_features(
         matched = match_templates(parsed, templates)
     counts = ["event_count", "error_count", "unique_templates"]
     keys = ["case_id", "service_name"]
-    filled = fill_windows(
-        aggregate_logs(matched, window_ms), keys, "timestamp_window_ms", window_ms, counts
-    )
+    windows = stage(aggregate_logs(matched, window_ms), "log-windows")
+    filled = fill_windows(windows, keys, "timestamp_window_ms", window_ms, counts)
 
     def share(count: str) -> Column:
         return F.coalesce(F.try_divide(count, "event_count"), F.lit(0.0))

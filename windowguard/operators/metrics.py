@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from windowguard import constants as K
 from windowguard.functions import scalars as S
 from windowguard.operators.series import previous_row
+from windowguard.session import stage
 
 SAMPLE_COLUMNS = ["case_id", "metric_name", "timestamp", "value", "pod", "interface"]
 
@@ -101,9 +102,10 @@ def pod_features(samples: DataFrame, services: list[str], window_ms: int = K.WIN
     """CPU rate, memory ratio and process count per (case, service, window), mean over pods.
 
     The process count stays missing where no pod has one, but is 0 where its metric does not
-    occur in the case at all.
+    occur in the case at all. The pod windows are staged, because the samples they sum up are
+    many and what follows reads them several times.
     """
-    wide = pod_windows(samples, services, window_ms)
+    wide = stage(pod_windows(samples, services, window_ms), "pod-windows")
     rated = counter_rate(wide, ["case_id", "pod"], "cpu", "cpu_rate", window_ms)
     ratio = F.when(F.col("memory_limit") > 0, F.col("memory") / F.col("memory_limit"))
     service = (
@@ -134,6 +136,7 @@ def host_rates(samples: DataFrame, window_ms: int = K.WINDOW_MS) -> DataFrame:
         .groupBy("case_id", "metric_name", "timestamp_window_ms")
         .agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"))
     )
+    sums = stage(sums, "host-windows")
     rated = counter_rate(sums, ["case_id", "metric_name"], "total", "rate", window_ms)
 
     def of(metric: str):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from windowguard import constants as K
 from windowguard.functions import scalars as S
-from windowguard.operators.series import HEAVY_ROWS, prefix_sums, quantile_of, quantiles
+from windowguard.operators.series import HEAVY_ROWS, prefix_sums, quantile_of
 
 CELL = ["case_id", "endpoint_key", "timestamp_window_ms"]
 MIN_FOR_P50 = 2
@@ -269,9 +269,12 @@ def window_density(
         .groupBy("window_ms", *CELL)
         .agg(F.sum("rows").alias("rows"), F.sum("timed").alias("timed"))
     )
-    shares = cells.groupBy("window_ms").agg(
-        F.count("*").alias("cells"),
-        F.avg((F.col("timed") < MIN_FOR_TAIL).cast("double")).alias("p95_null_rate"),
+    counts = cells.groupBy("window_ms", "rows").agg(
+        F.count("*").alias("cells"), _count(F.col("timed") < MIN_FOR_TAIL).alias("without_p95")
     )
-    medians = quantiles(cells, ["window_ms"], "rows", {"median_requests": 0.5})
-    return shares.join(medians, "window_ms")
+    ranked = prefix_sums(counts, ["window_ms"], "rows", ["cells"])
+    return ranked.groupBy("window_ms").agg(
+        F.sum("cells").alias("n_cells"),
+        F.try_divide(F.sum("without_p95"), F.sum("cells")).alias("p95_null_rate"),
+        quantile_of("rows", "cells", 0.5).alias("median_requests"),
+    ).withColumnRenamed("n_cells", "cells")

@@ -52,10 +52,9 @@ def prefix_sums(
     shares = ", ".join(f"{i / ranges}D" for i in range(1, ranges))
     rows = df.agg(F.count(F.when(every, 1))).scalar()
     draw = F.abs(F.xxhash64(*keys, order) / F.lit(2.0**63))
-    cuts = (
-        df.where(draw <= F.lit(CUT_ROWS) / rows)
-        .select(F.when(every, F.col(order)).alias("_x"))
-        .agg(F.expr(f"percentile_approx(_x, array({shares}), 10000)"))
+    picked = every & (draw <= F.lit(CUT_ROWS) / rows)
+    cuts = df.select(F.when(picked, F.col(order)).alias("_x")).agg(
+        F.expr(f"percentile_approx(_x, array({shares}), 10000)")
     )
     # Binary search for the number of cut points <= order.
     place = F.aggregate(

@@ -26,8 +26,10 @@ CELL = "case_id, endpoint_key, timestamp_window_ms"
 
 
 def red_tables(spark, folder, window_ms) -> tuple[DataFrame, DataFrame]:
+    """Both RED tables, staged as the stored tables they are meant to be."""
     trace = red.trace_red(A.spans(spark, folder), window_ms)
-    return trace, red.client_red(A.client_requests(spark, folder), window_ms)
+    client = red.client_red(A.client_requests(spark, folder), window_ms)
+    return stage(trace, "trace-red"), stage(client, "client-red")
 
 
 @query(
@@ -74,7 +76,7 @@ stats AS (
 
 
 def _served(spark, folder) -> DataFrame:
-    client = red.client_red(A.client_requests(spark, folder), A.DAY_MS)
+    client = stage(red.client_red(A.client_requests(spark, folder), A.DAY_MS), "client-red")
     return red.with_service(client, A.ENDPOINTS)
 
 

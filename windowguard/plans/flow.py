@@ -41,7 +41,8 @@ def build_wide(
     Only cells on both the server and the client side exist. Metric and log features join by
     service and stay NULL where a service has none. The cells, the case bounds and the templates
     are staged: they are read again, and with a known size the joins with the raw samples and
-    lines are planned as broadcasts only where that side is small.
+    lines are planned as broadcasts only where that side is small. So are the kept samples, about
+    one in fifty, so that the raw ones are scanned once.
     """
     config = config or ContractConfig()
     cells = stage(
@@ -51,7 +52,7 @@ def build_wide(
     on_service = ["case_id", "service_name", "timestamp_window_ms"]
     if sources.samples is not None:
         bounds = stage(red.case_bounds(cells), "bounds")
-        kept = metrics.filter_samples(sources.samples, bounds)
+        kept = stage(metrics.filter_samples(sources.samples, bounds), "samples")
         services = sorted(set(sources.endpoints.values()))
         wide = wide.join(metrics.metric_features(kept, services, window_ms), on_service, "left")
     if sources.logs is not None:

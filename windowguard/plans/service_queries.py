@@ -8,6 +8,7 @@ from windowguard import constants as K
 from windowguard.functions import scalars as S
 from windowguard.operators import logs, metrics, red, series
 from windowguard.plans import sql as Q
+from windowguard.plans.endpoint_queries import red_tables
 from windowguard.plans.registry import query, rounded
 from windowguard.session import stage
 from windowguard.sources import tables as A
@@ -36,8 +37,7 @@ FILTERED = f"""{Q.red(A.DAY_MS)}, {Q.CELLS}, {Q.BOUNDS}, {Q.REPORTS}, {Q.KEPT_SA
 )
 def metric_filter(spark, folder):
     """Samples between the first and the last joined window of their case."""
-    trace = red.trace_red(A.spans(spark, folder), A.DAY_MS)
-    client = red.client_red(A.client_requests(spark, folder), A.DAY_MS)
+    trace, client = red_tables(spark, folder, A.DAY_MS)
     bounds = red.case_bounds(red.endpoint_features(trace, client, A.ENDPOINTS))
     kept = metrics.filter_samples(A.metric_reports(spark, folder), stage(bounds, "bounds"))
     return kept.groupBy("case_id", "metric_name").agg(

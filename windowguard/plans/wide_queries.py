@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from windowguard import constants as K
 from windowguard.functions import scalars as S
-from windowguard.operators import logs, normalize, oneclass, quality, red, series
+from windowguard.operators import logs, normalize, oneclass, quality, series
 from windowguard.plans import flow
 from windowguard.plans import sql as Q
+from windowguard.plans.endpoint_queries import red_tables
 from windowguard.plans.registry import query, rounded
 from windowguard.schemas import ContractConfig
 from windowguard.session import stage
@@ -22,9 +23,10 @@ WHOLE = ", ".join(ID_LABELS) + ", " + Q.rounds(Q.FEATURES)
 
 def wide_table(spark, folder) -> DataFrame:
     window = A.DAY_MS
+    trace, client = red_tables(spark, folder, window)
     sources = flow.Sources(
-        trace_red=red.trace_red(A.spans(spark, folder), window),
-        client_red=red.client_red(A.client_requests(spark, folder), window),
+        trace_red=trace,
+        client_red=client,
         cases=A.cases(spark),
         endpoints=A.ENDPOINTS,
         samples=A.metric_reports(spark, folder),
