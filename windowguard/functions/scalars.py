@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from windowguard import constants as K
 
+WHITESPACE = " \t\n\r\f\v"
+
 
 def bucket(ms: Column, window_ms: int = K.WINDOW_MS) -> Column:
     """Start of the epoch-aligned window of an epoch-ms value."""
@@ -52,7 +54,7 @@ def service_of_pod(pod: Column) -> Column:
 def log_parts(line: Column, timezone: str) -> Column:
     """Struct (ts_ms, level, content) of a log line; ``ts_ms`` is NULL where the line does not parse."""
     stamp = F.nullif(F.regexp_extract(line, K.LOG_LINE, 1), F.lit(""))
-    content = F.regexp_replace(F.regexp_replace(line, K.LOG_LINE, ""), r"^\s+|\s+$", "")
+    content = F.btrim(F.regexp_replace(line, K.LOG_LINE, ""), F.lit(WHITESPACE))
     return F.struct(
         local_to_ms(stamp, timezone).alias("ts_ms"),
         F.regexp_extract(line, K.LOG_LINE, 2).alias("level"),
@@ -122,11 +124,8 @@ def words(message: Column) -> Column:
 
 
 def char_trigrams(message: Column) -> Column:
-    """All overlapping runs of three characters; empty below three characters."""
-    chars = F.filter(F.split(message, ""), lambda c: c != "")
-    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), F.size(chars)), lambda a, b: F.concat(a, b))
-    triples = F.zip_with(pairs, F.slice(chars, F.lit(3), F.size(chars)), lambda a, b: F.concat(a, b))
-    return F.filter(triples, lambda t: t.isNotNull())
+    """All overlapping runs of three characters (a look-ahead at every place); empty below three."""
+    return F.regexp_extract_all(message, F.lit("(?s)(?=(.{3}))"), 1)
 
 
 def word_trigrams(message: Column) -> Column:

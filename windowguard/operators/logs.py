@@ -22,8 +22,9 @@ def parse_logs(lines: DataFrame, timezone: str = K.LOG_TIMEZONE) -> DataFrame:
 
 
 def _tokens() -> Column:
-    words = F.filter(F.split("content", r"\s+"), lambda t: t != "")
-    return F.transform(words, lambda t: F.when(t.rlike("[0-9]"), WILDCARD).otherwise(t))
+    text = F.btrim(F.col("content"), F.lit(S.WHITESPACE))
+    masked = F.regexp_replace(text, r"(?<!\S)[^\s0-9]*+[0-9]\S*", WILDCARD)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(masked, r"\s+"))
 
 
 def _template_key(df: DataFrame) -> DataFrame:

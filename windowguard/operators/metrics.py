@@ -50,22 +50,22 @@ def pod_windows(samples: DataFrame, services: list[str], window_ms: int = K.WIND
     """Mean of each pod metric per (case, service, pod, window), one column per metric.
 
     The metric list is fixed, so the long-to-wide turn is one aggregation with map-side combine.
+    The service depends on the pod alone and is looked up once per pod and window.
     """
-    pods = (
-        samples.where(F.col("metric_name").isin(K.POD_METRICS))
-        .where(F.col("pod").isNotNull() & (F.col("pod") != ""))
-        .withColumn("service_name", S.service_of_pod(F.col("pod")))
-        .where(F.col("service_name").isin(services))
+    pods = samples.where(F.col("metric_name").isin(K.POD_METRICS)).where(
+        F.col("pod").isNotNull() & (F.col("pod") != "")
     )
     return (
         _windowed(pods, window_ms)
-        .groupBy("case_id", "service_name", "pod", "timestamp_window_ms")
+        .groupBy("case_id", "pod", "timestamp_window_ms")
         .agg(
             _mean_of(K.CPU_COUNTER).alias("cpu"),
             _mean_of(K.MEMORY_USAGE).alias("memory"),
             _mean_of(K.MEMORY_LIMIT).alias("memory_limit"),
             _mean_of(K.PROCESSES).alias("processes"),
         )
+        .withColumn("service_name", S.service_of_pod(F.col("pod")))
+        .where(F.col("service_name").isin(services))
     )
 
 

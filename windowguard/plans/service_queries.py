@@ -120,18 +120,23 @@ def pod_to_service(spark, folder):
     )
 
 
+def log_table(spark, folder):
+    """Log lines, staged so that the parser meets stored text."""
+    return stage(A.log_lines(spark, folder).drop("ts_ms"), "lines")
+
+
 @query(
     f"""WITH {Q.EV}, {Q.LINES}, {Q.parsed_lines(8)}
     SELECT event_id, case_id, service_name, ts_ms, level, content FROM parsed"""
 )
 def log_parse(spark, folder):
     """Time, level and content of log lines whose clock is local time."""
-    parsed = logs.parse_logs(A.log_lines(spark, folder).drop("ts_ms"), K.LOG_TIMEZONE)
+    parsed = logs.parse_logs(log_table(spark, folder), K.LOG_TIMEZONE)
     return parsed.select("event_id", "case_id", "service_name", "ts_ms", "level", "content")
 
 
 def _parsed(spark, folder):
-    return logs.parse_logs(A.log_lines(spark, folder).drop("ts_ms"), "UTC")
+    return logs.parse_logs(log_table(spark, folder), "UTC")
 
 
 def _templates(spark, folder):

@@ -12,6 +12,7 @@ from windowguard.plans import flow
 from windowguard.plans import sql as Q
 from windowguard.plans.endpoint_queries import red_tables
 from windowguard.plans.registry import query, rounded
+from windowguard.plans.service_queries import log_table
 from windowguard.schemas import ContractConfig
 from windowguard.session import stage
 from windowguard.sources import tables as A
@@ -30,7 +31,7 @@ def wide_table(spark, folder) -> DataFrame:
         cases=A.cases(spark),
         endpoints=A.ENDPOINTS,
         samples=A.metric_reports(spark, folder),
-        logs=logs.parse_logs(A.log_lines(spark, folder).drop("ts_ms", "event_id"), "UTC"),
+        logs=logs.parse_logs(log_table(spark, folder).drop("event_id"), "UTC"),
     )
     return flow.build_wide(sources, CONFIG, window)
 

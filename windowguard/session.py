@@ -20,6 +20,8 @@ def build(app: str, master: str | None = None, partitions: str | None = None) ->
     builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
     # Call-site capture costs a stack walk per column expression.
     builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
+    # The default of 100 compiled stages is fewer than a few of these queries need.
+    builder = builder.config("spark.sql.codegen.cache.maxEntries", "2000")
     if master:
         builder = builder.master(master)
     if master and master.startswith("local"):
