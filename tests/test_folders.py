@@ -164,6 +164,8 @@ def test_score_and_evaluate(spark, built, tmp_path):
     document = json.loads(spark.read.text(str(tmp_path / "metrics")).first()[0])
     assert document["n_samples"] == 12 and 0 <= document["auroc"] <= 1
     assert set(document["stratified"]["by_anomaly_type"]) == {"Normal", "Lv_P_DISKIO"}
+    assert document["label_distribution"] == {"n_pos": 2, "n_neg": 10, "pos_rate": pytest.approx(1 / 6)}
+    assert set(document["score_stats"]) == {"mean", "std", "min", "max", "p50", "p90", "p99"}
 
 
 def test_missing_modalities_stay_null(spark, data_root):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,14 @@ from pyspark.sql import functions as F
 from windowguard import constants as K
 from windowguard.functions import scalars as S
 from windowguard.operators import labels, logs, metrics, normalize, oneclass, quality, red
-from windowguard.operators.evaluate import evaluate
+from windowguard.operators.evaluate import evaluate, label_distribution, score_stats
 from windowguard.schemas import ContractConfig
 from windowguard.session import stage
 from windowguard.sources import files, sinks
 
+LOG = logging.getLogger(__name__)
+LOW_LOG_HIT_RATE = 0.5
+
 
 @dataclass
 class Sources:
@@ -127,6 +131,11 @@ def write_contract_from_folder(
         raise ValueError("no Normal case, the normaliser cannot be fitted")
     contract, stats = build_contract(sources, config, config.window_size_s * 1000)
     contract = stage(contract, "contract")
+    if sources.logs is not None:
+        rates = quality.hit_rate(contract, config.columns("service_log")[0])
+        missed = rates.where(F.col("hit_rate") < LOW_LOG_HIT_RATE).count()
+        if missed:
+            LOG.warning("%d cases have log features in less than half of their rows", missed)
     quality.require_valid(quality.contract_violations(contract, config), "contract")
     sinks.write_contract(contract, f"{out}/contract")
     sinks.write_stats(stats, f"{out}/normalization_stats")
@@ -149,4 +158,4 @@ def write_metrics_from_scores(
     quality.require_valid(quality.scores_violations(scores), "scores")
     tidy = stage(evaluate(scores, on_single_class=on_single_class), "metrics")
     quality.require_valid(quality.metrics_violations(tidy), "metrics")
-    sinks.write_metrics(tidy, out)
+    sinks.write_metrics(tidy, out, score_stats(scores), label_distribution(scores))

@@ -108,7 +108,11 @@ def oov_sweep(spark, folder):
     return textmodels.oov_score(normal, tokens, "doc_id", ["source"])
 
 
-@query()
+@query(
+    f"""WITH {TOKENS} SELECT conv_id, CAST(count(df) AS INT) AS cells,
+    CASE WHEN count(df) > 0 THEN 1e0 ELSE 0e0 END AS norm
+    FROM test LEFT JOIN vocabulary USING (token) GROUP BY 1"""
+)
 def text_vectors(spark, folder):
     """Length and number of cells of the TF-IDF vector of every test conversation."""
     from pyspark.ml.functions import vector_to_array
@@ -285,7 +289,7 @@ def metric_wide_pivot(spark, folder):
     return profile.prom_wide(long, ["run_end", "test_name"], order, WIDE_NAMES)
 
 
-PAGE_FILES = """inv AS (SELECT 'root/light-oauth2-data-1/' || CASE WHEN contains(url, '/en/') THEN 'correct' ELSE 'error' END AS folder,
+PAGE_FILES = """inv AS (SELECT 'root/run-1/' || CASE WHEN contains(url, '/en/') THEN 'correct' ELSE 'error' END AS folder,
   regexp_extract(url, '^[a-z]+://([^/]+)/', 1) || CASE WHEN contains(url, '?') THEN '.csv' ELSE '.log' END AS name,
   length(html) AS size FROM pages)"""
 
@@ -298,7 +302,7 @@ PAGE_FILES = """inv AS (SELECT 'root/light-oauth2-data-1/' || CASE WHEN contains
 )
 def file_size_stats(spark, folder):
     """Size statistics of the files of error runs, by name."""
-    return rounded(profile.file_size_stats(A.page_inventory(spark, folder), "error"))
+    return rounded(profile.file_size_stats(A.page_inventory(spark, folder), "error", "run-"))
 
 
 LINE_FILES = """cut AS (SELECT source, doc_id, lang, string_split(text, chr(10)) AS l FROM documents),

@@ -47,10 +47,13 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def metrics_document(metrics: DataFrame) -> DataFrame:
+def metrics_document(
+    metrics: DataFrame, score_stats: DataFrame | None = None, labels: DataFrame | None = None
+) -> DataFrame:
     """One row ``value`` with the metrics as JSON: the overall fields plus a map per stratum.
 
-    An undefined metric is null in the document, never NaN.
+    The one-row tables ``score_stats`` and ``labels`` are added where given. An undefined metric
+    is null in the document, never NaN.
     """
 
     def number(name: str):
@@ -86,11 +89,22 @@ def metrics_document(metrics: DataFrame) -> DataFrame:
             ).alias("stratified"),
         ).alias("doc")
     )
+    extras = {"score_stats": score_stats, "label_distribution": labels}
+    for name, table in extras.items():
+        if table is not None:
+            row = table.select(F.struct("*")).scalar()
+            document = document.withColumn("doc", F.col("doc").withField(name, row))
     return document.select(F.to_json("doc", {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write_metrics(metrics: DataFrame, path: str) -> None:
-    metrics_document(metrics).coalesce(1).write.mode("overwrite").text(path)
+def write_metrics(
+    metrics: DataFrame,
+    path: str,
+    score_stats: DataFrame | None = None,
+    labels: DataFrame | None = None,
+) -> None:
+    document = metrics_document(metrics, score_stats, labels)
+    document.coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

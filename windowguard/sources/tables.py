@@ -212,7 +212,7 @@ def page_inventory(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("url").contains("?"), ".csv").otherwise(".log"),
     )
     return table(spark, folder, "pages").select(
-        F.concat(F.lit("root/light-oauth2-data-1/"), run, F.lit("/"), name).alias("path"),
+        F.concat(F.lit("root/run-1/"), run, F.lit("/"), name).alias("path"),
         F.length("html").cast("long").alias("size"),
     )
 
