@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowguard.llm import decontaminate, quality, shards
+from windowguard.llm import decontaminate, quality, shards, simhash_dedup, substring_dedup
 from windowguard.llm.registry import query
 
 SHARDS = 24
@@ -43,3 +43,17 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     model = quality.fit(docs, table(spark, folder, "labels"))
     columns = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept content_words"
     return quality.judge(docs, model).select(columns.split())
+
+
+@query()
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and class of all documents."""
+    classes = simhash_dedup.fingerprint_classes(table(spark, folder, "documents"))
+    return classes.select("doc_id", simhash_dedup.hex64("fp").alias("fingerprint"), "component_id")
+
+
+@query()
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the 20-word passages that occurred before."""
+    kept = substring_dedup.remove_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
