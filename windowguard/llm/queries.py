@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowguard.llm import decontaminate, quality, shards, simhash_dedup, substring_dedup
+from windowguard.llm import chat, decontaminate, quality, shards, simhash_dedup, substring_dedup
 from windowguard.llm.registry import query
 
 SHARDS = 24
@@ -57,3 +57,18 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without the 20-word passages that occurred before."""
     kept = substring_dedup.remove_repeats(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def tokenizer() -> chat.Vocabulary:
+    """The vocabulary of the production run; the path of another one can be given instead."""
+    import public_tokenizers
+
+    return chat.Vocabulary.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query()
+def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations formatted and read back."""
+    vocabulary = tokenizer()
+    turns = chat.with_probe(spark, table(spark, folder, "conversations"))
+    return chat.read_back(chat.format_turns(turns, vocabulary), vocabulary)
