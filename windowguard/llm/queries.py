@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowguard.llm import chat, decontaminate, quality, shards, simhash_dedup, substring_dedup
+from windowguard.llm import chat, decontaminate, quality, secrets, shards, simhash_dedup, substring_dedup
 from windowguard.llm.registry import query
 
 SHARDS = 24
@@ -72,3 +72,9 @@ def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = tokenizer()
     turns = chat.with_probe(spark, table(spark, folder, "conversations"))
     return chat.read_back(chat.format_turns(turns, vocabulary), vocabulary)
+
+
+@query()
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in all documents, over a ledger that starts empty."""
+    return secrets.report(table(spark, folder, "documents"), secrets.new_ledger(spark))
