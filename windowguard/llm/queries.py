@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowguard.llm import chat, decontaminate, quality, secrets, shards, simhash_dedup, substring_dedup
+from windowguard.llm import chat, decontaminate, mixture, quality, secrets, shards, simhash_dedup, sql, substring_dedup
 from windowguard.llm.registry import query
 
 SHARDS = 24
@@ -78,3 +78,14 @@ def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in all documents, over a ledger that starts empty."""
     return secrets.report(table(spark, folder, "documents"), secrets.new_ledger(spark))
+
+
+#: The production mixture; the SQL of the query states the same weights.
+RECIPE = mixture.Recipe(weights={"domain0": 4, "domain1": 2}, share=50, max_epochs=2, seed=42)
+
+
+@query(sql.OP9)
+def op9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of a weighted mixture and how often each is used."""
+    chosen = mixture.select(table(spark, folder, "documents"), RECIPE)
+    return chosen.select("row.doc_id", "domain", "lang", "source", "n_tokens", "leaf_budget", "epochs")
