@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowguard.llm import chat, decontaminate, mixture, quality, secrets, shards, simhash_dedup, sql, substring_dedup
+from windowguard.llm import chat, decontaminate, line_dedup, mixture, quality, secrets, shards, simhash_dedup, sql, substring_dedup
 from windowguard.llm.registry import query
 
 SHARDS = 24
@@ -89,3 +89,9 @@ def op9_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """The documents of a weighted mixture and how often each is used."""
     chosen = mixture.select(table(spark, folder, "documents"), RECIPE)
     return chosen.select("row.doc_id", "domain", "lang", "source", "n_tokens", "leaf_budget", "epochs")
+
+
+@query()
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of all documents that repeat, or nearly repeat, an earlier line."""
+    return line_dedup.report(table(spark, folder, "documents"))

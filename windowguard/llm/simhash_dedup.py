@@ -15,16 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from windowguard.llm import arrays, golay, xxh64
+from windowguard.llm import arrays, golay, hamming, xxh64
 from windowguard.llm.components import components
 from windowguard.session import stage
 
 SHINGLE_WORDS = 3
-MAX_BITS = 2
 #: First bit and width of the segments of a fingerprint.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Buckets up to this size are compared pair by pair; larger ones are linked in another way.
-SMALL_BUCKET = 64
 
 COPY_WORDS = 5
 COPY_SIMILARITY = 0.8
@@ -125,40 +122,6 @@ def golay_keys(prints: DataFrame) -> DataFrame:
     return prints.select("fp").mapInArrow(emit, "key long, fp long")
 
 
-def sized_buckets(keyed: DataFrame) -> DataFrame:
-    """The rows of keys that more than one row has, with the size ``n`` of the bucket."""
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return stage(keyed.join(sizes, "key"), "buckets")
-
-
-def bucket_pairs(buckets: DataFrame, node: str) -> DataFrame:
-    """Distinct pairs a < b that meet in a small bucket."""
-    small = buckets.where(F.col("n") <= SMALL_BUCKET)
-    left = small.select("key", F.col(node).alias("a"))
-    right = small.select("key", F.col(node).alias("b"))
-    return left.join(right, "key").where("a < b").select("a", "b").distinct()
-
-
-def midpoint_links(prints: DataFrame) -> DataFrame:
-    """Links between fingerprints at most two bits apart, without comparing pairs.
-
-    Two of them share a value within one bit of both, and all that share such a value are within
-    two bits of each other, so linking each to the least of them loses nothing. 65 rows each.
-    """
-    flips = F.concat(F.array(F.lit(0).cast("long")), *[F.array(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])
-    near = prints.select("fp", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("middle"))
-    least = near.groupBy("middle").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return near.join(least, "middle").where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
-
-
-def fingerprint_links(prints: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all fingerprints at most MAX_BITS apart; needs distinct ``fp``."""
-    buckets = sized_buckets(golay_keys(prints))
-    close = bucket_pairs(buckets, "fp").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
-    crowded = stage(buckets.where(F.col("n") > SMALL_BUCKET).select("fp").distinct(), "crowded")
-    return close.unionByName(midpoint_links(crowded))
-
-
 def fingerprint_classes(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fp and ``component_id``: the least doc_id reachable over fingerprint links.
 
@@ -170,7 +133,7 @@ def fingerprint_classes(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFram
     """
     marked = stage(fingerprints(docs, words), "fingerprints")
     prints = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("own")), "prints")
-    linked = components(fingerprint_links(prints), "a", "b")
+    linked = components(hamming.links_within_two(golay_keys(prints)), "a", "b")
     roots = prints.join(linked, prints["fp"] == linked["node"], "left").select(
         "fp", "own", F.coalesce("root", "fp").alias("root")
     )
