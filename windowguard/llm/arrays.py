@@ -98,15 +98,25 @@ def _powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return known
 
 
+class Substrings:
+    """64-bit hashes of any substrings of some bytes."""
+
+    def __init__(self, data: np.ndarray, lane: int = 0):
+        if lane not in _BYTES:
+            numbers = np.random.default_rng(1234 + lane).integers(1, 1 << 63, 256, np.uint64)
+            _BYTES[lane] = numbers * np.uint64(2) + np.uint64(1)
+        power, self.inverse = _powers(lane, len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTES[lane][data] * power[: len(data)], out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        raw = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
+        return pair(raw, (ends - starts).astype(np.uint64))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
     """A 64-bit hash of the bytes of each span."""
-    if lane not in _BYTES:
-        _BYTES[lane] = np.random.default_rng(1234 + lane).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-    power, inverse = _powers(lane, len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[lane][data] * power[: len(data)], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * inverse[starts]
-    return pair(raw, (ends - starts).astype(np.uint64))
+    return Substrings(data, lane).of(starts, ends)
 
 
 def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -5,16 +5,18 @@ from __future__ import annotations
 import numpy as np
 import zstandard
 
+_COMPRESS, _DECOMPRESS = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
 
 def pack(values: np.ndarray) -> bytes:
     """An array of fixed-width integers as compressed byte planes."""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return _COMPRESS.compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(data: bytes, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
+    planes = np.frombuffer(_DECOMPRESS.decompress(data), np.uint8).reshape(width, -1)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowguard.llm import chat, decontaminate, line_dedup, mixture, quality, secrets, shards, simhash_dedup, sql, substring_dedup
+from windowguard.llm import chat, decontaminate, line_dedup, mixture, quality, secrets, shards, simhash_dedup, sql, substring_dedup, suffix_dedup
 from windowguard.llm.registry import query
 
 SHARDS = 24
@@ -95,3 +95,10 @@ def op9_mixture(spark: SparkSession, folder: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of all documents that repeat, or nearly repeat, an earlier line."""
     return line_dedup.report(table(spark, folder, "documents"))
+
+
+@query()
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the 400-byte strings that start twice."""
+    kept = suffix_dedup.remove_repeated_bytes(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
