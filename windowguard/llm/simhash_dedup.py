@@ -146,3 +146,183 @@ def fingerprint_classes(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFram
 def hex64(value: Column | str) -> Column:
     """16 lowercase hex digits of a long."""
     return F.lower(F.lpad(F.hex(value), 16, "0"))
+
+
+#: Candidates may differ in this many of the 256 fingerprint bits; a similarity of 0.8 means about 39.
+COPY_BITS = 68
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, two hashes of its text (t1, t2), and what stands for the text.
+
+    ``node`` is a 128-bit hash of the word sequence, ``prints`` four 64-bit SimHash fingerprints of
+    the shingles under different mixings, ``least`` the least shingle hash under eight others
+    (empty without words).
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in arrays.pieces(batch, "text"):
+                hashes, first = shingle_hashes(piece.column("text"), COPY_WORDS)
+                count = np.diff(first)
+                some = np.flatnonzero(count)
+                prints = np.zeros((len(count), LANES), np.uint64)
+                least = np.zeros((len(some), len(COPY_SEGMENTS)), np.uint64)
+                for lane in range(LANES):
+                    prints[:, lane] = majority(salted(hashes, lane), first)
+                for s in range(len(COPY_SEGMENTS)):
+                    if len(some):
+                        least[:, s] = np.minimum.reduceat(salted(hashes, LANES + s), first[:-1][some])
+                widths = np.zeros(len(count) + 1, np.int32)
+                widths[1:][some] = len(COPY_SEGMENTS)
+                columns = [
+                    *(piece.column(c) for c in ("doc_id", "t1", "t2")),
+                    pa.array(sequence_hashes(piece.column("text")), pa.binary()),
+                    pa.ListArray.from_arrays(
+                        pa.array(np.arange(len(count) + 1, dtype=np.int32) * LANES), pa.array(prints.view(np.int64).ravel())
+                    ),
+                    pa.ListArray.from_arrays(
+                        pa.array(np.cumsum(widths, dtype=np.int32)), pa.array(least.view(np.int64).ravel())
+                    ),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t1", "t2", "node", "prints", "least"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, t1 long, t2 long, node binary, prints array<long>, least array<long>"
+    return docs.select("doc_id", *text_hashes(), "text").mapInArrow(mark, schema)
+
+
+def text_hashes() -> list[Column]:
+    return [F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit("text")).alias("t2")]
+
+
+def salted(hashes: np.ndarray, salt: int) -> np.ndarray:
+    return arrays.mix(hashes ^ np.uint64((salt + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+
+
+def sequence_hashes(column: pa.Array) -> list[bytes]:
+    """A 128-bit hash of the lower-cased word sequence of each value."""
+    data, starts, ends, first = joined_words(column)
+    low = np.append(starts, len(data))[first[:-1]]
+    high = np.where(np.diff(first) > 0, np.append(ends, 0)[np.maximum(first[1:], 1) - 1], low)
+    lanes = [arrays.span_hashes(data, low, high, lane) for lane in range(2)]
+    packed = np.stack(lanes, axis=1).astype(">u8").tobytes()
+    return [packed[i : i + 16] for i in range(0, len(packed), 16)]
+
+
+def copy_keys(nodes: DataFrame) -> DataFrame:
+    """(key, node): for each segment the Golay keys of its 23 bits, each with a least shingle hash.
+
+    Similar texts agree in a least shingle as often as they share shingles, which makes the short
+    Golay keys selective; the keys in turn split the buckets of common shingles.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 1 << 13) for i in range(0, batch.num_rows, 1 << 13)):
+                prints = part.column("prints").flatten().to_numpy().view(np.uint64).reshape(-1, LANES)
+                least = part.column("least").flatten().to_numpy().view(np.uint64).reshape(-1, len(COPY_SEGMENTS))
+                for s, (lane, shift) in enumerate(COPY_SEGMENTS):
+                    word = (prints[:, lane] >> np.uint64(shift)) & np.uint64((1 << golay.BITS) - 1)
+                    row, near = golay.keys(word)
+                    key = arrays.pair(least[row, s], (near << 4 | s).astype(np.uint64))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key.view(np.int64)), part.column("node").take(pa.array(row))], names=["key", "node"]
+                    )
+
+    usable = nodes.where(F.size("least") > 0).select("prints", "least", "node")
+    return usable.mapInArrow(emit, "key long, node binary")
+
+
+def candidate_copies(nodes: DataFrame) -> DataFrame:
+    """Pairs a < b of nodes that share a key and are near in their fingerprints.
+
+    In a small bucket every pair is taken; in a larger one every member is paired with two members
+    that a hash picks for that bucket, and as a text is in some forty buckets, with many others.
+    """
+    buckets = hamming.sized_buckets(copy_keys(nodes))
+    crowded = buckets.where(F.col("n") > hamming.SMALL_BUCKET).withColumn("dice", F.xxhash64("key", "node"))
+    ends = crowded.groupBy("key").agg(
+        F.min(F.struct("dice", "node")).alias("low"), F.max(F.struct("dice", "node")).alias("high")
+    )
+    leads = stage(ends.select("key", F.explode(F.array("low.node", "high.node")).alias("lead")), "leads")
+    star = crowded.join(leads, "key").where(F.col("node") != F.col("lead"))
+    pairs = hamming.bucket_pairs(buckets, "node").unionByName(
+        star.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
+    )
+    prints = nodes.select("node", "prints")
+    both = (
+        pairs.distinct()
+        .join(prints.select(F.col("node").alias("a"), F.col("prints").alias("x")), "a")
+        .join(prints.select(F.col("node").alias("b"), F.col("prints").alias("y")), "b")
+    )
+    distance = sum(F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(LANES))
+    return both.where(distance <= COPY_BITS).select("a", "b")
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(node, shingles): the distinct shingle hashes of each row's text."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in arrays.pieces(batch, "text"):
+                hashes, first = shingle_hashes(piece.column("text"), COPY_WORDS)
+                signed = hashes.view(np.int64)
+                sets = [np.unique(signed[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                node = pa.array(sequence_hashes(piece.column("text")), pa.binary())
+                yield pa.RecordBatch.from_arrays([node, pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return docs.select("text").mapInArrow(emit, "node binary, shingles array<long>")
+
+
+def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose shingle sets have at least that Jaccard similarity; their texts are read again."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    homes = stage(nodes.join(wanted, "node").select("node", F.col("doc_id").alias("owner")), "copy-homes")
+    again = docs.join(homes.select("owner").distinct(), F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi")
+    sets = shingle_sets(again).join(homes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = stage(sets, "copy-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
+    )
+    common = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - common
+    return both.where(100 * common >= percent * union).select("a", "b")
+
+
+def near_copies(docs: DataFrame, percent: int = round(100 * COPY_SIMILARITY)) -> DataFrame:
+    """doc_id, t1, t2 (hashes of the text) of each row, and ``keep``: the row its group keeps.
+
+    Texts with equal word sequences (lower case, white space aside) are copies; texts whose sets of
+    five-word shingles are ``percent`` similar are linked when they meet in a key, and groups are
+    the connected components. The kept row is the one with the least doc_id, nulls first, ties by
+    text. Shorter texts are one shingle; texts without words are copies of each other. Repeated rows
+    have the same entry. Extra columns are left aside.
+    """
+    rows = docs.select("doc_id", "text")
+    marked = stage(signatures(rows), "signatures")
+    nodes = stage(marked.groupBy("node").agg(F.min(F.struct("doc_id", "t1", "t2", "prints", "least")).alias("own")), "copy-nodes")
+    nodes = nodes.select("node", "own.*")
+    pairs = stage(candidate_copies(nodes), "copy-pairs")
+    linked = components(similar(pairs, rows, nodes, percent), "a", "b")
+    rooted = nodes.join(linked, "node", "left").select(
+        "node", F.coalesce("root", "node").alias("root"), F.struct("doc_id", "t1", "t2").alias("own")
+    )
+    rooted = stage(rooted, "copy-roots")
+    best = rooted.groupBy("root").agg(F.min("own").alias("keep"))
+    classes = stage(rooted.join(best, "root").select("node", "keep"), "copy-classes")
+    return marked.join(classes, "node").select("doc_id", "t1", "t2", "keep")
+
+
+def drop_copies(docs: DataFrame, percent: int = round(100 * COPY_SIMILARITY)) -> DataFrame:
+    """One document of each group of near copies, with its own columns."""
+    marked = stage(near_copies(docs, percent), "copy-marks")
+    kept = marked.where(F.struct("doc_id", "t1", "t2") == F.col("keep")).groupBy("doc_id", "t1", "t2").agg(F.count("*").alias("n"))
+    kept = stage(kept.select(F.col("doc_id").alias("id"), F.col("t1").alias("h1"), F.col("t2").alias("h2"), "n"), "copy-kept")
+    names = docs.columns
+    boxed = docs.select(F.struct(*names).alias("row"), "doc_id", *text_hashes())
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2"))
+    chosen = boxed.join(kept, same, "left_semi")
+    if kept.where("n > 1").limit(1).count():  # rows that repeat in id and text: one of them stays
+        chosen = chosen.dropDuplicates(["doc_id", "t1", "t2"])
+    return chosen.select("row.*")
