@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import logging
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError, Py4JNetworkError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+LOG = logging.getLogger(__name__)
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -54,17 +60,41 @@ def shared_dir(spark: SparkSession) -> str | None:
     return named
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+_STAGED: list[tuple[SparkSession, str]] = []
+
+
+def remove_staged() -> None:
+    """Delete all tables that ``stage`` has written; frames that read them are no longer usable.
+
+    Called when the driver's process ends; a long-lived one may call it between flows.
+    """
+    while _STAGED:
+        spark, path = _STAGED.pop()
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except (AttributeError, ConnectionError, Py4JError, Py4JNetworkError):
+            return  # the session has ended, and its JVM with it
+
+
+atexit.register(remove_staged)
+
+
+def stage(df: DataFrame, name: str, schema: T.StructType | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, with another ``schema`` if one is given.
 
     The read-back table has a known size, so the planner broadcasts it only when it is small,
     and a lost executor costs a re-read and no recomputation. Without a shared folder the
-    frame stays lazy.
+    frame stays lazy, and says so: what reads it twice then scans its inputs twice.
     """
     spark = df.sparkSession
     folder = shared_dir(spark)
+    if folder is None and schema is not None:
+        raise ValueError("spark.checkpoint.dir names no shared folder, which a change of schema needs")
     if folder is None:
+        LOG.warning("spark.checkpoint.dir names no shared folder: %s is recomputed by every reader", name)
         return df
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _STAGED.append((spark, path))
+    return spark.read.schema(schema or df.schema).parquet(path)
