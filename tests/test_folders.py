@@ -113,15 +113,74 @@ def test_logs_of_both_layouts(spark, data_root):
     assert len(got) == 9 and "� broken" in {r["line"] for r in got}
 
 
-def test_metric_files_with_other_columns_fail(spark, tmp_path):
+def test_metric_files_are_read_by_their_own_header(spark, tmp_path, caplog):
     folder = tmp_path / "c" / "metric_data"
     folder.mkdir(parents=True)
     (folder / "a.csv").write_text("metric_name,timestamp,value,pod,interface\nm,1,2,p,i\n")
-    got = files.read_metric_samples(spark, str(folder / "*.csv")).first()
-    assert (got["case_id"], got["timestamp"], got["value"], got["pod"]) == ("c", 1.0, 2.0, "p")
-    (folder / "b.csv").write_text("timestamp,metric_name,value,pod,interface\n1,m,2,p,i\n")
-    with pytest.raises(Exception, match="(?i)header"):
-        files.read_metric_samples(spark, str(folder / "*.csv")).collect()
+    (folder / "b.csv").write_text("timestamp,metric_name,pod,value,interface,zone\n3,m,p,4,i,z\nx,m,p,5,i,z\n4,m,p,oops,i,z\n")
+    (folder / "bad.csv").write_text("time,name\n1,2\n")
+    (folder / "worse.csv").write_text("metric_name,value\nm,2\n")
+    pattern = str(folder / "*.csv")
+    got = sorted(
+        (r["case_id"], r["metric_file"], r["metric_name"], r["timestamp"], r["value"], r["pod"], r["zone"])
+        for r in files.read_metric_samples(spark, pattern).collect()
+    )
+    assert got == [
+        ("c", "a.csv", "m", 1.0, 2.0, "p", None), ("c", "b.csv", "m", 3.0, 4.0, "p", "z"), ("c", "b.csv", "m", 4.0, None, "p", "z"),
+    ]
+    assert "2 metric files" in caplog.text
+    usable = {r["path"].rsplit("/", 1)[-1]: r["usable"] for r in files.metric_headers(spark, pattern).collect()}
+    assert usable == {"a.csv": True, "b.csv": True, "bad.csv": False, "worse.csv": False}
+
+
+def test_a_broken_case_document_is_an_error_that_names_the_case(spark, tmp_path):
+    for case, text in (("good", "{}"), ("Lv_P_bad", '{"anomaly_type": "Lv_P')):
+        (tmp_path / case / "_pipeline_out").mkdir(parents=True)
+        (tmp_path / case / "_pipeline_out" / "a.csv").write_text("x\n")
+        (tmp_path / case / "case_metadata.json").write_text(text)
+    with pytest.raises(Exception, match="Lv_P_bad"):
+        files.read_cases(spark, str(tmp_path)).collect()
+
+
+def test_a_case_that_names_no_type_is_left_out_of_the_fit(spark, tmp_path):
+    documents = {"none": None, "typed": {"anomaly_type": "Normal_1"}, "untyped": {"anomaly_level": "x"}, "null": {"anomaly_type": None}}
+    for case, document in documents.items():
+        (tmp_path / case / "_pipeline_out").mkdir(parents=True)
+        (tmp_path / case / "_pipeline_out" / "a.csv").write_text("x\n")
+        if document is not None:
+            (tmp_path / case / "case_metadata.json").write_text(json.dumps(document))
+    got = {r["case_id"]: (r["fit_normal"], r["anomaly_type"]) for r in files.read_cases(spark, str(tmp_path)).collect()}
+    assert got == {"none": (True, "Normal"), "typed": (True, "Normal_1"), "untyped": (False, "Normal"), "null": (False, None)}
+
+
+def test_absent_modality_folders(spark, data_root, tmp_path):
+    import shutil
+
+    for case in ("Normal", "case two"):
+        shutil.copytree(f"{data_root}/{case}/_pipeline_out", tmp_path / case / "_pipeline_out")
+    sources = flow.sources_from_folder(spark, str(tmp_path))
+    assert sources.samples is None and sources.logs is None
+    row = flow.build_wide(sources).first()
+    assert row["service_metric__process_count"] is None and row["service_log__event_rate"] is None
+
+
+def test_files_of_a_case_are_summed_up_apart(spark, data_root, tmp_path):
+    import shutil
+
+    for case in ("Normal", "case two"):
+        shutil.copytree(f"{data_root}/{case}", tmp_path / case)
+    first = tmp_path / "Normal" / "metric_data" / "m.csv"
+    (first.parent / "again.csv").write_text(first.read_text())
+    wide = flow.build_wide(flow.sources_from_folder(spark, str(tmp_path))).where("case_id = 'Normal'")
+    alone = flow.build_wide(flow.sources_from_folder(spark, data_root)).where("case_id = 'Normal'")
+    column = "service_metric__cpu_usage_rate"
+    doubled = sorted(r[column] for r in wide.where(f"{column} is not null").select(column).collect())
+    once = sorted(r[column] for r in alone.where(f"{column} is not null").select(column).collect())
+    assert doubled == sorted(2 * once)
+    from windowguard.operators import quality
+
+    found = {(r["rule"], r["column"]): r["n_rows"] for r in quality.contract_violations(wide).collect()}
+    assert found["duplicate", "sample_id"] == len(once)
 
 
 @pytest.fixture(scope="module")

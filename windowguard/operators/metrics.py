@@ -13,6 +13,14 @@ from windowguard.session import stage
 SAMPLE_COLUMNS = ["case_id", "metric_name", "timestamp", "value", "pod", "interface"]
 
 
+def source_keys(df: DataFrame) -> list[str]:
+    """What samples are summed up within: the case, and the file where several files are told apart.
+
+    Files of one case that overlap in time then show up as repeated rows, not as doubled counters.
+    """
+    return ["case_id", *(c for c in ("metric_file",) if c in df.columns)]
+
+
 def filter_samples(
     samples: DataFrame, bounds: DataFrame, names: list[str] | None = None
 ) -> DataFrame:
@@ -28,7 +36,8 @@ def filter_samples(
         (F.col("end_ms") / F.lit(1000.0)).alias("_end"),
     )
     inside = F.col("timestamp").between(F.col("_start"), F.col("_end"))
-    return named.select(*SAMPLE_COLUMNS).join(seconds, "case_id").where(inside).drop("_start", "_end")
+    kept = dict.fromkeys([*source_keys(samples), *SAMPLE_COLUMNS])
+    return named.select(*kept).join(seconds, "case_id").where(inside).drop("_start", "_end")
 
 
 def count_in_range(samples: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
@@ -57,7 +66,7 @@ def pod_windows(samples: DataFrame, services: list[str], window_ms: int = K.WIND
     )
     return (
         _windowed(pods, window_ms)
-        .groupBy("case_id", "pod", "timestamp_window_ms")
+        .groupBy(*source_keys(samples), "pod", "timestamp_window_ms")
         .agg(
             _mean_of(K.CPU_COUNTER).alias("cpu"),
             _mean_of(K.MEMORY_USAGE).alias("memory"),
@@ -105,12 +114,13 @@ def pod_features(samples: DataFrame, services: list[str], window_ms: int = K.WIN
     occur in the case at all. The pod windows are staged, because the samples they sum up are
     many and what follows reads them several times.
     """
+    keys = source_keys(samples)
     wide = stage(pod_windows(samples, services, window_ms), "pod-windows")
-    rated = counter_rate(wide, ["case_id", "pod"], "cpu", "cpu_rate", window_ms)
+    rated = counter_rate(wide, [*keys, "pod"], "cpu", "cpu_rate", window_ms)
     ratio = F.when(F.col("memory_limit") > 0, F.col("memory") / F.col("memory_limit"))
     service = (
         rated.withColumn("memory_ratio", F.coalesce(S.clip(ratio, 0.0, 1.0), F.lit(0.0)))
-        .groupBy("case_id", "service_name", "timestamp_window_ms")
+        .groupBy(*keys, "service_name", "timestamp_window_ms")
         .agg(
             F.avg("cpu_rate").alias("service_metric__cpu_usage_rate"),
             F.avg("memory_ratio").alias("service_metric__memory_usage_ratio"),
@@ -118,9 +128,10 @@ def pod_features(samples: DataFrame, services: list[str], window_ms: int = K.WIN
         )
     )
     count = F.col("service_metric__process_count")
-    present = service.groupBy("case_id").agg((F.count(count) > 0).alias("_has_processes"))
+    # One row per case, stored: the planner knows that it is small.
+    present = stage(wide.groupBy(*keys).agg((F.count("processes") > 0).alias("_has_processes")), "processes")
     return (
-        service.join(present, "case_id")
+        service.join(present, keys)
         .withColumn(
             "service_metric__process_count",
             F.when(F.col("_has_processes"), count).otherwise(F.lit(0.0)),
@@ -133,17 +144,18 @@ def host_rates(samples: DataFrame, window_ms: int = K.WINDOW_MS) -> DataFrame:
     """Network error rates per (case, window): counters summed over interfaces, then differenced."""
     sums = (
         _windowed(samples.where(F.col("metric_name").isin(K.HOST_METRICS)), window_ms)
-        .groupBy("case_id", "metric_name", "timestamp_window_ms")
+        .groupBy(*source_keys(samples), "metric_name", "timestamp_window_ms")
         .agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"))
     )
+    keys = source_keys(samples)
     sums = stage(sums, "host-windows")
-    rated = counter_rate(sums, ["case_id", "metric_name"], "total", "rate", window_ms)
+    rated = counter_rate(sums, [*keys, "metric_name"], "total", "rate", window_ms)
 
     def of(metric: str):
         rate = F.max(F.when(F.col("metric_name") == metric, F.col("rate")))
         return F.coalesce(rate, F.lit(0.0))
 
-    return rated.groupBy("case_id", "timestamp_window_ms").agg(
+    return rated.groupBy(*keys, "timestamp_window_ms").agg(
         of(K.NET_RX_ERRORS).alias("service_metric__net_rx_error_rate"),
         of(K.NET_TX_ERRORS).alias("service_metric__net_tx_error_rate"),
     )
@@ -154,7 +166,12 @@ def metric_features(
 ) -> DataFrame:
     """The five service features; the host rates go to every service of the window."""
     pods = pod_features(samples, services, window_ms)
-    joined = pods.join(host_rates(samples, window_ms), ["case_id", "timestamp_window_ms"], "left")
+    return with_host_rates(pods, host_rates(samples, window_ms)).drop("metric_file")
+
+
+def with_host_rates(cells: DataFrame, rates: DataFrame) -> DataFrame:
+    """Give every service of a window the host rates of that window, 0 where there are none."""
+    joined = cells.join(rates, [*source_keys(rates), "timestamp_window_ms"], "left")
     return joined.fillna(
         0.0, subset=["service_metric__net_rx_error_rate", "service_metric__net_tx_error_rate"]
     )

@@ -46,7 +46,7 @@ def build_wide(
     service and stay NULL where a service has none. The cells, the case bounds and the templates
     are staged: they are read again, and with a known size the joins with the raw samples and
     lines are planned as broadcasts only where that side is small. So are the kept samples, about
-    one in fifty, so that the raw ones are scanned once.
+    one in fifty, and the condensed lines, so that raw samples and lines are scanned once.
     """
     config = config or ContractConfig()
     cells = stage(
@@ -60,10 +60,12 @@ def build_wide(
         services = sorted(set(sources.endpoints.values()))
         wide = wide.join(metrics.metric_features(kept, services, window_ms), on_service, "left")
     if sources.logs is not None:
-        normal = sources.cases.where(S.is_normal(F.col("anomaly_type"))).select("case_id")
-        normal_logs = sources.logs.join(normal, "case_id", "left_semi")
-        templates = stage(logs.fit_templates(normal_logs), "templates")
-        wide = wide.join(logs.log_features(sources.logs, templates, window_ms), on_service, "left")
+        says = F.col("fit_normal") if "fit_normal" in sources.cases.columns else S.is_normal(F.col("anomaly_type"))
+        normal = sources.cases.where(says).select("case_id")
+        lines = stage(logs.condense(sources.logs, window_ms), "log-lines")
+        normal_lines = lines.join(normal, "case_id", "left_semi")
+        templates = stage(logs.fit_templates(normal_lines), "templates")
+        wide = wide.join(logs.log_features(lines, templates, window_ms), on_service, "left")
     wide = _with_missing(wide, config.feature_columns)
     wide = labels.with_labels(wide, sources.cases)
     if "meta_case_id" in sources.cases.columns:
@@ -109,7 +111,9 @@ def sources_from_folder(
     with_metrics: bool = True,
     with_logs: bool = True,
 ) -> Sources:
-    """All cases below ``root``, read by folder layout."""
+    """All cases below ``root``, read by folder layout; a modality without any folder is absent."""
+    with_metrics = with_metrics and files.any_file(spark, f"{root}/*/metric_data/*.csv")
+    with_logs = with_logs and files.any_file(spark, f"{root}/*/log_data")
     return Sources(
         trace_red=files.read_trace_red(spark, root),
         client_red=files.read_client_red(spark, root),

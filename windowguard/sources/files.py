@@ -6,6 +6,8 @@ read covers all cases.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,12 @@ from windowguard import schemas
 from windowguard.functions import scalars as S
 from windowguard.session import stage
 
+LOG = logging.getLogger(__name__)
+
+# Columns that every metric file has, and those that hold numbers.
+METRIC_COLUMNS = ["metric_name", "timestamp", "value", "pod", "interface"]
+NUMBERS = ("timestamp", "value")
+
 TRACE_RED_FILE = "tt_traces_red_15s.csv"
 CLIENT_RED_FILE = "tt_endpoint_health_15s.csv"
 
@@ -27,6 +35,14 @@ def _part(path: Column, from_end: int) -> Column:
     return F.element_at(F.split(path, "/"), -from_end)
 
 
+def _before(path: Column, folder: str) -> Column:
+    """The name of the folder that holds ``folder``.
+
+    What stands below may be a file, or a folder of part files under the file's name.
+    """
+    return F.regexp_extract(path, f"([^/]+)/{folder}/", 1)
+
+
 def _nan_to_null(df: DataFrame) -> DataFrame:
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
@@ -39,32 +55,73 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 def read_trace_red(spark: SparkSession, root: str) -> DataFrame:
     """Windowed server RED tables of all cases; the window is epoch ms."""
     raw = spark.read.schema(schemas.TRACE_RED).csv(f"{root}/*/_pipeline_out/{TRACE_RED_FILE}", header=True)
-    named = raw.withColumn("case_id", _part(_path(), 3))
+    named = raw.withColumn("case_id", _before(_path(), "_pipeline_out"))
     return _nan_to_null(named.withColumnRenamed("timestamp_window", "timestamp_window_ms"))
 
 
 def read_client_red(spark: SparkSession, root: str) -> DataFrame:
     """Windowed client RED tables of all cases; the ISO window becomes epoch ms."""
     raw = spark.read.schema(schemas.CLIENT_RED).csv(f"{root}/*/_pipeline_out/{CLIENT_RED_FILE}", header=True)
-    named = raw.withColumn("case_id", _part(_path(), 3)).withColumn(
+    named = raw.withColumn("case_id", _before(_path(), "_pipeline_out")).withColumn(
         "timestamp_window_ms", S.iso_to_ms(F.col("timestamp_window"))
     )
     return _nan_to_null(named.drop("timestamp_window"))
 
 
+def any_file(spark: SparkSession, pattern: str) -> bool:
+    """Whether a file or folder matches the pattern, in whatever store the path names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
+def metric_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, columns, usable) of every metric CSV: its header, and whether it can be read by it.
+
+    The header is the line that names the metric column. A file without such a line, or without
+    one of the needed columns, is not usable.
+    """
+    needed = F.array(*[F.lit(c) for c in METRIC_COLUMNS])
+    lines = spark.read.text(paths).select(_path().alias("path"), "value")
+    fields = F.transform(F.split(F.regexp_replace("value", "[\r\"\ufeff]", ""), ","), F.trim)
+    header = F.when(F.col("value").contains(METRIC_COLUMNS[0]) & F.array_contains(fields, METRIC_COLUMNS[0]), fields)
+    found = lines.groupBy("path").agg(F.max(header).alias("columns"))
+    usable = F.coalesce(F.size(F.array_except(needed, "columns")) == 0, F.lit(False))
+    return found.withColumn("usable", usable)
+
+
 def read_metric_samples(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Long metric CSVs: labels as text, timestamp and value as numbers.
 
-    The header of the first file gives the column order. Every file's header is checked against
-    it, so that a file with other columns fails instead of being misread; read such files apart.
+    Each file is read by the names in its own header, so files may differ in order and in their
+    labels; a label that a file lacks is NULL. Files that cannot be used are skipped with a warning
+    (``metric_headers`` lists them), so one bad file does not stop the others. Rows whose time is no
+    number are left out. ``metric_file`` is the file a sample comes from.
     """
-    header = spark.read.csv(paths, header=True).columns
-    numbers = {"timestamp", "value"}
-    schema = T.StructType(
-        [T.StructField(c, T.DoubleType() if c in numbers else T.StringType()) for c in header]
+    headers = stage(metric_headers(spark, paths), "metric-headers")
+    skipped = headers.where(~F.col("usable")).count()
+    if skipped:
+        LOG.warning("%d metric files have no usable header and are skipped", skipped)
+    known = headers.where("usable")
+    # As many names as the files have columns.
+    names = sorted(r[0] for r in known.select(F.explode("columns")).distinct().collect() if r[0])
+    # The folder gives the case, whatever the file says.
+    names = [*METRIC_COLUMNS, *(n for n in names if n not in (*METRIC_COLUMNS, "case_id", "metric_file"))]
+    width = known.agg(F.max(F.size("columns"))).first()[0] or len(names)
+    cells = [f"_c{i}" for i in range(width)]
+    raw = spark.read.schema(", ".join(f"{c} string" for c in cells)).csv(paths)
+    placed = raw.select(F.array(*cells).alias("_cells"), _path().alias("path")).join(known.drop("usable"), "path")
+
+    def cell(name: str) -> Column:
+        text = F.get("_cells", F.array_position("columns", name).cast("int") - 1)
+        return text.try_cast("double") if name in NUMBERS else text
+
+    rows = placed.select(
+        *[cell(n).alias(n) for n in names],
+        _before(F.col("path"), "metric_data").alias("case_id"),
+        F.regexp_extract("path", "/metric_data/([^/]+)", 1).alias("metric_file"),
     )
-    raw = spark.read.schema(schema).option("enforceSchema", False).csv(paths, header=True)
-    return _nan_to_null(raw.withColumn("case_id", _part(_path(), 3)))
+    return _nan_to_null(rows.where(F.col("timestamp").isNotNull()))
 
 
 def read_logs(spark: SparkSession, root: str) -> DataFrame:
@@ -106,15 +163,17 @@ def read_cases(spark: SparkSession, root: str) -> DataFrame:
     """Metadata of every case that has windowed tables.
 
     The document in the case folder comes first, then the one in ``trace_data``, else the case
-    is a Normal run. A missing key takes its default, a key that is null stays NULL.
-    ``case_id`` is the folder, ``meta_case_id`` the name in the document.
+    is a Normal run. A missing key takes its default, a key that is null stays NULL; a document that
+    is there but cannot be parsed is an error that names the case. ``case_id`` is the folder,
+    ``meta_case_id`` the name in the document, and ``fit_normal`` tells whether the case itself says
+    it is Normal, which a document without a type does not.
     """
     reader = spark.read.option("recursiveFileLookup", True)
     cases = (
         reader.option("pathGlobFilter", "*.csv")
         .format("binaryFile")
         .load(f"{root}/*/_pipeline_out")
-        .select(_part(_path(), 3).alias("case_id"))
+        .select(_before(_path(), "_pipeline_out").alias("case_id"))
         .distinct()
     )
 
@@ -122,15 +181,19 @@ def read_cases(spark: SparkSession, root: str) -> DataFrame:
         spark.read.option("pathGlobFilter", "case_metadata.json")
         .option("recursiveFileLookup", True)
         .text(root, wholetext=True)
-        .select(_path().alias("_path"), F.from_json("value", "map<string,string>").alias("doc"))
+        .select(_path().alias("_path"), "value")
     )
     in_trace = _part(F.col("_path"), 2) == "trace_data"
     placed = documents.select(
         F.when(in_trace, _part(F.col("_path"), 3)).otherwise(_part(F.col("_path"), 2)).alias("case_id"),
         F.when(in_trace, 1).otherwise(0).alias("_place"),
-        "doc",
+        "value",
     )
-    first = placed.groupBy("case_id").agg(F.min_by("doc", "_place").alias("doc"))
+    first = placed.groupBy("case_id").agg(F.min_by("value", "_place").alias("_text"))
+    parsed = F.from_json("_text", "map<string,string>")
+    broken = F.raise_error(F.concat(F.lit("case metadata cannot be parsed: "), "case_id"))
+    whole = F.col("_text").rlike(r"(?s)^\s*\{.*\}\s*$") & parsed.isNotNull()
+    first = first.withColumn("doc", F.when(whole, parsed).otherwise(broken.cast("map<string,string>")))
     doc = F.col("doc")
 
     def of(key: str) -> Column:
@@ -147,6 +210,7 @@ def read_cases(spark: SparkSession, root: str) -> DataFrame:
         of("target_service").alias("target_service"),
         of("inject_start_ms").cast("long").alias("inject_start_ms"),
         of("inject_end_ms").cast("long").alias("inject_end_ms"),
+        (doc.isNull() | F.coalesce(S.is_normal(of("anomaly_type")), F.lit(False))).alias("fit_normal"),
     )
 
 
@@ -160,14 +224,17 @@ def read_traces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.schema(schemas.TRACE).json(paths, multiLine=True)
 
 
-def read_range_results(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Metric range results with run and test folder; unreadable files give no usable row."""
+def read_range_results(spark: SparkSession, paths: str | list[str], run_prefix: str = "") -> DataFrame:
+    """Metric range results with run and test folder; unreadable files give no usable row.
+
+    Only runs whose folder begins with ``run_prefix`` are taken.
+    """
     raw = spark.read.schema(schemas.RANGE_RESULT).json(paths, multiLine=True, mode="PERMISSIVE")
     path = _path()
     return raw.select(
         _part(path, 4).alias("run_end"), _part(path, 3).alias("test_name"),
         _part(path, 1).alias("file"), "metric", "values",
-    ).where(F.col("metric").isNotNull())
+    ).where(F.col("metric").isNotNull() & F.col("run_end").startswith(run_prefix))
 
 
 def read_text_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:

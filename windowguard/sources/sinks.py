@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,3 +111,23 @@ def write_metrics(
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
+
+
+def write_text_files(df: DataFrame, folder: str, name: str, suffix: str, numbered: bool = True) -> None:
+    """A text column as files ``<name>-<n><suffix>`` of a folder, or one file ``<name><suffix>``.
+
+    Readers that go by file names need them; the part files are written aside and renamed in the
+    same store.
+    """
+    spark = df.sparkSession
+    aside = f"{folder}/_parts-{uuid.uuid4().hex}"
+    df.write.text(aside)
+    paths = spark._jvm.org.apache.hadoop.fs
+    store = paths.Path(aside).getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted(str(f.getPath()) for f in store.globStatus(paths.Path(f"{aside}/part-*")))
+    if not numbered and len(parts) > 1:
+        raise ValueError(f"{len(parts)} part files for one file name, coalesce the table first")
+    for number, part in enumerate(parts):
+        target = f"{folder}/{name}-{number}{suffix}" if numbered else f"{folder}/{name}{suffix}"
+        store.rename(paths.Path(part), paths.Path(target))
+    store.delete(paths.Path(aside), True)
