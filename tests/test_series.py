@@ -116,3 +116,10 @@ def test_fill_windows(spark, rows, chunk):
     assert rows(got, "k", "w", "n") == sorted(
         [("a", 0, 3), ("a", 10, 0), ("a", 20, 0), ("a", 30, 1), ("b", 50, 2)], key=lambda r: tuple(map(str, r))
     )
+
+
+def test_every_heavy_group_is_split(spark):
+    df = spark.range(6000).selectExpr("id % 1500 as g", "cast(id div 1500 as double) as v", "id + 1 as n")
+    got = series.prefix_sums(df, ["g"], "v", ["n"], heavy_rows=2)
+    bad = got.where("n_before != v * (g + 1) + 1500 * v * (v - 1) / 2 or n_total != 4 * (g + 1) + 9000")
+    assert got.count() == 6000 and bad.count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.ml.feature import PCA
@@ -144,14 +145,20 @@ def log_type_counts(typed: DataFrame) -> DataFrame:
     )
 
 
+def distinct_names(df: DataFrame, column: str) -> list[str]:
+    """The names that become columns, in order: as many as the wide table has columns."""
+    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
+
+
 def log_type_pivot(
     typed: DataFrame, files: list[str] | None = None, prefix: str = K.SERVICE_LOG_PREFIX
 ) -> DataFrame:
     """Counts of line types by base file name, 0 where absent, most frequent type first.
 
-    Without ``files`` Spark looks up the distinct names first. ``prefix`` is cut from the
-    column names.
+    Without ``files`` the distinct names are looked up first, however many there are. ``prefix``
+    is cut from the column names.
     """
+    files = distinct_names(typed, "base_filename") if files is None else files
     wide = typed.groupBy("log_type").pivot("base_filename", files).agg(F.count(F.lit(1)))
     names = [c for c in wide.columns if c != "log_type"]
     filled = wide.fillna(0, subset=names)
@@ -212,10 +219,11 @@ def prom_wide(
 ) -> DataFrame:
     """One row per (keys, timestamp), one column per metric in name order, missing as NULL.
 
-    Of several values for the same cell the last one by ``order`` wins.
+    Of several values for the same cell the last one by ``order`` wins. Without ``names`` every
+    name of the table gets its column.
     """
     last = F.max_by("value", F.struct(*order))
-    names = sorted(names) if names is not None else None
+    names = distinct_names(long, "metric_name") if names is None else sorted(names)
     return long.groupBy(*keys, "timestamp").pivot("metric_name", names).agg(last)
 
 
@@ -239,6 +247,15 @@ def fit_pca(df: DataFrame, vector: str, names: list[str], k: int | None = None):
     )
 
 
+def pca_by_subset(df: DataFrame, vector: str, names: list[str], subsets: dict[str, Column]) -> DataFrame:
+    """Explained variance (subset, component, ratio, cumulative) of each named subset of the rows."""
+    parts = [
+        fit_pca(df.where(rows), vector, names)[1].select(F.lit(subset).alias("subset"), "*")
+        for subset, rows in subsets.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def top_loadings(components: DataFrame, n: int, k: int) -> DataFrame:
     """The ``k`` features with the largest absolute loading of each of the first ``n`` components."""
     size = F.abs("loading")

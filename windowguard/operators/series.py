@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEAVY_ROWS = 1_000_000
-HEAVY_GROUPS = 1_024
-RANGE_BITS = 10
+#: Ranges of about a quarter of a heavy group's least size, at least two. More than 2 ** RANGE_BITS
+#: are not told apart, which at 10 ** 12 rows leaves some 10 ** 7 rows a range.
+RANGES_PER_HEAVY = 4
+RANGE_BITS = 17
 CUT_ROWS = 1_000_000
 CHUNK_WINDOWS = 65_536
 
@@ -27,9 +29,9 @@ def prefix_sums(
     least ``heavy_rows`` rows is split into value ranges: the ranges are summed first, then each
     range is ranked by itself and shifted by the sum of the ranges below it. Every row is ranked;
     only the cut points come from about ``CUT_ROWS`` rows picked by hash, because they merely
-    balance the load and any others would give the same result. Only the largest
-    ``HEAVY_GROUPS`` groups are split, which bounds the broadcast; any further group holds less
-    than one part in ``HEAVY_GROUPS`` of the rows. A light group is one range and needs no shift.
+    balance the load and any others would give the same result. There are as many ranges as the
+    rows call for, and every heavy group is split, however many there are. A light group is one
+    range and needs no shift.
 
     All branches read the same columns of ``df`` (hence ``every``), so its exchange is reused.
     """
@@ -38,23 +40,26 @@ def prefix_sums(
     every = reduce(lambda a, b: a + b, numbers) >= 0
     sizes = df.groupBy(*keys).agg(F.count(F.when(every, 1)).alias("_rows"))
     if keys:
-        heavy = (
-            sizes.where(F.col("_rows") >= heavy_rows)
-            .orderBy(F.desc("_rows"), *keys)
-            .limit(HEAVY_GROUPS)
-            .select(*keys, F.lit(True).alias("_heavy"))
-        )
+        heavy = sizes.where(F.col("_rows") >= heavy_rows).select(*keys, F.lit(True).alias("_heavy"))
         split = df.join(heavy, keys, "left")
     else:
         split = df.withColumn("_heavy", sizes.scalar() >= heavy_rows)
 
-    ranges = 2**RANGE_BITS
-    shares = ", ".join(f"{i / ranges}D" for i in range(1, ranges))
     rows = df.agg(F.count(F.when(every, 1))).scalar()
     draw = F.abs(F.xxhash64(*keys, order) / F.lit(2.0**63))
     picked = every & (draw <= F.lit(CUT_ROWS) / rows)
-    cuts = df.select(F.when(picked, F.col(order)).alias("_x")).agg(
-        F.expr(f"percentile_approx(_x, array({shares}), 10000)")
+    wanted = F.ceil(F.col("_all") * RANGES_PER_HEAVY / F.lit(float(heavy_rows)))
+    n_ranges = F.least(F.greatest(wanted, F.lit(2)), F.lit(2**RANGE_BITS)).cast("int")
+    places = F.sequence(F.lit(1), F.col("_ranges") - 1)
+    cuts = (
+        df.select(F.when(picked, F.col(order)).alias("_x"), F.when(every, 1).alias("_one"))
+        .agg(F.array_sort(F.collect_list("_x")).alias("_xs"), F.count("_one").alias("_all"))
+        .withColumn("_ranges", n_ranges)
+        .select(
+            F.transform(
+                places, lambda i: F.get("_xs", F.floor(i * F.size("_xs") / F.col("_ranges")).cast("int"))
+            ).alias("_cuts")
+        )
     )
     # Binary search for the number of cut points <= order.
     place = F.aggregate(
