@@ -87,6 +87,7 @@ def mad_baseline(normal_red: DataFrame) -> DataFrame:
     gaps = normal_red.join(medians, "endpoint_key").select(
         "endpoint_key", F.abs(F.col(p95) - F.col("p95_median")).alias("gap")
     )
+    gaps = stage(gaps, "gaps")
     mads = quantiles(gaps, ["endpoint_key"], "gap", {"p95_mad": 0.5})
     means = normal_red.groupBy("endpoint_key").agg(
         (F.avg("trace_error_rate") + 0.1).alias("error_threshold"),

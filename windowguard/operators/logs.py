@@ -28,7 +28,9 @@ def _tokens() -> Column:
 
 
 def _template_key(df: DataFrame) -> DataFrame:
-    """Add tokens (a wildcard for each with a digit), their number and the first one."""
+    """Add tokens (a wildcard for each with a digit), their number and the first one, unless there."""
+    if "tokens" in df.columns:
+        return df
     return (
         df.withColumn("tokens", _tokens())
         .withColumn("n_tokens", F.size("tokens"))
@@ -36,6 +38,18 @@ def _template_key(df: DataFrame) -> DataFrame:
     )
 
 
+def condense(parsed: DataFrame, window_ms: int = K.WINDOW_MS, *extra: Column) -> DataFrame:
+    """Counts ``n`` of the lines of each (case, service, window, level, tokens).
+
+    Tokens with a digit are masked, so most lines merge before the shuffle. Stored, this table
+    stands for the parsed lines: templates are fitted on it and matched with it, and the raw text
+    is read and parsed once. ``extra`` are further aggregates to carry.
+    """
+    keyed = _template_key(parsed).withColumn("timestamp_window_ms", S.bucket(F.col("ts_ms"), window_ms))
+    keys = ["case_id", "service_name", "timestamp_window_ms", "level", "tokens", "n_tokens", "first_token"]
+    return keyed.groupBy(*keys).agg(F.count("*").alias("n"), *extra)
+
+
 def fit_templates(parsed: DataFrame) -> DataFrame:
     """One template per (token count, first token): tokens that vary become wildcards.
 
@@ -72,15 +86,16 @@ def match_templates(parsed: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def aggregate_logs(parsed: DataFrame, window_ms: int = K.WINDOW_MS) -> DataFrame:
-    """Event, error and distinct-template counts per (case, service, window)."""
-    return (
-        parsed.withColumn("timestamp_window_ms", S.bucket(F.col("ts_ms"), window_ms))
-        .groupBy("case_id", "service_name", "timestamp_window_ms")
-        .agg(
-            F.count("*").alias("event_count"),
-            F.count(F.when(F.col("level").isin(K.ERROR_LEVELS), 1)).alias("error_count"),
-            F.count_distinct("template_id").alias("unique_templates"),
+    """Event, error and distinct-template counts per (case, service, window), of lines or condensed lines."""
+    if "n" not in parsed.columns:
+        parsed = parsed.withColumns(
+            {"timestamp_window_ms": S.bucket(F.col("ts_ms"), window_ms), "n": F.lit(1).cast("long")}
         )
+    errors = F.sum(F.when(F.col("level").isin(K.ERROR_LEVELS), F.col("n")).otherwise(0))
+    return parsed.groupBy("case_id", "service_name", "timestamp_window_ms").agg(
+        F.sum("n").alias("event_count"),
+        errors.alias("error_count"),
+        F.count_distinct("template_id").alias("unique_templates"),
     )
 
 

@@ -6,12 +6,14 @@ from functools import reduce
 
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from windowguard.functions import scalars as S
 from windowguard.operators.series import HEAVY_ROWS, prefix_sums
+from windowguard.session import stage
 
 
 def message_features(df: DataFrame, message: str, trigrams: str = "char") -> DataFrame:
@@ -47,6 +49,11 @@ def sequence_tokens(
     )
 
 
+def event_tokens(matched: DataFrame, seq_id: str) -> DataFrame:
+    """Sequences of events: the template ids of a sequence's lines as tokens with their counts."""
+    return matched.groupBy(seq_id, F.col("template_id").alias("token")).agg(F.count("*").alias("n"))
+
+
 def sequence_lengths(df: DataFrame, seq_id: str, by: list[str] | None = None) -> DataFrame:
     """Number of events per sequence."""
     return df.groupBy(*(by or []), seq_id).agg(F.count("*").alias("seq_len"))
@@ -115,47 +122,72 @@ def indexed_vocabulary(train: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFr
     )
 
 
-@F.udf(VectorUDT())
-def _sparse(size, cells):
-    return SparseVector(size, {int(c["index"]): float(c["value"]) for c in cells})
+def vector_cells(train: DataFrame, tokens: DataFrame, seq_id: str, kind: str = "tfidf") -> DataFrame:
+    """Non-zero cells (seq_id, token, index, weight) of the vectors of ``tokens`` over the training vocabulary.
 
+    ``kind`` is tfidf (idf = ln((N + 1) / (df + 1)) + 1, each vector scaled to length 1) or count.
+    Every cell is a row, so neither a long sequence nor a large vocabulary meets in one.
+    """
+    return _cells(stage(indexed_vocabulary(train), "vocabulary"), train, tokens, seq_id, kind)
 
-def vectorize(train: DataFrame, test: DataFrame, seq_id: str, kind: str = "tfidf"):
-    """Vectors (seq_id, features) of train and test over the training vocabulary.
 
-    ``kind`` is tfidf (idf = ln((N + 1) / (df + 1)) + 1, rows scaled to length 1) or count. A
-    vector has at most one cell per vocabulary entry, whatever the length of the sequence.
-    """
+def _cells(words: DataFrame, train: DataFrame, tokens: DataFrame, seq_id: str, kind: str) -> DataFrame:
     if kind not in ("tfidf", "count"):
         raise ValueError("kind must be 'tfidf' or 'count'")
-    words = indexed_vocabulary(train)
+    if kind == "count":
+        return tokens.join(words, "token").select(seq_id, "token", "index", F.col("n").cast("double").alias("weight"))
     total = train.agg(F.count_distinct(seq_id)).scalar()
-    size = words.agg(F.count("*")).scalar()
     idf = F.log((total + 1) / (F.col("df") + 1)) + 1
+    raw = tokens.join(words, "token").select(seq_id, "token", "index", (F.col("n") * idf).alias("_raw"))
+    norms = raw.groupBy(seq_id).agg(F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_norm"))
+    return raw.join(norms, seq_id).select(seq_id, "token", "index", (F.col("_raw") / F.col("_norm")).alias("weight"))
+
+
+def vectorize(train: DataFrame, test: DataFrame, seq_id: str, kind: str = "tfidf"):
+    """Stored vectors (seq_id, features) of train and test over the training vocabulary.
+
+    A vector is written as the fields it consists of and read back as a vector, so that no Python
+    runs, models fit on stored data, and a vector is never longer than its sequence has tokens.
+    """
+    words = stage(indexed_vocabulary(train), "vocabulary")
+    size = words.agg(F.count("*")).scalar().cast("int")
 
     def vectors(tokens: DataFrame) -> DataFrame:
-        weight = F.col("n") * idf if kind == "tfidf" else F.col("n").cast("double")
-        cells = tokens.join(words, "token", "left").select(
-            seq_id, "index", F.when(F.col("index").isNotNull(), weight).alias("weight")
-        )
-        rows = cells.groupBy(seq_id).agg(
-            F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
-            F.collect_list(
-                F.when(F.col("index").isNotNull(), F.struct("index", F.col("weight").alias("value")))
-            ).alias("cells"),
-        )
-        if kind == "tfidf":
-            scaled = F.transform(
-                "cells", lambda c: F.struct(c["index"].alias("index"), (c["value"] / F.col("norm")).alias("value"))
-            )
-            rows = rows.withColumn("cells", scaled)
-        return rows.withColumn("_size", size).select(
-            seq_id, _sparse("_size", "cells").alias("features")
+        cells = _cells(words, train, tokens, seq_id, kind)
+        rows = cells.groupBy(seq_id).agg(F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("_cells"))
+        every = tokens.select(seq_id).distinct().join(rows, seq_id, "left")
+        found = F.coalesce("_cells", F.array().cast("array<struct<index:long,weight:double>>"))
+        features = F.struct(
+            F.lit(0).cast("tinyint").alias("type"),
+            size.alias("size"),
+            F.transform(found, lambda c: c["index"].cast("int")).alias("indices"),
+            F.transform(found, lambda c: c["weight"]).alias("values"),
         )
+        fields = every.select(seq_id, features.alias("features"))
+        schema = T.StructType([fields.schema[seq_id], T.StructField("features", VectorUDT())])
+        return stage(fields, "vectors", schema)
 
     return vectors(train), vectors(test)
 
 
+def nearest_center(rows: DataFrame, centers: list[list[float]]) -> DataFrame:
+    """Add ``score``, the distance of ``features`` to the nearest centre, over its non-zero cells only."""
+    spark = rows.sparkSession
+    norms = [sum(x * x for x in c) for c in centers]
+    table = spark.createDataFrame([(centers, norms)], "c array<array<double>>, n array<double>")
+    point = F.unwrap_udt("features")
+    dense = F.sequence(F.lit(0), F.size(point["values"]) - 1)
+    cells = F.arrays_zip(F.coalesce(point["indices"], dense).alias("i"), point["values"].alias("x"))
+    every = rows.withColumns({"_centers": table.select(F.struct("c", "n")).scalar(), "_cells": cells})
+
+    def squared(center: Column, norm: Column) -> Column:
+        gap = F.aggregate("_cells", norm, lambda a, p: a + p["x"] * (p["x"] - 2 * F.get(center, p["i"])))
+        return F.greatest(gap, F.lit(0.0))
+
+    gaps = F.zip_with("_centers.c", "_centers.n", squared)
+    return every.withColumn("score", F.sqrt(F.array_min(gaps))).drop("_centers", "_cells")
+
+
 def fit_predict(train: DataFrame, test: DataFrame, model: str, seed: int = 42) -> DataFrame:
     """Anomaly score of each test row.
 
@@ -167,18 +199,10 @@ def fit_predict(train: DataFrame, test: DataFrame, model: str, seed: int = 42) -
 
     if model == "kmeans":
         fitted = KMeans(k=2, seed=seed).fit(train)
-        centers = [F.array(*[F.lit(float(x)) for x in c]) for c in fitted.clusterCenters()]
-        point = vector_to_array("features")
-
-        def distance(center: Column) -> Column:
-            squares = F.zip_with(point, center, lambda a, b: (a - b) * (a - b))
-            return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x))
-
-        gaps = [distance(c) for c in centers]
-        return test.withColumn("score", F.least(*gaps) if len(gaps) > 1 else gaps[0])
+        return nearest_center(test, [[float(x) for x in c] for c in fitted.clusterCenters()])
     learners = {
         "tree": DecisionTreeClassifier(seed=seed),
-        "logistic": LogisticRegression(),
+        "logistic": LogisticRegression(tol=1e-9, maxIter=200),
     }
     if model not in learners:
         raise ValueError(f"unknown model {model!r}, use kmeans, tree or logistic")
@@ -250,8 +274,7 @@ def sample_runs(
     chosen_runs = (
         tests.select("run").distinct().withColumn("_dice", dice("run")).orderBy("_dice", "run").limit(n_runs)
     )
-    # At most n_runs rows, and below n_runs * (errors_per_run + 1): broadcast by construction.
-    runs = F.broadcast(chosen_runs.select("run", "_dice"))
+    runs = chosen_runs.select("run", "_dice")
     errors = tests.where(F.col("test_name") != normal).join(runs.select("run"), "run", "left_semi")
     if error_type is not None:
         errors = errors.where(F.col("test_name") == error_type)
@@ -272,4 +295,4 @@ def sample_runs(
         picked = errors.join(seats, "run").join(names, ["test_name", "_seat"])
     normals = tests.where(F.col("test_name") == normal).join(runs.select("run"), "run", "left_semi")
     chosen = normals.unionByName(picked.select("run", "test_name"))
-    return files.join(F.broadcast(chosen), ["run", "test_name"], "left_semi")
+    return files.join(chosen, ["run", "test_name"], "left_semi")
