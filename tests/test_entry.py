@@ -5,6 +5,7 @@ import re
 import duckdb
 import pandas as pd
 import pytest
+from py4j.protocol import Py4JJavaError
 
 import __spark_entry__ as entry_module
 from windowguard.operators import red
@@ -78,18 +79,83 @@ def test_time_range_count_reads_one_column(spark):
     assert re.search(r"ReadSchema: struct<l_shipdate:timestamp_ntz>", text)
 
 
+def finished(spark, group):
+    """Finished stages of a job group; a stage that was skipped has no attempt."""
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    done = []
+    for stage in {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}:
+        try:
+            attempt = store.lastStageAttempt(stage)
+        except Py4JJavaError:
+            continue
+        if str(attempt.status()) == "COMPLETE":
+            done.append(attempt)
+    return done
+
+
 def records_read(spark, df):
     """Input records of all stages that run for ``df``."""
     context = spark.sparkContext
     context.setJobGroup("records", "records")
     df.collect()
-    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
-    stages = {s for job in tracker.getJobIdsForGroup("records") for s in tracker.getJobInfo(job).stageIds}
-    attempts = [store.lastStageAttempt(s) for s in stages]
     context.setLocalProperty("spark.jobGroup.id", None)
-    return sum(a.inputRecords() for a in attempts if str(a.status()) == "COMPLETE")
+    return sum(a.inputRecords() for a in finished(spark, "records"))
 
 
 def test_ranking_scans_its_input_once(spark):
     requests = tables.client_requests(spark, FOLDER)
     assert records_read(spark, red.client_red(requests, tables.DAY_MS)) == requests.count()
+
+
+@pytest.mark.parametrize(
+    ("name", "sources"),
+    [
+        ("counter_rate", ["lineitem"]),
+        ("sliding_sequences", ["events"]),
+        ("gap_fill", ["events"]),
+        ("oov_score", ["conversations"]),
+        ("rarity_score", ["conversations"]),
+        ("oov_sweep", ["documents"]),
+        ("text_vectors", ["conversations"]),
+        ("log_window_features", ["events"]),
+        ("template_match", ["events"]),
+    ],
+)
+def test_queries_scan_their_input_once(spark, name, sources):
+    """Staged copies are smaller than the input, so one more scan of it would show."""
+    rows = sum(tables.table(spark, FOLDER, t).count() for t in sources)
+    context = spark.sparkContext
+    context.setJobGroup(name, name)
+    entry_module.queries()[name](spark, FOLDER).collect()
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert [a.inputRecords() for a in finished(spark, name)].count(rows) == 1
+
+
+@pytest.mark.parametrize("name", ["minmax_apply", "rate_clip", "weak_labels", "metric_service_features"])
+def test_small_sides_are_not_sort_merged(spark, name):
+    """Between the size of the small sides and that of the wide table, the planner knows which is which."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32k")
+    try:
+        text = plan(entry_module.queries()[name](spark, FOLDER))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for key in ("endpoint_key", "service_name"):
+        assert not re.search(rf"SortMergeJoin \[(cast\()?{key}#\d+[^,\]]*\], \[group_key", text)
+    if name == "metric_service_features":
+        assert not re.search(r"SortMergeJoin \[case_id#\d+\]", text)
+
+
+def test_staged_tables_are_removed(spark):
+    from windowguard import session
+
+    kept, session._STAGED[:] = session._STAGED[:], []
+    try:
+        frame = session.stage(spark.range(3), "probe")
+        path = session._STAGED[0][1]
+        assert frame.count() == 3
+        session.remove_staged()
+        assert not session._STAGED
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        assert not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    finally:
+        session._STAGED[:] = kept

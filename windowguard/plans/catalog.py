@@ -4,6 +4,7 @@ from windowguard.plans import (  # noqa: F401
     endpoint_queries,
     scoring_queries,
     service_queries,
+    storage_queries,
     text_queries,
     wide_queries,
 )

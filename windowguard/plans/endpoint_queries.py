@@ -103,7 +103,7 @@ def _applied(feature: str, key: str) -> str:
 def minmax_apply(spark, folder):
     """All windows scaled by the Normal ranges; an endpoint without a service stays raw."""
     served = _served(spark, folder)
-    stats = normalize.fit_minmax(served.where(S.is_normal(F.col("case_id"))), RULES)
+    stats = stage(normalize.fit_minmax(served.where(S.is_normal(F.col("case_id"))), RULES), "stats")
     scaled = normalize.apply_minmax(served, stats, RULES)
     return rounded(scaled.select(*red.CELL, *RULES))
 
@@ -345,7 +345,7 @@ BASE_COLUMNS = ["error_threshold", "s5xx_threshold", "p95_median", "p95_mad", "l
 
 def _baseline(spark, folder) -> tuple[DataFrame, DataFrame]:
     trace = stage(red.trace_red(A.spans(spark, folder), A.DAY_MS), "trace-red")
-    return trace, labels.mad_baseline(trace.where(S.is_normal(F.col("case_id"))))
+    return trace, stage(labels.mad_baseline(trace.where(S.is_normal(F.col("case_id")))), "baseline")
 
 
 @query(f"WITH {MAD_SQL} SELECT endpoint_key, {Q.rounds(BASE_COLUMNS)} FROM base")
@@ -354,26 +354,48 @@ def mad_baseline(spark, folder):
     return rounded(_baseline(spark, folder)[1])
 
 
-@query(
-    f"""WITH {MAD_SQL}, signals AS (
-      SELECT t.*, CASE WHEN trace_latency_p95 > latency_threshold THEN 1 ELSE 0 END AS latency_anomaly_signal,
-        CASE WHEN trace_error_rate > error_threshold THEN 1 ELSE 0 END AS error_anomaly_signal,
-        CASE WHEN trace_5xx_rate > CASE WHEN b.endpoint_key IS NULL THEN 0.4e0 ELSE s5xx_threshold END
+def _signals(base: str) -> str:
+    """Statement with the weak labels by the baseline ``base``, which may lack endpoints or be empty."""
+    return f"""WITH {MAD_SQL}, known AS ({base}), any_known AS (SELECT count(*) > 0 AS b FROM known), signals AS (
+      SELECT t.*, b, CASE WHEN b AND trace_latency_p95 > latency_threshold THEN 1 ELSE 0 END AS latency_anomaly_signal,
+        CASE WHEN b AND trace_error_rate > error_threshold THEN 1 ELSE 0 END AS error_anomaly_signal,
+        CASE WHEN b AND trace_5xx_rate > CASE WHEN k.endpoint_key IS NULL THEN 0.4e0 ELSE s5xx_threshold END
           THEN 1 ELSE 0 END AS s5
-      FROM trace t LEFT JOIN base b USING (endpoint_key))
+      FROM trace t LEFT JOIN known k USING (endpoint_key), any_known)
     SELECT {CELL}, latency_anomaly_signal, error_anomaly_signal, s5 AS "5xx_anomaly_signal",
       CASE WHEN latency_anomaly_signal + error_anomaly_signal + s5 > 0 THEN 1 ELSE 0 END AS weak_is_anomaly,
-      CASE latency_anomaly_signal + error_anomaly_signal + s5 WHEN 3 THEN 'high' WHEN 2 THEN 'medium'
-        WHEN 1 THEN 'low' ELSE 'normal' END AS label_confidence
+      CASE WHEN NOT b THEN 'unknown' ELSE CASE latency_anomaly_signal + error_anomaly_signal + s5 WHEN 3 THEN 'high'
+        WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'normal' END END AS label_confidence
     FROM signals"""
-)
-def weak_labels(spark, folder):
-    """Three threshold signals per cell with their confidence."""
+
+
+def _labelled(trace: DataFrame, baseline: DataFrame) -> DataFrame:
     signals = ["latency_anomaly_signal", "error_anomaly_signal", "5xx_anomaly_signal"]
-    labelled = labels.weak_labels(*_baseline(spark, folder))
+    labelled = labels.weak_labels(trace, baseline)
     return labelled.select(*red.CELL, *signals, "weak_is_anomaly", "label_confidence")
 
 
+@query(_signals("FROM base"))
+def weak_labels(spark, folder):
+    """Three threshold signals per cell with their confidence."""
+    return _labelled(*_baseline(spark, folder))
+
+
+@query(_signals("FROM base WHERE endpoint_key NOT IN ('POST:/api/v1/purchase', 'POST:/api/v1/error')"))
+def weak_labels_partial(spark, folder):
+    """The same signals where two endpoints have no baseline."""
+    trace, baseline = _baseline(spark, folder)
+    without = ["POST:/api/v1/purchase", "POST:/api/v1/error"]
+    return _labelled(trace, baseline.where(~F.col("endpoint_key").isin(without)))
+
+
+@query(_signals("FROM base WHERE endpoint_key IS NULL"))
+def weak_labels_unknown(spark, folder):
+    """The same signals without any baseline: nothing is known."""
+    trace, baseline = _baseline(spark, folder)
+    return _labelled(trace, baseline.where(F.col("endpoint_key").isNull()))
+
+
 SIZES = (A.HOUR_MS, 3 * A.HOUR_MS, SIX_HOURS, A.DAY_MS)
 
 

@@ -253,9 +253,64 @@ def topk_loadings(spark, folder):
 
 @query()
 def pca_variance(spark, folder):
-    """Explained variance of the first eight principal components of the embeddings."""
+    """Explained variance of all principal components of the embeddings."""
     names = [f"f{i}" for i in range(DIM)]
-    return profile.fit_pca(A.embedding_scores(spark, folder), "features", names, 8)[1]
+    return profile.fit_pca(A.embedding_scores(spark, folder), "features", names)[1]
+
+
+PAIR = """p AS (SELECT l_quantity AS x, l_linenumber * 8e0 AS y, l_returnflag, l_partkey % 2 = 0 AS head FROM lineitem)"""
+
+
+def _eigen(rows: str, name: str) -> str:
+    """Explained variance of two columns in closed form."""
+    return f"""SELECT '{name}' AS subset, unnest([0, 1]) AS component,
+      round(unnest([(t / 2 + r) / t, (t / 2 - r) / t]), 8) AS ratio, round(unnest([(t / 2 + r) / t, 1e0]), 8) AS cumulative
+    FROM (SELECT a + c AS t, sqrt((a - c) * (a - c) / 4 + b * b) AS r FROM (
+      SELECT var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM {rows}))"""
+
+
+def _pair(spark, folder) -> DataFrame:
+    return A.table(spark, folder, "lineitem").select(
+        F.array(F.col("l_quantity").cast("double"), F.col("l_linenumber") * 8.0).alias("v"),
+        (F.col("l_partkey") % 2 == 0).alias("head"),
+    )
+
+
+@query(f"WITH {PAIR} {_eigen('p', 'all')} UNION ALL {_eigen('p WHERE head', 'head')} UNION ALL {_eigen('p WHERE NOT head', 'tail')}")
+def pca_subsets(spark, folder):
+    """Explained and cumulative variance of two columns, over all rows and over two subsets."""
+    rows = stage(_pair(spark, folder), "pairs")
+    return rounded(profile.pca_by_subset(rows, "v", ["x", "y"], {"all": F.lit(True), "head": F.col("head"), "tail": ~F.col("head")}), 8)
+
+
+@query(
+    f"""WITH {PAIR}, m AS (SELECT var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM p),
+    e AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS l FROM m),
+    v AS (SELECT abs(b) / sqrt(b * b + (l - a) * (l - a)) AS vx, abs(l - a) / sqrt(b * b + (l - a) * (l - a)) AS vy FROM e),
+    loads AS (SELECT 0 AS component, 'x' AS feature, vx AS size FROM v UNION ALL SELECT 0, 'y', vy FROM v
+      UNION ALL SELECT 1, 'x', vy FROM v UNION ALL SELECT 1, 'y', vx FROM v)
+    SELECT component, feature, round(size, 6) AS size, CAST(row_number() OVER (PARTITION BY component ORDER BY size DESC, feature) AS INT) AS rank
+    FROM loads"""
+)
+def pca_loadings(spark, folder):
+    """Ranked absolute loadings of the principal components of two columns."""
+    loadings, _ = profile.fit_pca(_pair(spark, folder), "v", ["x", "y"])
+    ranked = profile.top_loadings(loadings, 2, 2)
+    return ranked.select("component", "feature", F.round(F.abs("loading"), 6).alias("size"), "rank")
+
+
+@query(
+    f"""WITH {EMBEDDED}, moved AS (SELECT vec_id, label >= 5 AS far, list_transform(features, lambda x: x + CASE WHEN label >= 5 THEN 100 ELSE 0 END) AS f FROM e),
+    pairs AS (SELECT vec_id, far, unnest(f) AS x, generate_subscripts(f, 1) AS i FROM moved),
+    means AS (SELECT far, i, avg(x) AS m FROM pairs GROUP BY ALL)
+    SELECT vec_id, round(sqrt(sum((x - m) * (x - m))), 5) AS score FROM pairs JOIN means USING (far, i) GROUP BY 1"""
+)
+def kmeans_groups(spark, folder):
+    """Distance to the nearest of two centres where two groups lie far apart: that of the own group's mean."""
+    shift = F.when(F.col("label") >= 5, 100.0).otherwise(0.0)
+    rows = A.embedding_scores(spark, folder).withColumn("features", F.transform("features", lambda x: x + shift))
+    rows = rows.withColumn("features", array_to_vector("features"))
+    return rounded(textmodels.fit_predict(rows, rows, "kmeans").select("vec_id", "score"), 5)
 
 
 @query()

@@ -85,6 +85,7 @@ def metric_service_features(spark, folder):
 def counter_rate(spark, folder):
     """CPU counter and its rate per pod and day."""
     pods = metrics.pod_windows(A.lineitem_samples(spark, folder), LINEITEM_SERVICES, A.DAY_MS)
+    pods = stage(pods, "pod-windows")
     rated = metrics.counter_rate(pods, ["case_id", "pod"], "cpu", "cpu_rate", A.DAY_MS)
     columns = ["case_id", "service_name", "pod", "timestamp_window_ms", "cpu", "cpu_rate"]
     return rounded(rated.select(*columns), cpu_rate=11)
@@ -97,7 +98,12 @@ def counter_rate(spark, folder):
 )
 def host_rate_broadcast(spark, folder):
     """Host network error rates as every service of the window sees them."""
-    features = metrics.metric_features(A.lineitem_samples(spark, folder), LINEITEM_SERVICES, A.DAY_MS)
+    samples = A.lineitem_samples(spark, folder)
+    pods = samples.where(F.col("metric_name").isin(K.POD_METRICS) & (F.col("pod") != ""))
+    window = S.bucket(F.col("timestamp").cast("long") * 1000, A.DAY_MS).alias("timestamp_window_ms")
+    service = S.service_of_pod(F.col("pod")).alias("service_name")
+    cells = pods.select("case_id", service, window).where(F.col("service_name").isin(LINEITEM_SERVICES)).distinct()
+    features = metrics.with_host_rates(cells, metrics.host_rates(samples, A.DAY_MS))
     return features.select(
         "case_id",
         "service_name",
@@ -121,8 +127,7 @@ def pod_to_service(spark, folder):
 
 
 def log_table(spark, folder):
-    """Log lines, staged so that the parser meets stored text."""
-    return stage(A.log_lines(spark, folder).drop("ts_ms"), "lines")
+    return A.log_lines(spark, folder).drop("ts_ms")
 
 
 @query(
@@ -139,9 +144,10 @@ def _parsed(spark, folder):
     return logs.parse_logs(log_table(spark, folder), "UTC")
 
 
-def _templates(spark, folder):
-    normal = _parsed(spark, folder).where(F.col("case_id") == "Normal")
-    return stage(logs.fit_templates(normal), "templates")
+def condensed_logs(spark, folder, *extra):
+    """Condensed lines and the templates of the Normal ones; the raw lines are read once."""
+    lines = stage(logs.condense(_parsed(spark, folder), HOUR, *extra), "log-lines")
+    return lines, stage(logs.fit_templates(lines.where(F.col("case_id") == "Normal")), "templates")
 
 
 @query(
@@ -151,8 +157,7 @@ def _templates(spark, folder):
 )
 def log_window_features(spark, folder):
     """Event count, error share and template diversity per service and hour."""
-    parsed = _parsed(spark, folder)
-    return rounded(logs.log_features(parsed, _templates(spark, folder), HOUR))
+    return rounded(logs.log_features(*condensed_logs(spark, folder), HOUR))
 
 
 @query(
@@ -169,18 +174,20 @@ def gap_fill(spark, folder):
     window = S.bucket(F.col("ts_ms"), HOUR).alias("timestamp_window_ms")
     keys = ["case_id", "service_name"]
     counts = A.events(spark, folder).groupBy(*keys, window).agg(F.count("*").alias("n"))
+    counts = stage(counts, "counts")
     return series.fill_windows(counts, keys, "timestamp_window_ms", HOUR, ["n"])
 
 
 @query(
     f"""WITH document_lines AS (SELECT unnest(string_split(text, chr(10))) AS content FROM documents),
     {Q.templates_of("document_lines")}
-    SELECT n_tokens, first_token, template, template_id FROM templates"""
+    SELECT n_tokens, first_token, template, template_id FROM templates
+    UNION ALL SELECT 0, '', '', md5('') WHERE EXISTS (FROM document_lines WHERE regexp_matches(content, '^\\s*$'))"""
 )
 def template_fit(spark, folder):
     """Templates of the lines of all documents."""
     lines = A.document_lines(spark, folder)
-    return logs.fit_templates(lines.select(F.col("line").alias("content"))).where("n_tokens > 0")
+    return logs.fit_templates(lines.select(F.col("line").alias("content")))
 
 
 @query(
@@ -189,7 +196,9 @@ def template_fit(spark, folder):
 )
 def template_match(spark, folder):
     """Log lines per case and template fitted on Normal lines, -1 where none fits."""
-    matched = logs.match_templates(_parsed(spark, folder), _templates(spark, folder))
-    return matched.groupBy("case_id", "template_id").agg(
-        F.count("*").alias("n"), F.min("content").alias("first_content")
+    lines, templates = condensed_logs(spark, folder, F.min("content").alias("first_content"))
+    return (
+        logs.match_templates(lines, templates)
+        .groupBy("case_id", "template_id")
+        .agg(F.sum("n").alias("n"), F.min("first_content").alias("first_content"))
     )

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windowguard import constants as K
 from windowguard.functions import scalars as S
-from windowguard.operators import profile, textmodels
+from windowguard.operators import logs, profile, textmodels
+from windowguard.plans import service_queries
 from windowguard.plans import sql as Q
 from windowguard.plans.registry import query, rounded
+from windowguard.session import stage
 from windowguard.sources import tables as A
 
 
@@ -36,6 +39,22 @@ def message_features(spark, folder):
     )
 
 
+@query(
+    """WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+    lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS line_no FROM cut)
+    SELECT doc_id, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS total FROM lines
+    WHERE line_no % 3 <> 1 GROUP BY 1"""
+)
+def message_nulls(spark, folder):
+    """Messages of documents in which every third one is missing: those are left out."""
+    missing = F.when(F.col("line_no") % 3 != 1, F.col("line"))
+    lines = A.document_lines(spark, folder).withColumn("message", missing)
+    features = textmodels.message_features(lines, "message", trigrams="word")
+    return features.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("e_message_len").alias("total"))
+
+
+#: Stands for a system turn among the words; no word holds a space.
+SYSTEM_TURN = "system turn"
 TOKENS = """turns AS (SELECT conv_id, role, string_split(regexp_replace(lower(text), '[0-9]+', '0', 'g'), ' ') AS words
   FROM conversations),
 tokens AS (SELECT conv_id, token, count(*) AS n FROM (SELECT conv_id, unnest(words) AS token FROM turns) GROUP BY ALL),
@@ -50,12 +69,23 @@ def _tokens(spark, folder) -> DataFrame:
     return textmodels.sequence_tokens(A.conversation_tokens(spark, folder), "conv_id", "words")
 
 
+def _labelled_tokens(spark, folder) -> DataFrame:
+    """Token counts of all conversations, stored, with ``label`` 1 where there is a system turn.
+
+    Text and roles are read in one scan; both halves of a split then filter the stored counts.
+    """
+    turns = A.conversation_tokens(spark, folder)
+    roles = turns.withColumn("words", F.array_append(F.coalesce("words", F.array().cast("array<string>")), F.when(F.col("role") == "system", SYSTEM_TURN)))
+    counts = stage(textmodels.sequence_tokens(roles, "conv_id", "words"), "tokens")
+    marked = counts.where(F.col("token") == SYSTEM_TURN).select("conv_id", F.lit(1.0).alias("label")).distinct()
+    words = counts.where(F.col("token").isNotNull() & (F.col("token") != SYSTEM_TURN))
+    return words.join(stage(marked, "system-turns"), "conv_id", "left").fillna(0.0, subset=["label"])
+
+
 def _split(spark, folder) -> tuple[DataFrame, DataFrame]:
     """Token counts of normal training conversations and of all test conversations."""
-    train, test = textmodels.split_by_hash(_tokens(spark, folder), "conv_id")
-    turns = A.table(spark, folder, "conversations")
-    abnormal = turns.where(F.col("role") == "system").select("conv_id").distinct()
-    return train.join(abnormal, "conv_id", "left_anti"), test
+    train, test = textmodels.split_by_hash(_labelled_tokens(spark, folder), "conv_id")
+    return train.where("label = 0").drop("label"), test.drop("label")
 
 
 @query(f"WITH {TOKENS} SELECT conv_id, token, n FROM tokens")
@@ -103,35 +133,47 @@ vocabulary AS (SELECT source, token FROM tokens WHERE lang = 'en' GROUP BY ALL)"
 def oov_sweep(spark, folder):
     """Words of every document unseen in the English documents of its source, all sources at once."""
     docs = A.table(spark, folder, "documents").withColumn("words", F.split(F.lower("text"), " "))
-    tokens = textmodels.sequence_tokens(docs, "doc_id", "words", ["source", "lang"])
+    tokens = stage(textmodels.sequence_tokens(docs, "doc_id", "words", ["source", "lang"]), "tokens")
     normal = tokens.where(F.col("lang") == "en")
     return textmodels.oov_score(normal, tokens, "doc_id", ["source"])
 
 
 @query(
-    f"""WITH {TOKENS} SELECT conv_id, CAST(count(df) AS INT) AS cells,
-    CASE WHEN count(df) > 0 THEN 1e0 ELSE 0e0 END AS norm
-    FROM test LEFT JOIN vocabulary USING (token) GROUP BY 1"""
+    f"""WITH {TOKENS}, total AS (SELECT count(DISTINCT conv_id) AS total FROM train),
+    raw AS (SELECT conv_id, token, n * (ln((total + 1) / (df + 1)) + 1) AS w FROM test JOIN vocabulary USING (token), total)
+    SELECT conv_id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY conv_id)), 9) AS weight FROM raw"""
 )
 def text_vectors(spark, folder):
-    """Length and number of cells of the TF-IDF vector of every test conversation."""
-    from pyspark.ml.functions import vector_to_array
+    """Every cell of the TF-IDF vectors of the test conversations."""
+    train, test = _split(spark, folder)
+    cells = textmodels.vector_cells(train, test, "conv_id")
+    return rounded(cells.select("conv_id", "token", "weight"), 9)
 
+
+@query(
+    f"""WITH {TOKENS}, total AS (SELECT count(DISTINCT conv_id) AS total FROM train)
+    SELECT conv_id, CAST(count(df) AS INT) AS cells, (SELECT CAST(count(*) AS INT) FROM vocabulary) AS size,
+    CASE WHEN count(df) > 0 THEN 1e0 ELSE 0e0 END AS norm
+    FROM test LEFT JOIN vocabulary USING (token), total GROUP BY 1"""
+)
+def vector_shapes(spark, folder):
+    """Number of cells, size and length of the vectors that models are fitted on."""
     _, test = textmodels.vectorize(*_split(spark, folder), "conv_id")
-    cells = F.filter(vector_to_array("features"), lambda x: x != 0)
-    square = F.aggregate(cells, F.lit(0.0), lambda acc, x: acc + x * x)
+    vector = F.unwrap_udt("features")
+    square = F.aggregate(vector["values"], F.lit(0.0), lambda acc, x: acc + x * x)
     return test.select(
-        "conv_id", F.size(cells).alias("cells"), F.round(F.sqrt(square), 6).alias("norm")
+        "conv_id",
+        F.size(vector["indices"]).alias("cells"),
+        vector["size"].alias("size"),
+        F.round(F.sqrt(square), 6).alias("norm"),
     )
 
 
 def _classified(spark, folder, model: str) -> DataFrame:
-    tokens = _tokens(spark, folder)
-    turns = A.table(spark, folder, "conversations")
-    label = turns.groupBy("conv_id").agg(
-        F.max((F.col("role") == "system").cast("double")).alias("label")
-    )
-    train, test = textmodels.vectorize(*textmodels.split_by_hash(tokens, "conv_id"), "conv_id")
+    tokens = _labelled_tokens(spark, folder)
+    label = stage(tokens.select("conv_id", "label").distinct(), "labels")
+    train, test = textmodels.split_by_hash(tokens.drop("label"), "conv_id")
+    train, test = textmodels.vectorize(train, test, "conv_id")
     scored = textmodels.fit_predict(train.join(label, "conv_id"), test.join(label, "conv_id"), model)
     return scored.select("conv_id", "label", "score")
 
@@ -148,6 +190,51 @@ def logistic_regression(spark, folder):
     return _classified(spark, folder, "logistic")
 
 
+HALVES = """turns AS (SELECT conv_id, CAST(count(*) AS DOUBLE) AS x, max(CASE WHEN role = 'system' THEN 1e0 ELSE 0e0 END) AS system_turn
+  FROM conversations GROUP BY 1),
+marked AS (SELECT *, substring(md5('42:' || conv_id), 1, 8) >= '80000000' AS in_train FROM turns)"""
+
+
+def _by_turns(spark, folder, label, feature):
+    """Halves of the conversations with one feature made of their number of turns."""
+    turns = A.table(spark, folder, "conversations").groupBy("conv_id").agg(
+        F.count("*").alias("turns"), F.max((F.col("role") == "system").cast("double")).alias("system_turn")
+    )
+    rows = stage(turns.select("conv_id", label.alias("label"), feature.cast("double").alias("x")), "turns")
+    vectors = rows.withColumn("features", array_to_vector(F.array("x")))
+    return textmodels.split_by_hash(vectors, "conv_id")
+
+
+@query(f"""WITH {HALVES} SELECT conv_id, CASE WHEN x > 4 THEN 1e0 ELSE 0e0 END AS score FROM marked WHERE NOT in_train""")
+def tree_threshold(spark, folder):
+    """A tree on conversations whose class is a threshold on one feature learns the threshold."""
+    turns = F.col("turns")
+    train, test = _by_turns(spark, folder, (turns > 4).cast("double"), turns)
+    return textmodels.fit_predict(train, test, "tree").select("conv_id", "score")
+
+
+@query(
+    f"""WITH {HALVES}, rates AS (SELECT x > 4 AS long, avg(system_turn) AS rate FROM marked WHERE in_train GROUP BY 1)
+    SELECT conv_id, round(rate, 4) AS score FROM marked JOIN rates ON (x > 4) = long WHERE NOT in_train"""
+)
+def logistic_groups(spark, folder):
+    """Logistic regression on one binary feature gives the training rate of each group."""
+    train, test = _by_turns(spark, folder, F.col("system_turn"), F.col("turns") > 4)
+    return rounded(textmodels.fit_predict(train, test, "logistic").select("conv_id", "score"), 4)
+
+
+@query(
+    f"""WITH {Q.EV}, {Q.LOG_CHAIN}, counts AS (SELECT case_id || '/' || service_name AS seq, template_id, count(*) AS n FROM matched GROUP BY 1, 2)
+    SELECT seq, template_id AS token, n FROM counts"""
+)
+def event_sequences(spark, folder):
+    """Template ids as the events of a sequence, one per case and service."""
+    lines, templates = service_queries.condensed_logs(spark, folder)
+    matched = logs.match_templates(lines, templates)
+    named = matched.withColumn("seq", F.concat_ws("/", "case_id", "service_name"))
+    return named.groupBy("seq", F.col("template_id").alias("token")).agg(F.sum("n").alias("n"))
+
+
 INDEX = """idx AS (SELECT 'run' || l_suppkey AS run,
   CASE l_linenumber WHEN 1 THEN 'correct' ELSE 'error_' || l_linenumber END AS test_name,
   l_returnflag AS service FROM lineitem)"""
@@ -220,6 +307,7 @@ def log_type_counts(spark, folder):
     return profile.log_type_counts(_typed(spark, folder))
 
 
+# Every service of the events; the query finds the names by itself.
 PIVOTED = [f"svc-{name}" for name in ("order", "other", "shop", "user")]
 
 
@@ -230,7 +318,7 @@ PIVOTED = [f"svc-{name}" for name in ("order", "other", "shop", "user")]
 )
 def log_type_pivot(spark, folder):
     """Line types by service."""
-    return profile.log_type_pivot(_typed(spark, folder), PIVOTED, "svc-")
+    return profile.log_type_pivot(_typed(spark, folder), prefix="svc-")
 
 
 def _range_results(spark, folder) -> DataFrame:
@@ -267,26 +355,30 @@ def metric_label_name(spark, folder):
     return long.groupBy("metric_name").agg(F.count("*").alias("n"))
 
 
-WIDE_NAMES = [f"node_m{i}" for i in (7, 6, 5)]
+# Every series of the line items; the query finds the names by itself.
+WIDE_NAMES = [f"node_m{i}" for i in (5, 6, 7)] + [
+    f"node_m{i}&mode={status}&cpu={flag}" for i in (1, 2, 3, 4) for status in "FO" for flag in "ANR"
+]
 
 
 @query(
     f"""WITH long AS (
-      SELECT l_returnflag AS run_end, l_linestatus AS test_name, 'node_m' || l_linenumber AS metric_name,
+      SELECT l_returnflag AS run_end, l_linestatus AS test_name, 'node_m' || l_linenumber ||
+          CASE WHEN l_linenumber <= 4 THEN '&mode=' || l_linestatus || '&cpu=' || l_returnflag ELSE '' END AS metric_name,
         CAST(epoch_ms(l_shipdate) // 1000 + p * 86400 AS VARCHAR) AS "timestamp",
         CAST(CASE p WHEN 0 THEN l_partkey ELSE l_suppkey END AS VARCHAR) AS value,
         l_orderkey, l_partkey, l_suppkey, p
       FROM lineitem, (VALUES (0), (1)) AS t(p) WHERE NOT l_tax > 0.07e0),
     last AS (SELECT *, row_number() OVER (PARTITION BY run_end, test_name, "timestamp", metric_name
       ORDER BY l_orderkey DESC, l_partkey DESC, l_suppkey DESC, p DESC) AS r FROM long)
-    SELECT run_end, test_name, "timestamp", {", ".join(f"max(value) FILTER (metric_name = '{m}') AS {m}" for m in sorted(WIDE_NAMES))}
+    SELECT run_end, test_name, "timestamp", {", ".join(f"max(value) FILTER (metric_name = '{m}') AS " + '"' + m + '"' for m in sorted(WIDE_NAMES))}
     FROM last WHERE r = 1 GROUP BY 1, 2, 3"""
 )
 def metric_wide_pivot(spark, folder):
-    """Series by run, test and time, the last of several values kept."""
+    """Every series by run, test and time, the last of several values kept."""
     long = profile.prom_long(_range_results(spark, folder))
     order = ["l_orderkey", "l_partkey", "l_suppkey", "position"]
-    return profile.prom_wide(long, ["run_end", "test_name"], order, WIDE_NAMES)
+    return profile.prom_wide(long, ["run_end", "test_name"], order)
 
 
 PAGE_FILES = """inv AS (SELECT 'root/run-1/' || CASE WHEN contains(url, '/en/') THEN 'correct' ELSE 'error' END AS folder,

@@ -22,7 +22,7 @@ ID_LABELS = K.ID_COLUMNS + K.LABEL_COLUMNS
 WHOLE = ", ".join(ID_LABELS) + ", " + Q.rounds(Q.FEATURES)
 
 
-def wide_table(spark, folder) -> DataFrame:
+def wide_table(spark, folder, with_logs: bool = True) -> DataFrame:
     window = A.DAY_MS
     trace, client = red_tables(spark, folder, window)
     sources = flow.Sources(
@@ -31,7 +31,7 @@ def wide_table(spark, folder) -> DataFrame:
         cases=A.cases(spark),
         endpoints=A.ENDPOINTS,
         samples=A.metric_reports(spark, folder),
-        logs=logs.parse_logs(log_table(spark, folder).drop("event_id"), "UTC"),
+        logs=logs.parse_logs(log_table(spark, folder).drop("event_id"), "UTC") if with_logs else None,
     )
     return flow.build_wide(sources, CONFIG, window)
 
@@ -39,7 +39,9 @@ def wide_table(spark, folder) -> DataFrame:
 def contract_table(spark, folder) -> DataFrame:
     """Normalised wide table; staged, as is the raw one, because what follows reads it again."""
     wide = stage(wide_table(spark, folder), "wide")
-    return stage(flow.normalize_wide(wide, CONFIG), "contract")
+    normal = wide.where(S.is_normal(F.col("anomaly_type")))
+    stats = stage(normalize.fit_minmax(normal, CONFIG.rules), "stats")
+    return stage(flow.normalize_wide(wide, CONFIG, stats), "contract")
 
 
 @query(f"WITH {Q.WIDE} SELECT {WHOLE} FROM wide")
@@ -48,6 +50,17 @@ def contract_wide(spark, folder):
     return rounded(wide_table(spark, folder))
 
 
+NO_LOGS = ", ".join(ID_LABELS) + ", " + Q.rounds(Q.FEATURES[:15])
+
+
+@query(
+    f"WITH {Q.WIDE} SELECT {NO_LOGS}, {', '.join(f'CAST(NULL AS DOUBLE) AS {f}' for f in Q.FEATURES[15:])} FROM wide"
+)
+def contract_without_logs(spark, folder):
+    """The wide table of cases without logs: the log features are there and missing."""
+    return rounded(wide_table(spark, folder, with_logs=False))
+
+
 @query(f"WITH {Q.NORMALIZED} SELECT {WHOLE} FROM contract")
 def rate_clip(spark, folder):
     """The wide table scaled by Normal ranges, rates limited to [0, 1]."""
@@ -203,6 +216,7 @@ def sliding_sequences(spark, folder):
     window = S.bucket(F.col("ts_ms"), 6 * A.HOUR_MS).alias("timestamp_window_ms")
     keys = ["case_id", "endpoint_key"]
     cells = A.client_requests(spark, folder).groupBy(*keys, window).agg(F.count("*").alias("n"))
+    cells = stage(cells, "cells")
     runs = series.sequences(
         cells, keys, "timestamp_window_ms", ["n"], SEQUENCE, 6 * A.HOUR_MS, chunk_windows=64
     )
