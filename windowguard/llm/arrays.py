@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 1 << 20
+KEPT_POWERS = 4 << 20
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -92,7 +93,7 @@ def _powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             row = np.full(size, base, np.uint64)
             row[0] = 1
             both.append(np.cumprod(row, dtype=np.uint64))
-        if n > 2 * PIECE_BYTES:  # a very long text is no reason to keep tables of its length
+        if n > KEPT_POWERS:  # a very long text is no reason to keep tables of its length
             return both[0], both[1]
         known = _POWERS[lane] = (both[0], both[1])
     return known
@@ -168,6 +169,14 @@ def covered(starts: np.ndarray, length: int, total: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order; sorting beats hashing here."""
+    ordered = np.sort(values)
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return ordered[new]
+
+
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of the values of each group; group i is first[i]:first[i + 1]."""
     total = np.zeros(len(values) + 1, np.int64)

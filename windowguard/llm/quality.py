@@ -62,7 +62,7 @@ class Statistics:
 def repeated(keys: np.ndarray) -> np.ndarray:
     """Flags of the keys that occur twice or more."""
     ordered = np.sort(keys)
-    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    twice = arrays.distinct(ordered[1:][ordered[1:] == ordered[:-1]])
     if not len(twice):
         return np.zeros(len(keys), bool)
     return twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys

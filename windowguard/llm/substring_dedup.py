@@ -29,7 +29,7 @@ from windowguard.llm import arrays
 from windowguard.llm.packing import pack, pack_bits, pack_sorted, unpack, unpack_bits, unpack_sorted
 
 WINDOW = 20
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 MIN_BUCKETS = 64
 ROWS = 2
 BLOCK_BITS = 22
@@ -87,7 +87,7 @@ class Bucket:
         alive = np.arange(len(self.key))
         for row in range(ROWS):
             cells = self.cells(row, sizes.cell_bits)
-            single = np.unique(cells)
+            single = arrays.distinct(cells)
             flags = [np.zeros(0, bool)]
             for block, part in blocks(single, sizes.cell_bits):
                 flags.append(unpack_bits(answers[row << 32 | block], len(part)))
@@ -153,13 +153,17 @@ def _sketch(sizes: Sizes):
 def _merge_sketch(rows: pa.Table) -> pa.Table:
     """Sum one block over all buckets; tell each bucket which of its cells count twice or more."""
     counts = np.zeros(1 << BLOCK_BITS, np.uint8)
-    packed = [c.as_py() for c in rows.column("data")]
-    for data in packed:
-        cells, n = np.unique(unpack_sorted(data, np.uint32), return_counts=True)
-        counts[cells] = np.minimum(2, counts[cells] + n)
+    held = []
+    for data in rows.column("data"):
+        cells = unpack_sorted(data.as_py(), np.uint32)  # each once, or twice for a count of two
+        new = np.ones(len(cells), bool)
+        new[1:] = cells[1:] != cells[:-1]
+        single = cells[new]
+        own = np.diff(np.append(np.flatnonzero(new), len(cells))).astype(np.uint8)
+        counts[single] = np.minimum(2, counts[single] + own)
+        held.append(single)
     out = []
-    for i, data in enumerate(packed):
-        cells = np.unique(unpack_sorted(data, np.uint32))
+    for i, cells in enumerate(held):
         key = (rows.column("bucket")[i].as_py(), rows.column("part")[i].as_py(), rows.column("kind")[i].as_py())
         out.append((*key, pack_bits(counts[cells] >= 2)))
     return _table(out, _MESSAGE)

@@ -210,7 +210,8 @@ def distinct_pairs(a: np.ndarray, b: np.ndarray):
 
 def core_kinds(core: np.ndarray, block: np.ndarray):
     """Distinct cores in order, a block hash of each (0 where it has several), index of each input."""
-    cores, which = np.unique(core, return_inverse=True)
+    cores = arrays.distinct(core)
+    which = np.searchsorted(cores, core)
     low = np.full(len(cores), np.iinfo(np.uint64).max, np.uint64)
     high = np.zeros(len(cores), np.uint64)
     np.minimum.at(low, which, block)
@@ -262,7 +263,7 @@ def _merge(rows: pa.Table) -> pa.Table:
     ]
     out = []
     if kind == CORES:
-        merged = np.unique(np.concatenate([a for a, _ in lists]))
+        merged = arrays.distinct(np.concatenate([a for a, _ in lists]))
         low = np.full(len(merged), np.iinfo(np.uint64).max, np.uint64)
         high, several = np.zeros(len(merged), np.uint64), np.zeros(len(merged), bool)
         places = [np.searchsorted(merged, a) for a, _ in lists]
