@@ -23,9 +23,9 @@ START, MESSAGE, END = "<|start|>", "<|message|>", "<|end|>"
 CONTROLS = (START, MESSAGE, END, "<s>", "</s>", "[INST]", "[/INST]", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 LOSS_ROLE = "assistant"
 
-_TAILS = "|".join(re.escape(c[1:]) for c in CONTROLS)
-_PLAIN = re.compile(rf"([<\[])(\\*)({_TAILS})")
-_ESCAPED = re.compile(rf"([<\[])\\(\\*)({_TAILS})")
+TAILS = "|".join(re.escape(c[1:]) for c in CONTROLS)
+_PLAIN = re.compile(rf"([<\[])(\\*)({TAILS})")
+_ESCAPED = re.compile(rf"([<\[])\\(\\*)({TAILS})")
 
 
 def escape(text: str) -> str:

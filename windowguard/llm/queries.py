@@ -15,13 +15,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@query()
+@query(sql.OP3)
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark passages in all documents."""
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-@query()
+@query(sql.OP4)
 def op4_shards(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 24 contiguous shards of nearly equal size."""
     placed = shards.shard_documents(table(spark, folder, "documents"), SHARDS)
@@ -52,7 +52,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return classes.select("doc_id", simhash_dedup.hex64("fp").alias("fingerprint"), "component_id")
 
 
-@query()
+@query(sql.OP1)
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without the 20-word passages that occurred before."""
     kept = substring_dedup.remove_repeats(table(spark, folder, "documents"))
@@ -66,7 +66,7 @@ def tokenizer() -> chat.Vocabulary:
     return chat.Vocabulary.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-@query()
+@query(sql.chat_sql(chat.TAILS, len(chat.START + chat.MESSAGE + chat.END)))
 def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations formatted and read back."""
     vocabulary = tokenizer()
@@ -74,7 +74,7 @@ def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns, vocabulary), vocabulary)
 
 
-@query()
+@query(sql.secrets_sql([(r.name, r.pattern, r.group, r.least) for r in secrets.RULES], len(secrets.BASE_RULES)))
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in all documents, over a ledger that starts empty."""
     return secrets.report(table(spark, folder, "documents"), secrets.new_ledger(spark))

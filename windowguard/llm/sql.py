@@ -61,3 +61,124 @@ SELECT doc_id, domain, lang, source, n_tokens, budget::BIGINT AS leaf_budget,
        (whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::BIGINT AS epochs
 FROM summed WHERE whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END > 0
 """
+
+# Words between ASCII white space, one row each.
+WORDS = r"""cut AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM cut)"""
+
+OP1 = f"""
+WITH {WORDS},
+windows AS (
+  SELECT doc_id, i, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS s
+  FROM words),
+again AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM windows WHERE i + 19 <= n)
+  WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i, true AS out FROM again, range(20) t(k)),
+kept AS (
+  SELECT doc_id, count(*) AS n_words, count(out) AS n_removed,
+         sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (out IS NULL), '')) AS kept_sha256
+  FROM words LEFT JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _item_words(table: str, key: str, name: str) -> str:
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return rf"""{name}_cut AS (SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '{pattern}') AS ws FROM {table}),
+{name} AS (SELECT {key}, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM {name}_cut)"""
+
+
+def _runs(source: str, key: str, k: int) -> str:
+    return f"""SELECT {key}, i, n, {k} AS k, string_agg(word, ' ') OVER (PARTITION BY {key} ORDER BY i
+    ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING) AS s FROM {source}"""
+
+
+OP3 = f"""
+WITH {_item_words("documents", "doc_id", "words")},
+{_item_words("benchmark", "item_id", "item_words")},
+patterns AS (
+  SELECT DISTINCT item_id, k, s FROM ({" UNION ALL ".join(_runs("item_words", "item_id", k) for k in range(1, 11))})
+  WHERE k = least(n, 10) AND i + k - 1 <= n),
+found AS (
+  SELECT DISTINCT d.doc_id, d.i, d.k, item_id
+  FROM ({" UNION ALL ".join(_runs("words", "doc_id", k) for k in range(1, 11))}) d JOIN patterns p ON d.k = p.k AND d.s = p.s
+  WHERE d.i + d.k - 1 <= d.n),
+hit AS (SELECT DISTINCT doc_id, i + t AS i FROM (SELECT DISTINCT doc_id, i, unnest(range(k)) AS t FROM found)),
+n_hits AS (SELECT doc_id, count(*) AS n_hit FROM hit GROUP BY 1),
+items AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY 1)
+SELECT c.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words_cut c LEFT JOIN n_hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP4 = """
+WITH steps AS (
+  SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+    ORDER BY i) AS t FROM range(256) r(i)),
+bytes AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (
+  SELECT doc_id, n + 8 AS size, xor(list_reduce([4294967295::BIGINT] || list_transform(range(n), lambda p:
+      ('0x' || substring(h, 2 * p + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM bytes, steps),
+line AS (
+  SELECT *, coalesce(sum(size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+    sum(size) OVER () AS total, row_number() OVER o - 1 AS place
+  FROM sized WINDOW o AS (ORDER BY doc_id NULLS FIRST, text_crc32, size)),
+placed AS (SELECT *, least(floor((start + size / 2) * 24 / total), 23)::INT AS shard FROM line)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, place - min(place) OVER (PARTITION BY shard) AS slot,
+       NULL::INT AS grown_shard
+FROM placed
+"""
+
+
+def secrets_sql(rules: list[tuple[str, str, int, int]], base: int) -> str:
+    """Spans of rules (name, pattern, group, least length), of which the first ``base`` are the base."""
+    parts = " UNION ALL ".join(
+        "SELECT doc_id, {k} AS kind, '{name}' AS name, regexp_split_to_array(t, '{p}') AS gaps, "
+        "regexp_extract_all(t, '{p}') AS hits, regexp_extract_all(t, '{p}', {g}) AS parts, {least} AS least FROM docs".format(
+            k=k, name=name, p=pattern.replace("'", "''"), g=group, least=least
+        )
+        for k, (name, pattern, group, least) in enumerate(rules)
+    )
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+matched AS ({parts}),
+spans AS (
+  SELECT doc_id, kind, name, start, start + length(hits[i]) AS stop FROM (
+    SELECT *, coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0)
+      + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS start
+    FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM matched))
+  WHERE length(parts[i]) >= least),
+listed AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    sha256(coalesce(string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < {base}), '')) AS base_sha256,
+    string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans
+  FROM spans GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs d LEFT JOIN listed USING (doc_id)
+"""
+
+
+def chat_sql(tails: str, markers: int) -> str:
+    """Digests of conversations; ``tails`` are the control strings without their first sign."""
+    escaped = rf"len(regexp_extract_all({{0}}, '[<\[]\\*(?:{tails})'))"
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+  coalesce(sum(length(t)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  sum(length(r) + length(t) + {escaped.format("r")} + {escaped.format("t")} + {markers})::BIGINT AS formatted_chars
+FROM turns GROUP BY 1
+"""
