@@ -123,3 +123,12 @@ def test_every_heavy_group_is_split(spark):
     got = series.prefix_sums(df, ["g"], "v", ["n"], heavy_rows=2)
     bad = got.where("n_before != v * (g + 1) + 1500 * v * (v - 1) / 2 or n_total != 4 * (g + 1) + 9000")
     assert got.count() == 6000 and bad.count() == 0
+
+
+def test_numbered_rows_with_a_frequent_value(spark):
+    df = spark.range(2000).selectExpr("cast(if(id % 3 = 0, 7, id) as string) as v", "id % 2 as w").repartition(5)
+    got = series.numbered(df, ["v", "w"]).collect()
+    assert sorted(r["position"] for r in got) == list(range(2000))
+    in_order = [(r["v"], r["w"]) for r in sorted(got, key=lambda r: r["position"])]
+    assert in_order == sorted(in_order)
+    assert series.numbered(df.limit(0), ["v"]).count() == 0

@@ -233,3 +233,30 @@ def test_pca_and_loadings(spark):
     top = profile.top_loadings(loadings, 2, 1).orderBy("component").collect()
     assert [r["feature"] for r in top] == ["a", "b"]
     assert [r[0] for r in profile.selected_features(loadings, 2, 1).collect()] == ["a", "b"]
+
+
+def test_service_logs_skip_metrics_folders_and_other_files(spark):
+    rows = [("run/a", "light-oauth-1.log", "x"), ("run/metrics", "light-oauth-1.log", "x"), ("run/a", "light-oauth.txt", "x"), ("run/a", "other-1.log", "x")]
+    lines = spark.createDataFrame(rows, "subdirectory string, file_name string, line string")
+    assert [tuple(r) for r in profile.service_logs(lines, "oauth").collect()] == [rows[0]]
+
+
+def test_nearest_center_of_sparse_and_dense_vectors(spark):
+    from pyspark.ml.linalg import Vectors
+
+    centers = [[0.0, 3.0, 0.0], [1.0, 0.0, -4.0]]
+    points = [Vectors.sparse(3, [1], [3.0]), Vectors.dense([1.0, 0.0, 0.0]), Vectors.sparse(3, [], [])]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(points)], ["id", "features"])
+    got = {r["id"]: r["score"] for r in textmodels.nearest_center(rows, centers).collect()}
+    want = {i: min(sum((a - b) ** 2 for a, b in zip(p.toArray(), c)) ** 0.5 for c in centers) for i, p in enumerate(points)}
+    assert got == pytest.approx(want)
+
+
+def test_vectors_are_stored_and_sparse(spark):
+    train = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "b", 1)], "s long, token string, n long")
+    test = spark.createDataFrame([(3, "a", 1), (3, "z", 5), (4, "z", 1)], "s long, token string, n long")
+    made, other = textmodels.vectorize(train, test, "s", "count")
+    assert sorted(sum(r["features"].toArray()) for r in made.collect()) == [1.0, 3.0]
+    vectors = {r["s"]: r["features"] for r in other.collect()}
+    assert vectors[3].size == 2 and list(vectors[3].values) == [1.0] and len(vectors[4].values) == 0
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString()

@@ -121,6 +121,16 @@ def empty_breakdown(inventory: DataFrame, expected: list[str] | None = None) ->
     )
 
 
+def service_logs(lines: DataFrame, pattern: str) -> DataFrame:
+    """Lines (subdirectory, file_name, line) of the ``.log`` files whose name holds ``pattern``.
+
+    Folders of metrics are skipped. Both names are columns of the file listing, so the filter is
+    applied before a line is looked at.
+    """
+    named = F.col("file_name").contains(pattern) & F.col("file_name").endswith(".log")
+    return lines.where(named & ~F.col("subdirectory").contains("metrics"))
+
+
 def log_types(lines: DataFrame) -> DataFrame:
     """Type of every non-blank line, with the base file name, of rows (file_name, line)."""
     return lines.where(F.col("line").rlike(r"\S")).withColumns(

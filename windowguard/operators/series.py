@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from windowguard.session import stage
+
 HEAVY_ROWS = 1_000_000
 #: Ranges of about a quarter of a heavy group's least size, at least two. More than 2 ** RANGE_BITS
 #: are not told apart, which at 10 ** 12 rows leaves some 10 ** 7 rows a range.
@@ -101,6 +103,22 @@ def prefix_sums(
     )
 
 
+def numbered(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """Add the place of each row, from 0, in the order of ``order``; rows that tie follow in any order.
+
+    Rows are ordered in range partitions that are written once, counted, and numbered by themselves;
+    only the counts, one per partition, meet in one task. A frequent value is spread by a tie breaker.
+    """
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    ordered = stage(tied.repartitionByRange(*order, "_tie").withColumn("_part", F.spark_partition_id()), "ordered")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order, "_tie")) - 1
+    placed = ordered.withColumn("_inside", inside).join(stage(offsets, "offsets"), "_part")
+    return placed.select(*df.columns, (F.col("_before") + F.col("_inside")).alias(name))
+
+
 def quantile_of(value: str, weight: str, q: float) -> Column:
     """Aggregate: linear-interpolation quantile over rows ranked by ``prefix_sums``."""
     total, before = F.col(f"{weight}_total"), F.col(f"{weight}_before")

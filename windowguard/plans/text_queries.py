@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from windowguard import constants as K
 from windowguard.functions import scalars as S
-from windowguard.operators import logs, profile, textmodels
+from windowguard.operators import logs, profile, series, textmodels
 from windowguard.plans import service_queries
 from windowguard.plans import sql as Q
 from windowguard.plans.registry import query, rounded
@@ -307,6 +307,24 @@ def log_type_counts(spark, folder):
     return profile.log_type_counts(_typed(spark, folder))
 
 
+PLACED = r"""placed AS (SELECT service_name || CASE WHEN k % 2 = 0 THEN '-1.log' ELSE '-1.txt' END AS file_name,
+  CASE WHEN k % 5 = 0 THEN 'run/metrics' ELSE 'run/' || case_id END AS subdirectory, event_id FROM ev)"""
+
+
+@query(
+    f"""WITH {Q.EV}, {Q.LINES}, {PLACED} SELECT subdirectory, file_name, count(*) AS n FROM placed JOIN lines USING (event_id)
+    WHERE file_name LIKE '%shop%.log' AND subdirectory NOT LIKE '%metrics%' GROUP BY ALL"""
+)
+def service_log_files(spark, folder):
+    """Lines of the log files of one service outside metrics folders."""
+    numbers = A.events(spark, folder).select("event_id", "k")
+    lines = A.log_lines(spark, folder).join(numbers, "event_id")
+    ending = F.when(F.col("k") % 2 == 0, "-1.log").otherwise("-1.txt")
+    place = F.when(F.col("k") % 5 == 0, "run/metrics").otherwise(F.concat(F.lit("run/"), "case_id"))
+    named = lines.select(place.alias("subdirectory"), F.concat("service_name", ending).alias("file_name"), "line")
+    return profile.service_logs(named, "shop").groupBy("subdirectory", "file_name").agg(F.count("*").alias("n"))
+
+
 # Every service of the events; the query finds the names by itself.
 PIVOTED = [f"svc-{name}" for name in ("order", "other", "shop", "user")]
 
@@ -445,14 +463,13 @@ def head_trim_fraction(spark, folder):
     return trimmed.select("doc_id", "line_no", "line")
 
 
-@query(
-    """SELECT CAST(epoch_ms(o_orderdate) // 1000 AS VARCHAR) AS "timestamp", 'order' AS run_end,
-      CAST(o_orderkey AS VARCHAR) AS value FROM orders
-    UNION ALL SELECT CAST(epoch_ms(l_shipdate) // 1000 AS VARCHAR), 'line', CAST(l_orderkey AS VARCHAR) FROM lineitem"""
-)
-def merge_sorted(spark, folder):
-    """Two text tables as one in time order."""
+MERGED = """merged AS (
+  SELECT CAST(epoch_ms(o_orderdate) // 1000 AS VARCHAR) AS "timestamp", 'order' AS run_end,
+    CAST(o_orderkey AS VARCHAR) AS value FROM orders
+  UNION ALL SELECT CAST(epoch_ms(l_shipdate) // 1000 AS VARCHAR), 'line', CAST(l_orderkey AS VARCHAR) FROM lineitem)"""
+
 
+def _text_tables(spark, folder) -> list[DataFrame]:
     def texts(table: str, time: str, kind: str, value: str) -> DataFrame:
         return A.table(spark, folder, table).select(
             F.unix_seconds(F.col(time).cast("timestamp")).cast("string").alias("timestamp"),
@@ -461,8 +478,20 @@ def merge_sorted(spark, folder):
         )
 
     orders = texts("orders", "o_orderdate", "order", "o_orderkey")
-    lines = texts("lineitem", "l_shipdate", "line", "l_orderkey")
-    return profile.merge_sorted([orders, lines], "timestamp")
+    return [orders, texts("lineitem", "l_shipdate", "line", "l_orderkey")]
+
+
+@query(f"WITH {MERGED} SELECT * FROM merged")
+def merge_sorted(spark, folder):
+    """Two text tables as one in time order."""
+    return profile.merge_sorted(_text_tables(spark, folder), "timestamp")
+
+
+@query(f"""WITH {MERGED} SELECT *, row_number() OVER (ORDER BY "timestamp", run_end, value) - 1 AS position FROM merged""")
+def merge_positions(spark, folder):
+    """The place of every row of two text tables in their common order, which is that of texts."""
+    orders, lines = _text_tables(spark, folder)
+    return series.numbered(orders.unionByName(lines), ["timestamp", "run_end", "value"])
 
 
 @query(
