@@ -26,7 +26,8 @@ BLOCK = 2
 SUFFIX = 5
 LANE_WORDS = 256
 TABLE_BITS = 18
-PATTERN_BYTES = 8 << 20
+#: Test text of one pass; its patterns take some sixty times as much memory in a worker.
+PATTERN_BYTES = 1 << 20
 WORD = np.zeros(256, bool)
 WORD[48:58] = True
 WORD[97:123] = True
