@@ -236,9 +236,9 @@ def test_pca_and_loadings(spark):
 
 
 def test_service_logs_skip_metrics_folders_and_other_files(spark):
-    rows = [("run/a", "light-oauth-1.log", "x"), ("run/metrics", "light-oauth-1.log", "x"), ("run/a", "light-oauth.txt", "x"), ("run/a", "other-1.log", "x")]
+    rows = [("run/a", "svc-shop-1.log", "x"), ("run/metrics", "svc-shop-1.log", "x"), ("run/a", "svc-shop.txt", "x"), ("run/a", "other-1.log", "x")]
     lines = spark.createDataFrame(rows, "subdirectory string, file_name string, line string")
-    assert [tuple(r) for r in profile.service_logs(lines, "oauth").collect()] == [rows[0]]
+    assert [tuple(r) for r in profile.service_logs(lines, "shop").collect()] == [rows[0]]
 
 
 def test_nearest_center_of_sparse_and_dense_vectors(spark):
