@@ -29,9 +29,9 @@ def sized_buckets(keyed: DataFrame) -> DataFrame:
     return stage(keyed.join(stage(sizes, "sizes"), "key"), "buckets")
 
 
-def bucket_pairs(buckets: DataFrame, node: str) -> DataFrame:
-    """Distinct pairs a < b that meet in a small bucket."""
-    small = buckets.where(F.col("n") <= SMALL_BUCKET)
+def bucket_pairs(buckets: DataFrame, node: str, size: int = SMALL_BUCKET) -> DataFrame:
+    """Distinct pairs a < b that meet in a bucket of at most ``size`` rows."""
+    small = buckets.where(F.col("n") <= size)
     left = small.select("key", F.col(node).alias("a"))
     right = small.select("key", F.col(node).alias("b"))
     return left.join(right, "key").where("a < b").select("a", "b").distinct()
@@ -75,15 +75,33 @@ def block_keys(prints: DataFrame, blocks: int = 4, exact: int = 2) -> DataFrame:
     return prints.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
-def majority(hashed: DataFrame, keys: list[str], value: str = "h") -> DataFrame:
-    """SimHash ``fp`` of the groups of ``keys``: the bits set in over half of the hashes ``value``.
+#: Counters of nine bits, seven to a long; nine longs count the 63 low bits of up to 255 hashes.
+LANE, LANES, SLICE = 9, 7, 255
+_ONES = sum(1 << (LANE * j) for j in range(LANES))
 
-    Two 32-bit counters fit a long, so 32 sums count all bits.
+
+def majority(hashed: DataFrame, keys: list[str]) -> DataFrame:
+    """63-bit SimHash ``fp`` of the groups of ``keys``: the bits set in over half of their hashes.
+
+    ``hashed`` has the hashes ``h``, numbered by ``pos`` from 0 in their group, and the size ``n`` of
+    the group. Hashes are counted in slices that the counters hold. In a group of one slice all
+    counters are compared at once: adding 255 less half the size carries into the top bit of a
+    counter exactly if it is more than half. In a larger one each counter is summed over the slices.
     """
-    lanes = F.lit((1 << 32) + 1)
-    sums = [F.sum(F.shiftright(value, k).bitwiseAND(lanes)).alias(f"s{k}") for k in range(32)]
-    counted = hashed.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
-    low = F.lit((1 << 32) - 1)
-    bits = [F.when(2 * F.col(f"s{k}").bitwiseAND(low) > F.col("n"), F.lit(bit(k))).otherwise(F.lit(0)) for k in range(32)]
-    bits += [F.when(2 * F.shiftright(f"s{k}", 32) > F.col("n"), F.lit(bit(k + 32))).otherwise(F.lit(0)) for k in range(32)]
-    return counted.select(*keys, reduce(Column.bitwiseOR, [b.cast("long") for b in bits]).alias("fp"))
+    ones, zero = F.lit(_ONES), F.lit(0).cast("long")
+    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(ones)).alias(f"p{k}") for k in range(LANE)]
+    slices = hashed.withColumn("slice", F.floor(F.col("pos") / SLICE)).groupBy(*dict.fromkeys([*keys, "n"]), "slice").agg(*sums)
+    half = F.floor(F.col("n") / 2)
+    fill = (SLICE - half) * ones
+    tops = [F.shiftrightunsigned(F.col(f"p{k}") + fill, LANE - 1).bitwiseAND(ones) for k in range(LANE)]
+    at_once = reduce(Column.bitwiseOR, [F.shiftleft(t, k) for k, t in enumerate(tops)])
+    one = (1 << LANE) - 1
+    counts = [
+        F.sum(F.shiftrightunsigned(f"p{k}", LANE * j).bitwiseAND(one)).alias(f"c{LANE * j + k}")
+        for k in range(LANE)
+        for j in range(LANES)
+    ]
+    bits = [F.when(F.col(f"c{i}") > half, F.lit(1 << i)).otherwise(zero) for i in range(LANE * LANES)]
+    small = slices.where(F.col("n") <= SLICE).select(*keys, at_once.alias("fp"))
+    large = slices.where(F.col("n") > SLICE).groupBy(*dict.fromkeys([*keys, "n"])).agg(*counts)
+    return small.unionByName(large.select(*keys, reduce(Column.bitwiseOR, bits).alias("fp")))
