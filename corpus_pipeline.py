@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from windowguard.llm import decontaminate, mixture, quality, shards, simhash_dedup
-from windowguard.session import stage
+from windowguard.session import configure, stage
 
 SHARDS = 24
 #: Weights of the mixture; every document is used once at most.
@@ -22,27 +22,32 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass the base rules and the line labeller."""
+    configure(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, quality.fit(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    configure(spark)
     return simhash_dedup.drop_copies(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without a passage of the benchmark."""
+    configure(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mixture."""
+    configure(spark)
     return mixture.mixed(docs, RECIPE)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every document."""
+    configure(spark)
     return shards.shard_documents(docs, SHARDS)
 
 

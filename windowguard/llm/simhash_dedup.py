@@ -148,8 +148,11 @@ def hex64(value: Column | str) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
-#: Candidates may differ in this many of the 256 fingerprint bits; a similarity of 0.8 means about 39.
-COPY_BITS = 68
+#: Candidates may differ in this many of the 256 fingerprint bits; a similarity of 0.8 means about
+#: 39, and of pairs just above it one in a hundred differs in 51 or more.
+COPY_BITS = 56
+#: Members of a bucket up to this size are compared pair by pair, those of a larger one with a few.
+COPY_BUCKET, COPY_LEADS = 16, 3
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -237,17 +240,17 @@ def copy_keys(nodes: DataFrame) -> DataFrame:
 def candidate_copies(nodes: DataFrame) -> DataFrame:
     """Pairs a < b of nodes that share a key and are near in their fingerprints.
 
-    In a small bucket every pair is taken; in a larger one every member is paired with two members
-    that a hash picks for that bucket, and as a text is in some forty buckets, with many others.
+    In a small bucket every pair is taken. In a larger one every member is paired with the few that
+    a hash of bucket and member puts first; as a text is in some forty buckets, it meets many others
+    that way, and the pairs grow with the members and not with their square.
     """
     buckets = hamming.sized_buckets(copy_keys(nodes))
-    crowded = buckets.where(F.col("n") > hamming.SMALL_BUCKET).withColumn("dice", F.xxhash64("key", "node"))
-    ends = crowded.groupBy("key").agg(
-        F.min(F.struct("dice", "node")).alias("low"), F.max(F.struct("dice", "node")).alias("high")
-    )
-    leads = stage(ends.select("key", F.explode(F.array("low.node", "high.node")).alias("lead")), "leads")
-    star = crowded.join(leads, "key").where(F.col("node") != F.col("lead"))
-    pairs = hamming.bucket_pairs(buckets, "node").unionByName(
+    crowded = buckets.where(F.col("n") > COPY_BUCKET)
+    dice = [F.min(F.struct(F.xxhash64("key", "node", F.lit(i)), "node")).alias(f"lead{i}") for i in range(COPY_LEADS)]
+    leads = crowded.groupBy("key").agg(*dice)
+    leads = leads.select("key", F.explode(F.array_distinct(F.array(*[f"lead{i}.node" for i in range(COPY_LEADS)]))).alias("lead"))
+    star = crowded.join(stage(leads, "leads"), "key").where(F.col("node") != F.col("lead"))
+    pairs = hamming.bucket_pairs(buckets, "node", COPY_BUCKET).unionByName(
         star.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
     )
     prints = nodes.select("node", "prints")
@@ -268,7 +271,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             for piece in arrays.pieces(batch, "text"):
                 hashes, first = shingle_hashes(piece.column("text"), COPY_WORDS)
                 signed = hashes.view(np.int64)
-                sets = [np.unique(signed[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                sets = [arrays.distinct(signed[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
                 node = pa.array(sequence_hashes(piece.column("text")), pa.binary())
                 yield pa.RecordBatch.from_arrays([node, pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
