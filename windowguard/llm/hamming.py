@@ -12,6 +12,8 @@ from windowguard.session import stage
 
 #: Buckets up to this size are compared pair by pair; larger ones are linked in another way.
 SMALL_BUCKET = 64
+#: Times a crowded bucket is split before its members meet in midpoints.
+LEVELS = 2
 
 
 def bit(i: int) -> int:
@@ -53,12 +55,26 @@ def links_within_two(keyed: DataFrame) -> DataFrame:
     """Links (a, b) that connect all fingerprints at most two bits apart.
 
     ``keyed`` has (key, fp), each distinct fingerprint once per key, such that fingerprints two bits
-    apart or less share a key.
+    apart or less share a key. A crowded bucket is split further: of the bits dealt into three parts,
+    two errors leave one part exact. What is crowded after LEVELS such splits meets in midpoints.
     """
-    buckets = sized_buckets(keyed)
-    close = bucket_pairs(buckets, "fp").where(apart("a", "b") <= 2)
-    crowded = stage(buckets.where(F.col("n") > SMALL_BUCKET).select("fp").distinct(), "crowded")
-    return close.unionByName(midpoint_links(crowded))
+    links = None
+    for level in range(LEVELS + 1):
+        buckets = sized_buckets(keyed)
+        close = bucket_pairs(buckets, "fp").where(apart("a", "b") <= 2)
+        links = close if links is None else links.unionByName(close)
+        crowded = stage(buckets.where(F.col("n") > SMALL_BUCKET).select("key", "fp"), "crowded")
+        if crowded.isEmpty():
+            return links
+        keyed = crowded.select(F.explode(F.array(*_part_keys(level))).alias("key"), "fp")
+    return links.unionByName(midpoint_links(stage(crowded.select("fp").distinct(), "crowded-prints")))
+
+
+def _part_keys(level: int) -> list[Column]:
+    """Keys of the three parts of a fingerprint: bits dealt out by a digit of their number in base three."""
+    digit = [i // 3**level % 3 for i in range(64)]
+    masks = [sum(bit(i) for i in range(64) if digit[i] == part) for part in range(3)]
+    return [F.xxhash64("key", F.lit(part), F.col("fp").bitwiseAND(mask)) for part, mask in enumerate(masks)]
 
 
 def block_keys(prints: DataFrame, blocks: int = 4, exact: int = 2) -> DataFrame:
@@ -81,7 +97,7 @@ _ONES = sum(1 << (LANE * j) for j in range(LANES))
 
 
 def majority(hashed: DataFrame, keys: list[str]) -> DataFrame:
-    """63-bit SimHash ``fp`` of the groups of ``keys``: the bits set in over half of their hashes.
+    """63-bit SimHash ``fp`` and size ``n`` of the groups of ``keys``: bits set in over half of their hashes.
 
     ``hashed`` has the hashes ``h``, numbered by ``pos`` from 0 in their group, and the size ``n`` of
     the group. Hashes are counted in slices that the counters hold. In a group of one slice all
@@ -90,7 +106,7 @@ def majority(hashed: DataFrame, keys: list[str]) -> DataFrame:
     """
     ones, zero = F.lit(_ONES), F.lit(0).cast("long")
     sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(ones)).alias(f"p{k}") for k in range(LANE)]
-    slices = hashed.withColumn("slice", F.floor(F.col("pos") / SLICE)).groupBy(*dict.fromkeys([*keys, "n"]), "slice").agg(*sums)
+    slices = hashed.withColumn("slice", F.floor(F.col("pos") / SLICE)).groupBy(*keys, "slice").agg(F.max("n").alias("n"), *sums)
     half = F.floor(F.col("n") / 2)
     fill = (SLICE - half) * ones
     tops = [F.shiftrightunsigned(F.col(f"p{k}") + fill, LANE - 1).bitwiseAND(ones) for k in range(LANE)]
@@ -102,6 +118,7 @@ def majority(hashed: DataFrame, keys: list[str]) -> DataFrame:
         for j in range(LANES)
     ]
     bits = [F.when(F.col(f"c{i}") > half, F.lit(1 << i)).otherwise(zero) for i in range(LANE * LANES)]
-    small = slices.where(F.col("n") <= SLICE).select(*keys, at_once.alias("fp"))
-    large = slices.where(F.col("n") > SLICE).groupBy(*dict.fromkeys([*keys, "n"])).agg(*counts)
-    return small.unionByName(large.select(*keys, reduce(Column.bitwiseOR, bits).alias("fp")))
+    # The size is an aggregate so that both branches filter one and the same result.
+    small = slices.where(F.col("n") <= SLICE).select(*keys, "n", at_once.alias("fp"))
+    large = slices.where(F.col("n") > SLICE).groupBy(*keys, "n").agg(*counts)
+    return small.unionByName(large.select(*keys, "n", reduce(Column.bitwiseOR, bits).alias("fp")))
