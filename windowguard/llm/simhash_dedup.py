@@ -151,6 +151,8 @@ def hex64(value: Column | str) -> Column:
 #: Candidates may differ in this many of the 256 fingerprint bits; a similarity of 0.8 means about
 #: 39, and of pairs just above it one in a hundred differs in 51 or more.
 COPY_BITS = 56
+#: And in this many of the first 64, which the keys carry along: unrelated pairs hardly ever do.
+FIRST_BITS = 20
 #: Members of a bucket up to this size are compared pair by pair, those of a larger one with a few.
 COPY_BUCKET, COPY_LEADS = 16, 3
 
@@ -214,7 +216,9 @@ def sequence_hashes(column: pa.Array) -> list[bytes]:
 
 
 def copy_keys(nodes: DataFrame) -> DataFrame:
-    """(key, node): for each segment the Golay keys of its 23 bits, each with a least shingle hash.
+    """(key, node, first): for each segment the Golay keys of its 23 bits, each with a least shingle hash.
+
+    ``first`` is the first of the node's fingerprints.
 
     Similar texts agree in a least shingle as often as they share shingles, which makes the short
     Golay keys selective; the keys in turn split the buckets of common shingles.
@@ -229,12 +233,15 @@ def copy_keys(nodes: DataFrame) -> DataFrame:
                     word = (prints[:, lane] >> np.uint64(shift)) & np.uint64((1 << golay.BITS) - 1)
                     row, near = golay.keys(word)
                     key = arrays.pair(least[row, s], (near << 4 | s).astype(np.uint64))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), part.column("node").take(pa.array(row))], names=["key", "node"]
-                    )
+                    columns = [
+                        pa.array(key.view(np.int64)),
+                        part.column("node").take(pa.array(row)),
+                        pa.array(prints[row, 0].view(np.int64)),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "first"])
 
     usable = nodes.where(F.size("least") > 0).select("prints", "least", "node")
-    return usable.mapInArrow(emit, "key long, node binary")
+    return usable.mapInArrow(emit, "key long, node binary, first long")
 
 
 def candidate_copies(nodes: DataFrame) -> DataFrame:
@@ -245,14 +252,18 @@ def candidate_copies(nodes: DataFrame) -> DataFrame:
     that way, and the pairs grow with the members and not with their square.
     """
     buckets = hamming.sized_buckets(copy_keys(nodes))
-    crowded = buckets.where(F.col("n") > COPY_BUCKET)
-    dice = [F.min(F.struct(F.xxhash64("key", "node", F.lit(i)), "node")).alias(f"lead{i}") for i in range(COPY_LEADS)]
-    leads = crowded.groupBy("key").agg(*dice)
-    leads = leads.select("key", F.explode(F.array_distinct(F.array(*[f"lead{i}.node" for i in range(COPY_LEADS)]))).alias("lead"))
-    star = crowded.join(stage(leads, "leads"), "key").where(F.col("node") != F.col("lead"))
-    pairs = hamming.bucket_pairs(buckets, "node", COPY_BUCKET).unionByName(
-        star.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
-    )
+    near = hamming.apart("first", "other") <= FIRST_BITS
+    small = buckets.where(F.col("n") <= COPY_BUCKET).select("key", "node", "first")
+    twin = small.select("key", F.col("node").alias("mate"), F.col("first").alias("other"))
+    within = small.join(twin, (small["key"] == twin["key"]) & (F.col("node") < F.col("mate")) & near)
+    crowded = buckets.where(F.col("n") > COPY_BUCKET).select("key", "node", "first")
+    picks = [F.struct(F.xxhash64("key", "node", F.lit(i)).alias("dice"), "node", "first") for i in range(COPY_LEADS)]
+    leads = crowded.groupBy("key").agg(*[F.min(p).alias(f"lead{i}") for i, p in enumerate(picks)])
+    ends = F.array(*[F.struct(F.col(f"lead{i}.node").alias("mate"), F.col(f"lead{i}.first").alias("other")) for i in range(COPY_LEADS)])
+    leads = stage(leads.select("key", F.inline(F.array_distinct(ends))), "leads")
+    star = crowded.join(leads, (crowded["key"] == leads["key"]) & (F.col("node") != F.col("mate")) & near)
+    ordered = [F.least("node", "mate").alias("a"), F.greatest("node", "mate").alias("b")]
+    pairs = within.select(*ordered).unionByName(star.select(*ordered))
     prints = nodes.select("node", "prints")
     both = (
         pairs.distinct()
