@@ -1,6 +1,7 @@
 """Deduplication operators against brute force, on texts with every odd case."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -167,6 +168,33 @@ def test_near_copies(documents, texts):
             assert (got[a] == got[b]) == (roots[i] == roots[j]), (a, b)
 
 
+def edited(words, dice, n):
+    out = list(words)
+    for i in dice.sample(range(len(out)), n):
+        out[i] = f"e{dice.randrange(10**9)}"
+    return " ".join(out)
+
+
+def test_star_of_copies_that_are_near_their_original_only(spark):
+    dice = random.Random(3)
+    words = [f"s{dice.randrange(10**6)}" for _ in range(300)]
+    # Five replaced words change up to 25 of 296 shingles: 0.84 to the original, about 0.72 to each other.
+    texts = [" ".join(words)] + [edited(words, dice, 5) for _ in range(300)]
+    far = [edited(words, dice, 40) for _ in range(5)]
+    rows = list(enumerate(texts + far))
+    sets = [shingles(t) for _, t in rows]
+
+    def near(a, b):
+        common = len(sets[a] & sets[b])
+        return 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common)
+
+    roots = brute_roots(range(len(rows)), near)
+    assert len(set(roots.values())) == 6 and sum(near(a, b) for a in range(1, 301) for b in range(1, a)) < 2000
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.keep.doc_id for r in simhash_dedup.near_copies(frame).collect()}
+    assert got == roots
+
+
 def test_dropping_near_copies_keeps_one_row_of_each_group(documents):
     kept = simhash_dedup.drop_copies(documents)
     assert kept.columns == documents.columns

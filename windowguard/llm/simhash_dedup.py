@@ -153,8 +153,11 @@ def hex64(value: Column | str) -> Column:
 COPY_BITS = 56
 #: And in this many of the first 64, which the keys carry along: unrelated pairs hardly ever do.
 FIRST_BITS = 20
-#: Members of a bucket up to this size are compared pair by pair, those of a larger one with a few.
+#: Members of a bucket up to this size are compared pair by pair, those of a larger one with a few
+#: in a first round, and after it by their shingles.
 COPY_BUCKET, COPY_LEADS = 16, 3
+#: Holders of one shingle are compared in blocks of about this many.
+BLOCK = 256
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -244,14 +247,12 @@ def copy_keys(nodes: DataFrame) -> DataFrame:
     return usable.mapInArrow(emit, "key long, node binary, first long")
 
 
-def candidate_copies(nodes: DataFrame) -> DataFrame:
+def candidate_copies(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs a < b of nodes that share a key and are near in their fingerprints.
 
     In a small bucket every pair is taken. In a larger one every member is paired with the few that
-    a hash of bucket and member puts first; as a text is in some forty buckets, it meets many others
-    that way, and the pairs grow with the members and not with their square.
+    a hash of bucket and member puts first; ``crowded_links`` finds what these do not.
     """
-    buckets = hamming.sized_buckets(copy_keys(nodes))
     near = hamming.apart("first", "other") <= FIRST_BITS
     small = buckets.where(F.col("n") <= COPY_BUCKET).select("key", "node", "first")
     twin = small.select("key", F.col("node").alias("mate"), F.col("first").alias("other"))
@@ -289,13 +290,16 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(emit, "node binary, shingles array<long>")
 
 
-def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose shingle sets have at least that Jaccard similarity; their texts are read again."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles) of the wanted nodes; their texts are read again."""
     homes = stage(nodes.join(wanted, "node").select("node", F.col("doc_id").alias("owner")), "copy-homes")
     again = docs.join(homes.select("owner").distinct(), F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi")
     sets = shingle_sets(again).join(homes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets = stage(sets, "copy-sets")
+    return stage(sets, "copy-sets")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose shingle sets have at least that Jaccard similarity."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
     )
@@ -304,12 +308,83 @@ def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -
     return both.where(100 * common >= percent * union).select("a", "b")
 
 
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(shingle, node, root, size, weight): the shingles by which texts of different classes can be similar.
+
+    Similar texts x, y of two classes share ``percent`` of the shingles of either, all of them held
+    by more than one class. So a text with fewer such shingles has no partner, and of those of any
+    other, put in one order for all texts, the first ones up to what it may lack and one more hold a
+    shingle of each partner (prefix filter). Rare shingles come first. ``weight`` is high for texts
+    whose shingles many others have.
+    """
+    each = sets.select("node", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    held = each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
+    across = each.join(held.where("low != high").select("shingle", "df"), "shingle")
+    lists = across.groupBy("node", "root", "size").agg(
+        (F.sum("df") / F.col("size")).alias("weight"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("list")
+    )
+    spare = F.size("list") - F.ceil(percent * F.col("size") / 100).cast("int") + 1
+    first = lists.withColumn("spare", spare).where("spare > 0")
+    return first.select(F.explode(F.slice("list", 1, F.col("spare"))).alias("at"), "node", "root", "size", "weight").select(
+        "at.shingle", "node", "root", "size", "weight"
+    )
+
+
+def _other_class(percent: int) -> Column:
+    """Of rows (node, root, size) and (mate, its_root, its_size): different classes, sizes that allow the similarity."""
+    sizes = 100 * F.least("size", "its_size") >= percent * F.greatest("size", "its_size")
+    return (F.col("root") != F.col("its_root")) & sizes
+
+
+def lead_pairs(rare: DataFrame, percent: int) -> DataFrame:
+    """Each holder of a shingle with the holder of most weight: an original meets its copies here."""
+    lead = rare.groupBy("shingle").agg(F.max(F.struct("weight", "node", "root", "size")).alias("lead"))
+    lead = lead.select("shingle", *[F.col(f"lead.{c}").alias(n) for c, n in (("node", "mate"), ("root", "its_root"), ("size", "its_size"))])
+    pairs = rare.join(lead, "shingle").where(_other_class(percent))
+    return pairs.select(F.least("node", "mate").alias("a"), F.greatest("node", "mate").alias("b")).distinct()
+
+
+def all_pairs(rare: DataFrame, percent: int) -> DataFrame:
+    """All holders of a shingle with each other, where their classes differ; block by block."""
+    sizes = rare.groupBy("shingle").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high"))
+    sizes = stage(sizes.where("low != high").select("shingle", "blocks"), "copy-blocks")
+    rows = rare.join(sizes, "shingle")
+    left = rows.select("shingle", "node", "root", "size", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    right = rows.select(
+        "shingle",
+        F.col("node").alias("mate"),
+        F.col("root").alias("its_root"),
+        F.col("size").alias("its_size"),
+        F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
+    )
+    pairs = left.join(right, ["shingle", "block"]).where((F.col("node") < F.col("mate")) & _other_class(percent))
+    return pairs.select(F.col("node").alias("a"), F.col("mate").alias("b")).distinct()
+
+
+def crowded_links(links: DataFrame, crowded: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``links`` and what it takes to connect all similar texts of ``crowded``, however many share a key.
+
+    Texts of one class need no further link. First the texts meet one each per rare shingle, which
+    leaves few classes; then all pairs of different classes are compared that the prefix filter
+    allows, so none is left out.
+    """
+    sets = sets_of(crowded, docs, nodes)
+    for propose in (lead_pairs, all_pairs):
+        links = stage(components(links, "a", "b").select(F.col("node").alias("a"), F.col("root").alias("b")), "copy-contracted")
+        roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        classed = sets.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "shingles")
+        rare = stage(rare_shingles(classed, percent), "copy-rare")
+        pairs = stage(propose(rare, percent), "copy-pairs")
+        links = stage(links.unionByName(similar(pairs, sets, percent)), "copy-links")
+    return links
+
+
 def near_copies(docs: DataFrame, percent: int = round(100 * COPY_SIMILARITY)) -> DataFrame:
     """doc_id, t1, t2 (hashes of the text) of each row, and ``keep``: the row its group keeps.
 
     Texts with equal word sequences (lower case, white space aside) are copies; texts whose sets of
-    five-word shingles are ``percent`` similar are linked when they meet in a key, and groups are
-    the connected components. The kept row is the one with the least doc_id, nulls first, ties by
+    five-word shingles are ``percent`` similar are linked when they meet in a key, or both have a key
+    that many share, and groups are the connected components. The kept row is the one with the least doc_id, nulls first, ties by
     text. Shorter texts are one shingle; texts without words are copies of each other. Repeated rows
     have the same entry. Extra columns are left aside.
     """
@@ -317,8 +392,14 @@ def near_copies(docs: DataFrame, percent: int = round(100 * COPY_SIMILARITY)) ->
     marked = stage(signatures(rows), "signatures")
     nodes = stage(marked.groupBy("node").agg(F.min(F.struct("doc_id", "t1", "t2", "prints", "least")).alias("own")), "copy-nodes")
     nodes = nodes.select("node", "own.*")
-    pairs = stage(candidate_copies(nodes), "copy-pairs")
-    linked = components(similar(pairs, rows, nodes, percent), "a", "b")
+    buckets = hamming.sized_buckets(copy_keys(nodes))
+    pairs = stage(candidate_copies(buckets, nodes), "copy-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = stage(similar(pairs, sets_of(wanted, rows, nodes), percent), "copy-links")
+    crowded = stage(buckets.where(F.col("n") > COPY_BUCKET).select("node").distinct(), "copy-crowded")
+    if not crowded.isEmpty():
+        links = crowded_links(links, crowded, rows, nodes, percent)
+    linked = components(links, "a", "b")
     rooted = nodes.join(linked, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), F.struct("doc_id", "t1", "t2").alias("own")
     )
