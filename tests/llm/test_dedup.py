@@ -195,6 +195,15 @@ def test_star_of_copies_that_are_near_their_original_only(spark):
     assert got == roots
 
 
+def test_copy_that_says_a_passage_again(spark):
+    dice, rows = random.Random(4), []
+    for i in range(10):
+        words = [f"w{dice.randrange(10**6):x}" for _ in range(800)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:400] + words[360:400] * 8 + words[400:]))]
+    got = simhash_dedup.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.keep.doc_id == r.doc_id // 2 * 2 for r in got)
+
+
 def test_dropping_near_copies_keeps_one_row_of_each_group(documents):
     kept = simhash_dedup.drop_copies(documents)
     assert kept.columns == documents.columns

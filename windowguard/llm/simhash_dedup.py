@@ -85,6 +85,16 @@ def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def distinct_hashes(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each value, in order, and the first one of each value."""
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    by = np.lexsort((hashes, owner))
+    hashes, owner = hashes[by], owner[by]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[new], np.concatenate(([0], np.cumsum(np.bincount(owner[new], minlength=len(first) - 1))))
+
+
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id and the 64-bit fingerprint ``fp`` of its text (null: no words, fingerprint zero)."""
 
@@ -164,14 +174,14 @@ def signatures(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, two hashes of its text (t1, t2), and what stands for the text.
 
     ``node`` is a 128-bit hash of the word sequence, ``prints`` four 64-bit SimHash fingerprints of
-    the shingles under different mixings, ``least`` the least shingle hash under eight others
+    the distinct shingles under different mixings, ``least`` the least shingle hash under eight others
     (empty without words).
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in arrays.pieces(batch, "text"):
-                hashes, first = shingle_hashes(piece.column("text"), COPY_WORDS)
+                hashes, first = distinct_hashes(*shingle_hashes(piece.column("text"), COPY_WORDS))
                 count = np.diff(first)
                 some = np.flatnonzero(count)
                 prints = np.zeros((len(count), LANES), np.uint64)
@@ -281,9 +291,9 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in arrays.pieces(batch, "text"):
-                hashes, first = shingle_hashes(piece.column("text"), COPY_WORDS)
+                hashes, first = distinct_hashes(*shingle_hashes(piece.column("text"), COPY_WORDS))
                 signed = hashes.view(np.int64)
-                sets = [arrays.distinct(signed[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                sets = [signed[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
                 node = pa.array(sequence_hashes(piece.column("text")), pa.binary())
                 yield pa.RecordBatch.from_arrays([node, pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
