@@ -241,6 +241,41 @@ def test_fuzzy_lines_are_linked_when_near_and_kept_when_not(spark):
     assert cleaned[3] == far and cleaned[4] == "" and cleaned[1] == "\nshort"
 
 
+def edit_distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+def test_edited_lines_of_all_lengths(spark):
+    dice = random.Random(6)
+    words = ["".join(dice.choice("abcdefghijklmnop") for _ in range(dice.randint(3, 9))) for _ in range(500)]
+    lines = []
+    for n in (2, 3, 5, 6, 8, 11, 12, 20, 40, 80, 130):
+        for _ in range(8):
+            line = dice.sample(words, n)
+            new, at = list(line), dice.randrange(n)
+            new[at] = "z" + new[at][1:] if n < 12 else dice.choice(words)
+            lines += [" ".join(line), " ".join(new)]
+    # One template: the fields of most lines differ too much, so a key holds many lines apart.
+    lines += [f"record of {' '.join(dice.sample(words, 3))} was stored by the server" for _ in range(80)]
+    lines += [lines[-1][:-1] + "x", lines[-20][:-1] + "x"]
+
+    def near(a, b):
+        x, y = lines[a], lines[b]
+        most = max(len(x), len(y)) // 10
+        return abs(len(x) - len(y)) <= most and (x == y or len(set(x.split()) ^ set(y.split())) < 20 and edit_distance(x, y) <= most)
+
+    roots = brute_roots(range(len(lines)), near)
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    lost = {r.doc_id for r in line_dedup.report(frame).where("n_removed > 0").collect()}
+    want = {i for i in roots if roots[i] != i}
+    assert len(want) > 85 and lost == want
+
+
 def test_empty_tables(no_documents):
     assert substring_dedup.remove_repeats(no_documents).count() == 0
     assert suffix_dedup.remove_repeated_bytes(no_documents).count() == 0
