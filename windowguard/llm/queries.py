@@ -1,11 +1,26 @@
-"""The queries of this subpackage: op1 to op10 over whole tables."""
+"""The queries of this subpackage: op1 to op13 over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowguard.llm import chat, decontaminate, line_dedup, mixture, quality, secrets, shards, simhash_dedup, sql, substring_dedup, suffix_dedup
+from windowguard.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    filter_audit,
+    line_dedup,
+    mixture,
+    quality,
+    ranked_search,
+    secrets,
+    shards,
+    simhash_dedup,
+    sql,
+    substring_dedup,
+    suffix_dedup,
+)
 from windowguard.llm.registry import query
 
 SHARDS = 24
@@ -102,3 +117,32 @@ def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without the 400-byte strings that start twice."""
     kept = suffix_dedup.remove_repeated_bytes(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def merges() -> bpe.Merges:
+    """The merges of the production run; the path of another tokenizer file can be given instead."""
+    import public_tokenizers
+
+    return bpe.Merges.read(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents encoded and decoded again."""
+    return bpe.round_trip(table(spark, folder, "documents"), merges())
+
+
+HITS = 10
+
+
+@query(sql.search_sql(HITS))
+def op12_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for each benchmark item, over an index of all documents."""
+    index = ranked_search.build_index(table(spark, folder, "documents"))
+    return ranked_search.search(index, table(spark, folder, "benchmark"), HITS)
+
+
+@query(sql.audit_sql(filter_audit.steps(), filter_audit.MIN_WORDS, filter_audit.DISTINCT_PERCENT, filter_audit.CAPITAL_PERCENT))
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove from all documents, in every order."""
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -182,3 +182,57 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(
   sum(length(r) + length(t) + {escaped.format("r")} + {escaped.format("t")} + {markers})::BIGINT AS formatted_chars
 FROM turns GROUP BY 1
 """
+
+
+def search_sql(k: int) -> str:
+    """The k best documents of each item."""
+    pattern = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, text FROM documents),
+terms AS (SELECT d, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '{pattern}')) AS term FROM docs),
+lengths AS (SELECT d, any_value(doc_id) AS doc_id, count(*)::BIGINT AS n FROM terms GROUP BY 1),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '{pattern}')) AS term FROM benchmark),
+tfs AS (SELECT d, term, count(*)::BIGINT AS tf FROM terms WHERE term IN (SELECT term FROM wanted) GROUP BY 1, 2),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, totals GROUP BY 1),
+sized AS (SELECT d, doc_id, 10 + (90 * n * n_docs) // n_terms AS m FROM lengths, totals),
+impacts AS (SELECT d, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS v FROM tfs JOIN weights USING (term) JOIN sized USING (d)),
+scored AS (SELECT item_id, d, any_value(doc_id) AS doc_id, sum(v)::BIGINT AS score FROM wanted JOIN impacts USING (term) GROUP BY 1, 2)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM scored WHERE score > 0)
+WHERE rank <= {k}
+"""
+
+
+def audit_sql(orders: list[tuple[str, int, int, int]], words: int, distinct: int, capitals: int) -> str:
+    """Counts of each step of each order (name, step, filters before as bits, bit of its own)."""
+    rows = ", ".join(f"('{o}', {s}, {b}, {f})" for o, s, b, f in orders)
+    return rf"""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+counted AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS caps,
+    min(doc_id) OVER (PARTITION BY t) AS least FROM docs),
+failed AS (
+  SELECT doc_id, part, (len(ws) < {words})::INT + 2 * (100 * len(list_distinct(ws)) < {distinct} * len(ws))::INT
+    + 4 * (100 * caps > {capitals} * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > least)::INT AS mask
+  FROM counted),
+labelled AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+cells AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM failed LEFT JOIN labelled USING (doc_id) GROUP BY 1, 2),
+orders(filter_order, step, before, own) AS (VALUES {rows}),
+counts AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (mask & before = 0 AND mask & own = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & before = 0 AND mask & own <> 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & before <> 0 AND mask & own <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & before = 0 AND mask & own <> 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & own <> 0), 0)::BIGINT AS toxic_lost
+  FROM cells, orders GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM counts
+"""
