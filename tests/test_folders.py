@@ -1,13 +1,15 @@
 """Raw case folders to the wide table, scores and metrics."""
 
+import gzip
 import json
+import re
 
 import pytest
 
 from windowguard import constants as K
 from windowguard.operators import profile
 from windowguard.plans import flow
-from windowguard.sources import files, sinks
+from windowguard.sources import files, headers, sinks
 
 TRAVEL = "POST:/api/v1/travelservice/trips/left"
 ROUTES = "GET:/api/v1/routeservice/routes"
@@ -133,6 +135,54 @@ def test_metric_files_are_read_by_their_own_header(spark, tmp_path, caplog):
     assert usable == {"a.csv": True, "b.csv": True, "bad.csv": False, "worse.csv": False}
 
 
+def test_odd_headers(spark, tmp_path):
+    """Byte order mark, quotes, repeated and empty names, blank lines above, other case, signs of patterns in names."""
+    folder = tmp_path / "c [1]" / "metric_data"
+    folder.mkdir(parents=True)
+    head = "metric_name,timestamp,value,pod,interface"
+    (folder / "a{1}.csv").write_text("\ufeff" + head + ',"odd, name",pod,,Pod\nm,1,2,p,i,o,again,none,P\n', encoding="utf-8")
+    (folder / "b*.csv").write_text(f"{head}\r\nm,2,3,q,i\r\n{head}\n")
+    (folder / "empty.csv").write_text("")
+    with gzip.open(folder / "c.csv.gz", "wt") as packed:
+        packed.write(f"{head},zone\nm,3,4,r,i,z\n")
+    got = files.read_metric_samples(spark, str(tmp_path / "*" / "metric_data"))
+    rows = {(r["case_id"], r["metric_file"], r["timestamp"], r["pod"], r["odd, name"], r["zone"]) for r in got.collect()}
+    assert rows == {
+        ("c [1]", "a{1}.csv", 1.0, "p", "o", None), ("c [1]", "b*.csv", 2.0, "q", None, None), ("c [1]", "c.csv.gz", 3.0, "r", None, "z"),
+    }
+    assert files.read_metric_samples(spark, headers.literal_path(str(folder / "empty.csv"))).count() == 0
+
+
+def test_a_header_is_found_in_the_first_bytes(spark, tmp_path):
+    """A file without line ends is not read to its end."""
+    (tmp_path / "long.csv").write_text("x" * (3 * headers.FIRST_BYTES))
+    (line,) = headers.first_lines(spark, str(tmp_path)).values()
+    assert 0 < len(line) <= headers.FIRST_BYTES
+
+
+def test_metric_files_are_scanned_once_and_pruned(spark, tmp_path):
+    from test_entry import plan, records_read
+
+    folder = tmp_path / "c" / "metric_data"
+    folder.mkdir(parents=True)
+    names = ["metric_name", "timestamp", "value", "pod", "interface", *(f"label{i}" for i in range(17))]
+    for n, order in enumerate((names, names[::-1])):
+        for part in range(2):
+            rows = [dict.fromkeys(names, "x") | {"metric_name": f"m{i % 4}", "timestamp": str(i), "value": "1"} for i in range(500)]
+            lines = [",".join(order), *(",".join(r[c] for c in order) for r in rows)]
+            (folder / f"f{n}{part}.csv").write_text("\n".join(lines) + "\n")
+    spark.sparkContext.setJobGroup("opening", "opening")
+    samples = files.read_metric_samples(spark, str(folder))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("opening")
+    some = samples.where("metric_name in ('m1', 'm2')").select("metric_name", "timestamp", "value", "pod", "interface")
+    text = plan(some)
+    assert text.count("FileScan csv") == 2 and "label" not in text
+    assert len(re.findall(r"PushedFilters: \[.*In\(metric_name, \[m1,m2\]\)", text)) == 2
+    assert some.count() == 1000
+    assert records_read(spark, some) <= 2000 + 4
+
+
 def test_a_broken_case_document_is_an_error_that_names_the_case(spark, tmp_path):
     for case, text in (("good", "{}"), ("Lv_P_bad", '{"anomaly_type": "Lv_P')):
         (tmp_path / case / "_pipeline_out").mkdir(parents=True)

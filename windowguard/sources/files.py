@@ -7,6 +7,7 @@ read covers all cases.
 from __future__ import annotations
 
 import logging
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from windowguard import schemas
 from windowguard.functions import scalars as S
 from windowguard.session import stage
+from windowguard.sources import headers
 
 LOG = logging.getLogger(__name__)
 
@@ -75,52 +77,70 @@ def any_file(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def _headers(spark: SparkSession, paths: str | list[str]) -> dict[str, list[str]]:
+    return {path: headers.fields(line) for path, line in headers.first_lines(spark, paths).items()}
+
+
+def _usable(columns: list[str]) -> bool:
+    return set(METRIC_COLUMNS) <= set(columns)
+
+
 def metric_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, columns, usable) of every metric CSV: its header, and whether it can be read by it.
 
-    The header is the line that names the metric column. A file without such a line, or without
-    one of the needed columns, is not usable.
+    The header is the first line with any text. A file without one, or without one of the needed
+    columns, is not usable. Only the beginning of each file is read.
     """
-    needed = F.array(*[F.lit(c) for c in METRIC_COLUMNS])
-    lines = spark.read.text(paths).select(_path().alias("path"), "value")
-    fields = F.transform(F.split(F.regexp_replace("value", "[\r\"\ufeff]", ""), ","), F.trim)
-    header = F.when(F.col("value").contains(METRIC_COLUMNS[0]) & F.array_contains(fields, METRIC_COLUMNS[0]), fields)
-    found = lines.groupBy("path").agg(F.max(header).alias("columns"))
-    usable = F.coalesce(F.size(F.array_except(needed, "columns")) == 0, F.lit(False))
-    return found.withColumn("usable", usable)
+    found = [(path, columns, _usable(columns)) for path, columns in _headers(spark, paths).items()]
+    return spark.createDataFrame(found, "path string, columns array<string>, usable boolean")
 
 
-def read_metric_samples(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_metric_samples(spark: SparkSession, paths: str | list[str], labels: list[str] | None = None) -> DataFrame:
     """Long metric CSVs: labels as text, timestamp and value as numbers.
 
     Each file is read by the names in its own header, so files may differ in order and in their
-    labels; a label that a file lacks is NULL. Files that cannot be used are skipped with a warning
-    (``metric_headers`` lists them), so one bad file does not stop the others. Rows whose time is no
-    number are left out. ``metric_file`` is the file a sample comes from.
+    labels; a label that a file lacks is NULL. Only the beginning of a file is read to learn its
+    header; then there is one scan for all files with the same header, so columns that a query does
+    not use are not parsed, and its conditions reach the scan. Files that cannot be used are skipped
+    with a warning (``metric_headers`` lists them), so one bad file does not stop the others. Rows
+    whose time is no number are left out. ``metric_file`` is the file a sample comes from. ``labels``
+    are the further columns to give, all of any header by default.
     """
-    headers = stage(metric_headers(spark, paths), "metric-headers")
-    skipped = headers.where(~F.col("usable")).count()
+    known: dict[tuple[str, ...], list[str]] = {}
+    found = _headers(spark, paths)
+    for path, columns in sorted(found.items()):
+        if _usable(columns):
+            known.setdefault(tuple(columns), []).append(path)
+    skipped = len(found) - sum(map(len, known.values()))
     if skipped:
         LOG.warning("%d metric files have no usable header and are skipped", skipped)
-    known = headers.where("usable")
-    # As many names as the files have columns.
-    names = sorted(r[0] for r in known.select(F.explode("columns")).distinct().collect() if r[0])
     # The folder gives the case, whatever the file says.
-    names = [*METRIC_COLUMNS, *(n for n in names if n not in (*METRIC_COLUMNS, "case_id", "metric_file"))]
-    width = known.agg(F.max(F.size("columns"))).first()[0] or len(names)
-    cells = [f"_c{i}" for i in range(width)]
-    raw = spark.read.schema(", ".join(f"{c} string" for c in cells)).csv(paths)
-    placed = raw.select(F.array(*cells).alias("_cells"), _path().alias("path")).join(known.drop("usable"), "path")
-
-    def cell(name: str) -> Column:
-        text = F.get("_cells", F.array_position("columns", name).cast("int") - 1)
-        return text.try_cast("double") if name in NUMBERS else text
-
-    rows = placed.select(
-        *[cell(n).alias(n) for n in names],
-        _before(F.col("path"), "metric_data").alias("case_id"),
-        F.regexp_extract("path", "/metric_data/([^/]+)", 1).alias("metric_file"),
-    )
+    own = {"case_id", "metric_file"}
+    if labels is None:
+        labels = sorted({n for columns in known for n in headers.distinct_names(list(columns))} - {*METRIC_COLUMNS, *own})
+    names = [*METRIC_COLUMNS, *labels]
+
+    def scan(columns: list[str], members: list[str]) -> DataFrame:
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in headers.distinct_names(columns)])
+        reader = spark.read.schema(schema).option("header", True).option("ignoreLeadingWhiteSpace", False)
+        raw = reader.csv([headers.literal_path(m) for m in members])
+
+        def cell(name: str) -> Column:
+            text = F.col(f"`{name}`") if name in schema.names else F.lit(None).cast("string")
+            return (text.try_cast("double") if name in NUMBERS else text).alias(name)
+
+        path = _path()
+        return raw.select(
+            *[cell(n) for n in names],
+            _before(path, "metric_data").alias("case_id"),
+            F.regexp_extract(path, "/metric_data/([^/]+)", 1).alias("metric_file"),
+        )
+
+    if known:
+        rows = reduce(DataFrame.unionAll, (scan(list(c), m) for c, m in known.items()))
+    else:
+        kinds = ", ".join(f"`{n}` {'double' if n in NUMBERS else 'string'}" for n in [*names, *sorted(own)])
+        rows = spark.createDataFrame([], kinds)
     return _nan_to_null(rows.where(F.col("timestamp").isNotNull()))
 
 
