@@ -97,18 +97,6 @@ def test_models_rank_anomalies_first(spark, model):
         textmodels.fit_predict(train, df, "forest")
 
 
-def test_sweep_rates_each_pair(spark):
-    from windowguard.operators.evaluate import ranking_metrics
-
-    texts = {"correct": "ok fine", "e1": "ok broken", "e2": "ok odd"}
-    names = [(f"{t}{i}", t, "user") for t in texts for i in range(12)]
-    sequences = spark.createDataFrame(names, "seq string, test_name string, service string")
-    counted = tokens(spark, [(seq, texts[t]) for seq, t, _ in names])
-    scored = textmodels.sweep(counted, sequences, "seq", ["e1", "e2"], ["user"])
-    got = ranking_metrics(scored, "score", "label", ["error_type", "service"]).collect()
-    assert {(r["error_type"], r["auroc"]) for r in got} == {("e1", 1.0), ("e2", 1.0)}
-
-
 def run_index(spark):
     data = [(f"r{r}", t, s) for r in range(6) for t in ("correct", "e1", "e2", "e3", "e4") for s in ("token", "user")]
     return spark.createDataFrame(data, "run string, test_name string, service string")

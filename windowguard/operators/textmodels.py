@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.linalg import VectorUDT
@@ -211,44 +209,6 @@ def fit_predict(train: DataFrame, test: DataFrame, model: str, seed: int = 42) -
     return predicted.withColumn("score", score).drop("rawPrediction", "probability", "prediction")
 
 
-def sweep(
-    tokens: DataFrame,
-    sequences: DataFrame,
-    seq_id: str,
-    error_types: list[str],
-    services: list[str],
-    model: str = "tree",
-    normal: str = "correct",
-    fraction: float = 0.5,
-    seed: int = 42,
-) -> DataFrame:
-    """Test scores of one model per (error type, service): (error_type, service, seq_id, label, score).
-
-    ``sequences`` has (seq_id, test_name, service). Each pair takes the normal sequences of the
-    service and those of the error type and splits them by hash; every fit is a Spark job, and
-    ``kmeans`` fits on the normal half only. ``ranking_metrics`` by both columns rates the sweep.
-    """
-    results = []
-    for kind in error_types:
-        for service in services:
-            of_pair = F.col("test_name").isin(kind, normal) & (F.col("service") == service)
-            label = (F.col("test_name") == kind).cast("double").alias("label")
-            chosen = sequences.where(of_pair).select(seq_id, label)
-            train_ids, test_ids = split_by_hash(chosen, seq_id, fraction, seed)
-            if model == "kmeans":
-                train_ids = train_ids.where(F.col("label") == 0)
-            train, test = vectorize(
-                tokens.join(train_ids.select(seq_id), seq_id), tokens.join(test_ids.select(seq_id), seq_id), seq_id
-            )
-            scored = fit_predict(train.join(train_ids, seq_id), test.join(test_ids, seq_id), model, seed)
-            results.append(
-                scored.select(
-                    F.lit(kind).alias("error_type"), F.lit(service).alias("service"), seq_id, "label", "score"
-                )
-            )
-    return reduce(DataFrame.unionByName, results)
-
-
 def sample_runs(
     index: DataFrame,
     n_runs: int,

@@ -5,6 +5,7 @@ from windowguard.plans import (  # noqa: F401
     scoring_queries,
     service_queries,
     storage_queries,
+    sweep_queries,
     text_queries,
     wide_queries,
 )
