@@ -1,3 +1,10 @@
+import hashlib
+import itertools
+import math
+import random
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +158,67 @@ def test_templates(spark):
         "user 9 logged in": texts["user <*> logged in"], "7 items left": texts["<*> items left"],
         "user 9 logged out": "-1", "disk empty": "-1", "new one": "-1", "": texts[""],
     }
+
+
+def test_messages_with_one_first_word_stay_apart(spark):
+    fit = ["user ada logged in from home", "user bob logged in from work", "user ada was sent two mails", "user eve was sent two parcels"]
+    fit += ["job x ended", "job y ended", "task x ended"]
+    templates = logs.fit_templates(contents(spark, fit))
+    assert {r["template"] for r in templates.collect()} == {
+        "user <*> logged in from <*>", "user <*> was sent two <*>", "job <*> ended", "task x ended",
+    }
+    strict = logs.fit_templates(contents(spark, fit), similarity=0.9)
+    assert {r["template"] for r in strict.collect()} == set(fit)
+    texts = {r["template"]: r["template_id"] for r in templates.collect()}
+    probe = ["user zoe logged in from town", "user zoe was sent two logs", "user zoe was seen in town", "task x ended", "task y ended"]
+    got = [r["template_id"] for r in logs.match_templates(contents(spark, probe), templates).orderBy("content").collect()]
+    assert got == ["task x ended" and texts["task x ended"], "-1", texts["user <*> logged in from <*>"], "-1", texts["user <*> was sent two <*>"]]
+
+
+def test_of_fitting_templates_the_most_constant_is_taken(spark):
+    rows = [(3, "a", t, hashlib.md5(t.encode()).hexdigest()) for t in ("a <*> <*>", "a b <*>", "a <*> c")]
+    templates = spark.createDataFrame(rows, "n_tokens int, first_token string, template string, template_id string")
+    ids = {r[2]: r[3] for r in rows}
+    got = {r["content"]: r["template_id"] for r in logs.match_templates(contents(spark, ["a b x", "a x c", "a x y", "a b c"]), templates).collect()}
+    assert got == {"a b x": ids["a b <*>"], "a x c": ids["a <*> c"], "a x y": ids["a <*> <*>"], "a b c": min(ids["a b <*>"], ids["a <*> c"])}
+
+
+def plain_templates(texts, similarity):
+    """Single linkage of all pairs of a leaf."""
+    lines = {tuple("<*>" if re.search(r"[0-9]", t) else t for t in text.split()) for text in texts}
+    root = {line: line for line in lines}
+
+    def find(line):
+        while root[line] != line:
+            line = root[line]
+        return line
+
+    for a, b in itertools.combinations(sorted(lines), 2):
+        if len(a) == len(b) and a[:1] == b[:1]:
+            equal = sum(x == y != "<*>" for x, y in zip(a, b, strict=True))
+            if equal >= math.ceil(similarity * len(a) - 1e-9):
+                root[find(b)] = find(a)
+    groups = {}
+    for line in lines:
+        groups.setdefault(find(line), []).append(line)
+    return {" ".join(t[0] if len(set(t)) == 1 else "<*>" for t in zip(*g, strict=True)) for g in groups.values()}
+
+
+@pytest.mark.parametrize("similarity", [0.4, 0.5, 0.75])
+def test_templates_equal_plain_linkage(spark, similarity):
+    dice = random.Random(int(similarity * 100))
+    words = ["in", "of", "the", "red", "blue", "open", "shut", "x1", "y2"]
+    texts = [" ".join([dice.choice("pq"), *dice.choices(words, [9, 8, 7, 4, 3, 2, 1, 2, 2], k=dice.choice([4, 6, 9]))]) for _ in range(400)]
+    texts += [f"r{i} {w} same" for i in range(3) for w in ("in", "of")] + ["", "solo"]
+    got = logs.fit_templates(contents(spark, texts), similarity)
+    assert Counter(r["template"] for r in got.collect()) == Counter(plain_templates(texts, similarity))
+
+
+def test_connected_groups(spark):
+    from windowguard.operators.components import connected
+
+    pairs = [(i, i + 1) for i in range(60) if i != 29] + [(100 + 3 * i, 100) for i in range(20)] + [(7, 7), (None, 3), (5, 2), (2, 5)]
+    got = {r["node"]: r["root"] for r in connected(spark.createDataFrame(pairs, "a int, b int"), "a", "b").collect()}
+    want = {i: 0 for i in range(30)} | {i: 30 for i in range(30, 61)} | {100 + 3 * i: 100 for i in range(20)}
+    assert got == want
+    assert connected(spark.createDataFrame([(1, 1)], "a int, b int"), "a", "b").count() == 0

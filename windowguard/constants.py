@@ -80,6 +80,8 @@ HOST_METRICS = [NET_RX_ERRORS, NET_TX_ERRORS]
 LOG_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3})\s+([A-Z]+)\s+\d+\s+---"
 POD_SUFFIX = r"-[a-z0-9]{6,10}-[a-z0-9]{5}$"
 ERROR_LEVELS = ["ERROR", "FATAL"]
+# Fixed value: the share of equal tokens at which the public template miner puts a line to a template.
+TEMPLATE_SIMILARITY = 0.4
 LOG_TIMEZONE = "Asia/Shanghai"
 
 # Endpoint names of spans and the parts of a path.

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windowguard import constants as K
 from windowguard.functions import scalars as S
+from windowguard.operators.components import connected
 from windowguard.operators.series import fill_windows
 from windowguard.session import stage
 
@@ -21,68 +22,143 @@ def parse_logs(lines: DataFrame, timezone: str = K.LOG_TIMEZONE) -> DataFrame:
     return parsed.where(F.col("_parts.ts_ms").isNotNull()).select(*kept, "_parts.*")
 
 
-def _tokens() -> Column:
+def _masked() -> Column:
+    """The text of a line with a wildcard for each token with a digit, one space between tokens."""
     text = F.btrim(F.col("content"), F.lit(S.WHITESPACE))
-    masked = F.regexp_replace(text, r"(?<!\S)[^\s0-9]*+[0-9]\S*", WILDCARD)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(masked, r"\s+"))
+    wild = F.regexp_replace(text, r"(?<!\S)[^\s0-9]*+[0-9]\S*", WILDCARD)
+    return F.regexp_replace(wild, r"\s+", " ")
 
 
 def _template_key(df: DataFrame) -> DataFrame:
-    """Add tokens (a wildcard for each with a digit), their number and the first one, unless there."""
-    if "tokens" in df.columns:
-        return df
+    """Add the masked text (unless there), its tokens, their number and the first one."""
+    if "masked" not in df.columns:
+        df = df.withColumn("masked", _masked())
+    nothing = F.array().cast("array<string>")
     return (
-        df.withColumn("tokens", _tokens())
+        df.withColumn("tokens", F.when(F.col("masked") == "", nothing).otherwise(F.split("masked", " ")))
         .withColumn("n_tokens", F.size("tokens"))
         .withColumn("first_token", F.coalesce(F.get("tokens", F.lit(0)), F.lit("")))
     )
 
 
 def condense(parsed: DataFrame, window_ms: int = K.WINDOW_MS, *extra: Column) -> DataFrame:
-    """Counts ``n`` of the lines of each (case, service, window, level, tokens).
+    """Counts ``n`` of the lines of each (case, service, window, level, masked text).
 
     Tokens with a digit are masked, so most lines merge before the shuffle. Stored, this table
     stands for the parsed lines: templates are fitted on it and matched with it, and the raw text
     is read and parsed once. ``extra`` are further aggregates to carry.
     """
-    keyed = _template_key(parsed).withColumn("timestamp_window_ms", S.bucket(F.col("ts_ms"), window_ms))
-    keys = ["case_id", "service_name", "timestamp_window_ms", "level", "tokens", "n_tokens", "first_token"]
-    return keyed.groupBy(*keys).agg(F.count("*").alias("n"), *extra)
+    masked = parsed.withColumns({"masked": _masked(), "timestamp_window_ms": S.bucket(F.col("ts_ms"), window_ms)})
+    keys = ["case_id", "service_name", "timestamp_window_ms", "level", "masked"]
+    return masked.groupBy(*keys).agg(F.count("*").alias("n"), *extra)
 
 
-def fit_templates(parsed: DataFrame) -> DataFrame:
-    """One template per (token count, first token): tokens that vary become wildcards.
+LEAF = ["n_tokens", "first_token"]
 
-    Tokens with a digit are wildcards from the start, so that most lines of a message are equal
-    and merge before the shuffle. The result does not depend on the order of the lines.
-    """
-    lines = _template_key(parsed).select("n_tokens", "first_token", "tokens").distinct()
+
+def _positions(lines: DataFrame, *keys: str) -> DataFrame:
+    """The token of each position within the lines of the same keys, a wildcard where they differ."""
     token = F.when(F.min("token") == F.max("token"), F.min("token")).otherwise(WILDCARD)
-    positions = (
-        lines.select("n_tokens", "first_token", F.posexplode_outer("tokens").alias("position", "token"))
+    return (
+        lines.select(*keys, F.posexplode_outer("tokens").alias("position", "token"))
         .fillna("", subset=["token"])
-        .groupBy("n_tokens", "first_token", "position")
-        .agg(token.alias("token"))
+        .groupBy(*keys, "position")
+        .agg(token.alias("token"), F.count("*").alias("lines"))
     )
+
+
+def _texts(positions: DataFrame, *keys: str) -> DataFrame:
+    """The template text of each group of lines, how many tokens of it are constant, and its lines."""
     ordered = F.array_sort(F.collect_list(F.struct("position", "token")))
-    text = F.array_join(F.transform(ordered, lambda p: p["token"]), " ")
-    return positions.groupBy("n_tokens", "first_token").agg(text.alias("template")).select(
-        "n_tokens", "first_token", "template", F.md5("template").alias("template_id")
+    return positions.groupBy(*keys).agg(
+        F.array_join(F.transform(ordered, lambda p: p["token"]), " ").alias("template"),
+        F.count(F.when(F.col("token") != WILDCARD, 1)).alias("common"),
+        F.max("lines").alias("lines"),
     )
 
 
+def similar_lines(lines: DataFrame) -> DataFrame:
+    """(masked, root): groups of lines linked by similarity, within each leaf of the token tree.
+
+    ``lines`` has one row per masked text with its leaf, tokens, and ``need``, the number of equal
+    constant tokens that links two lines. Two such lines share one of the rarest (position, token)
+    pairs of each, as many as a line may miss and one more. So lines meet at those: first with the
+    least line of a pair, then all those that are still in different groups. Every meeting is verified.
+    """
+    cells = lines.select(*LEAF, "need", "masked", F.posexplode("tokens").alias("position", "token"))
+    cells = cells.where(F.col("token") != WILDCARD)
+    holders = cells.groupBy(*LEAF, "position", "token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = cells.join(holders, [*LEAF, "position", "token"])
+    of_line = Window.partitionBy("masked")
+    places = {
+        "place": F.row_number().over(of_line.orderBy("df", "position")),
+        "size": F.count("*").over(of_line),
+    }
+    key = [*LEAF, "position", "token"]
+    keys = stage(shared.withColumns(places).where(F.col("place") <= F.col("size") - F.col("need") + 1).select(*key, "masked"), "log-keys")
+    tokens = lines.select("masked", "tokens", "need")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.distinct().join(tokens, "masked")
+        pairs = pairs.join(tokens.select(F.col("masked").alias("other"), F.col("tokens").alias("_others")), "other")
+        equal = F.zip_with("tokens", "_others", lambda x, y: ((x == y) & (x != WILDCARD)).cast("int"))
+        total = F.aggregate(equal, F.lit(0), lambda n, x: n + x)
+        return pairs.where(total >= F.col("need")).select("masked", "other")
+
+    lead = keys.groupBy(*key).agg(F.min("masked").alias("other"))
+    links = stage(verified(keys.join(lead, key).where("masked <> other").select("masked", "other")), "log-links")
+    roots = connected(links, "masked", "other").select(F.col("node").alias("masked"), "root")
+    rooted = keys.join(roots, "masked", "left").withColumn("root", F.coalesce("root", "masked"))
+    mates = rooted.select(*key, F.col("masked").alias("other"), F.col("root").alias("_root"))
+    apart = rooted.join(mates, key).where((F.col("masked") < F.col("other")) & (F.col("root") != F.col("_root")))
+    more = stage(verified(apart.select("masked", "other")), "log-links")
+    if not more.isEmpty():
+        roots = connected(links.unionByName(more), "masked", "other").select(F.col("node").alias("masked"), "root")
+    return roots
+
+
+def fit_templates(parsed: DataFrame, similarity: float = K.TEMPLATE_SIMILARITY) -> DataFrame:
+    """Templates of the lines: (n_tokens, first_token, template, template_id).
+
+    Lines of the same token count and first token are a leaf. Within a leaf, lines are linked if at
+    least ``similarity`` of their tokens are equal and constant (tokens with a digit are wildcards from
+    the start and never count), and linked lines, directly or by others, make one template, in which
+    tokens that vary are wildcards. A leaf whose lines all agree on that many tokens is one template
+    without any comparison. The result does not depend on the order of the lines.
+    """
+    need = F.ceil(F.lit(similarity) * F.col("n_tokens") - F.lit(1e-9)).cast("int")
+    lines = _template_key(parsed).select(*LEAF, "masked", "tokens").distinct()
+    lines = stage(lines.withColumn("need", need), "log-texts")
+    whole = stage(_texts(_positions(lines, *LEAF, "need"), *LEAF, "need"), "log-leaves")
+    mixed = (F.col("lines") > 1) & (F.col("common") < F.col("need"))
+    found = whole.where(~mixed).select(*LEAF, "template")
+    split = whole.where(mixed).select(*LEAF)
+    if not split.isEmpty():
+        rest = lines.join(split, LEAF, "left_semi")
+        grouped = rest.join(similar_lines(rest), "masked", "left").withColumn("root", F.coalesce("root", "masked"))
+        texts = _texts(_positions(grouped, *LEAF, "root"), *LEAF, "root")
+        found = found.unionByName(texts.select(*LEAF, "template").distinct())
+    return found.withColumn("template_id", F.md5("template"))
+
+
 def match_templates(parsed: DataFrame, templates: DataFrame) -> DataFrame:
-    """Add ``template_id`` to parsed lines; a line no template fits gets ``-1``."""
-    keyed = _template_key(parsed)
-    joined = keyed.join(
-        templates.select("n_tokens", "first_token", "template", F.col("template_id").alias("_id")),
-        ["n_tokens", "first_token"],
-        "left",
-    )
-    pairs = F.zip_with("tokens", F.split("template", " "), lambda a, b: (b == WILDCARD) | (a == b))
-    fits = (F.col("n_tokens") == 0) | F.forall(pairs, lambda ok: ok)
-    fitting = F.when(F.col("_id").isNotNull() & fits, F.col("_id")).otherwise(UNMATCHED)
-    return joined.withColumn("template_id", fitting).select(*parsed.columns, "template_id")
+    """Add ``template_id`` to parsed lines; a line no template fits gets ``-1``.
+
+    Of several templates of a leaf that fit, the one with most constant tokens is taken, then the
+    least id.
+    """
+    words = F.split("template", " ")
+    constant = F.size(F.filter(words, lambda t: t != WILDCARD))
+    entry = F.struct((-constant).alias("order"), F.col("template_id").alias("id"), words.alias("words"))
+    leaves = templates.groupBy(*LEAF).agg(F.array_sort(F.collect_list(entry)).alias("_leaf"))
+    joined = _template_key(parsed).join(leaves, LEAF, "left")
+
+    def fits(t: Column) -> Column:
+        pairs = F.zip_with("tokens", t["words"], lambda a, b: (b == WILDCARD) | (a == b))
+        return (F.col("n_tokens") == 0) | F.forall(pairs, lambda ok: ok)
+
+    best = F.get(F.filter("_leaf", fits), F.lit(0))["id"]
+    return joined.withColumn("template_id", F.coalesce(best, F.lit(UNMATCHED))).select(*parsed.columns, "template_id")
 
 
 def aggregate_logs(parsed: DataFrame, window_ms: int = K.WINDOW_MS) -> DataFrame:

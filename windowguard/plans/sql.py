@@ -5,6 +5,7 @@ They restate the table mapping and the wide table in plain SQL over the same par
 
 from __future__ import annotations
 
+from windowguard import constants as K
 from windowguard.sources.tables import CASE_COLUMNS, CASE_ROWS, DAY_MS
 
 EV = """
@@ -239,28 +240,40 @@ def templates_of(source: str) -> str:
 fit_contents AS (SELECT DISTINCT content FROM {source}),"""
         + keyed("fit_contents", "fit_keyed")
         + """,
+fit_lines AS (SELECT *, row_number() OVER (ORDER BY n_tokens, tokens) AS id FROM (SELECT DISTINCT n_tokens, first_token, tokens FROM fit_keyed)),
+fit_links AS (
+  SELECT a.id, b.id AS other FROM fit_lines a JOIN fit_lines b USING (n_tokens, first_token)
+  WHERE a.id <> b.id AND len(list_filter(list_zip(a.tokens, b.tokens), lambda p: p[1] = p[2] AND p[1] <> '<*>'))
+    >= ceil({similarity} * n_tokens - 1e-9)),
+fit_roots AS (
+  WITH RECURSIVE reach AS (
+    SELECT id, id AS other FROM fit_lines UNION SELECT r.id, l.other FROM reach r JOIN fit_links l ON r.other = l.id)
+  SELECT id, min(other) AS root FROM reach GROUP BY 1),
 fit_positions AS (
-  SELECT n_tokens, first_token, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS position
-  FROM fit_keyed),
+  SELECT n_tokens, first_token, root, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS position
+  FROM fit_lines JOIN fit_roots USING (id)),
 fit_reduced AS (
-  SELECT n_tokens, first_token, position,
+  SELECT n_tokens, first_token, root, position,
     CASE WHEN min(token) = max(token) THEN min(token) ELSE '<*>' END AS token
   FROM fit_positions GROUP BY ALL),
 templates AS (
-  SELECT n_tokens, first_token, string_agg(token, ' ' ORDER BY position) AS template,
+  SELECT DISTINCT n_tokens, first_token, string_agg(token, ' ' ORDER BY position) AS template,
     md5(string_agg(token, ' ' ORDER BY position)) AS template_id
-  FROM fit_reduced GROUP BY ALL)"""
+  FROM fit_reduced GROUP BY n_tokens, first_token, root)""".replace("{similarity}", str(K.TEMPLATE_SIMILARITY))
     )
 
 
 MATCHED = (
     keyed("parsed", "line_keyed")
     + """,
+fitting AS (
+  SELECT n_tokens, tokens, arg_min(template_id, (-len(list_filter(words, lambda w: w <> '<*>')), template_id)) AS template_id
+  FROM (SELECT DISTINCT n_tokens, first_token, tokens FROM line_keyed) JOIN (SELECT *, string_split(template, ' ') AS words FROM templates) USING (n_tokens, first_token)
+  WHERE n_tokens = 0 OR list_bool_and(list_transform(list_zip(tokens, words), lambda p: p[2] = '<*>' OR p[1] = p[2]))
+  GROUP BY ALL),
 matched AS (
-  SELECT l.*, CASE WHEN t.template_id IS NOT NULL AND
-      list_bool_and(list_transform(list_zip(l.tokens, string_split(t.template, ' ')),
-        lambda p: p[2] = '<*>' OR p[1] = p[2])) THEN t.template_id ELSE '-1' END AS template_id
-  FROM line_keyed l LEFT JOIN templates t USING (n_tokens, first_token))"""
+  SELECT l.*, coalesce(f.template_id, '-1') AS template_id
+  FROM line_keyed l LEFT JOIN fitting f USING (n_tokens, tokens))"""
 )
 
 
