@@ -9,7 +9,7 @@ import pytest
 from windowguard import constants as K
 from windowguard.operators import profile
 from windowguard.plans import flow
-from windowguard.sources import files, headers, sinks
+from windowguard.sources import cache, files, headers, sinks
 
 TRAVEL = "POST:/api/v1/travelservice/trips/left"
 ROUTES = "GET:/api/v1/routeservice/routes"
@@ -305,6 +305,53 @@ def test_requests_traces_and_range_results(spark, tmp_path):
         ("run", "test", "up", "10", "1"), ("run", "test", "up", "20.5", "2")]
 
 
+def result_json(i):
+    text = 'a "quoted" {"metric": [} text' if i % 5 == 0 else "plain ü"
+    nested = {"metric": {"metric": {"metric": i}}, "list": [{"metric": 1}, {"metric": 2}]} if i % 7 == 0 else {}
+    values = [[i, str(i)], [i + 0.5, "{}"]] * (i % 4)
+    return {"metric": {"__name__": f"m{i}", "job": "node", "note": text}, "values": values, "more": nested}
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_large_json_arrays_are_read_by_many_tasks(spark, tmp_path, indent):
+    """Nested records that open alike, braces in strings, a record longer than a split."""
+    from test_entry import finished
+
+    folder = tmp_path / "run" / "a test" / "metrics"
+    folder.mkdir(parents=True)
+    many = [result_json(i) for i in range(1, 400)]
+    many.insert(200, {"metric": {"__name__": "wide", "job": "node", "note": "x" * 30_000}, "values": [[1, "1"]]})
+    texts = {"many.json": json.dumps(many, indent=indent), "few.json": json.dumps(many[:3]), "one.json": json.dumps(many[0])}
+    texts["cut.json"] = json.dumps(many[:100], indent=indent)[:-10]
+    texts["broken.json"] = json.dumps(many[:100], indent=indent).replace("m50", 'm5"0', 1)
+    texts["open.json"] = json.dumps(many[:100], indent=indent)[:-1]
+    texts["commas.json"] = json.dumps(many[:100], indent=indent).replace("}, {", "},, {").replace("},\n {", "},,\n {")
+    for name, text in texts.items():
+        (folder / name).write_text(text)
+    want = sorted((n, r["metric"]["__name__"], r["metric"]["note"], len(r["values"])) for n in ("many.json", "few.json") for r in json.loads(texts[n]))
+    want += [("one.json", "m1", "plain ü", 2)]
+
+    def read(split_bytes):
+        back = files.read_range_results(spark, str(folder / "*.json"), "run", split_bytes)
+        return back.where("file in ('many.json', 'few.json', 'one.json')" if split_bytes > 4000 else "true")
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "8k")
+    try:
+        spark.sparkContext.setJobGroup("pieces", "pieces")
+        got = read(4000)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        rows = got.selectExpr("file", "metric['__name__']", "metric['note']", "size(values)").collect()
+        tasks = max(a.numTasks() for a in finished(spark, "pieces"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(map(tuple, rows)) == sorted(want)
+    assert tasks > len(texts["many.json"]) / 8192
+    whole = read(1 << 20).selectExpr("file", "metric['__name__']", "metric['note']", "size(values)").collect()
+    assert sorted(map(tuple, whole)) == sorted(want)
+
+
 def test_text_csv_round_trip_and_line_files(spark, tmp_path):
     df = spark.createDataFrame([("9", "a"), ("10", "b")], "timestamp string, v string")
     sinks.write_csv(df, str(tmp_path / "csv"))
@@ -320,3 +367,48 @@ def test_materialize(spark, tmp_path):
     df = spark.range(100).withColumnRenamed("id", "t")
     got = sinks.materialize(df, str(tmp_path / "m"), ["t"])
     assert got.count() == 100 and got.dtypes == df.dtypes
+
+
+def test_cache_reads_only_what_changed(spark, tmp_path):
+    from test_entry import finished
+
+    folder = tmp_path / "c" / "metric_data"
+    folder.mkdir(parents=True)
+    store, paths = str(tmp_path / "cache"), str(folder / "*.csv")
+    head = "metric_name,timestamp,value,pod,interface,extra\n"
+
+    def write(name, rows, value):
+        (folder / name).write_text(head + "".join(f"m,{t},{value},p,i,x\n" for t in range(rows)))
+
+    def run(end=1000, names=("m",)):
+        group = f"cache-{len(list(tmp_path.glob('cache/manifest/*')))}-{end}"
+        bounds = spark.createDataFrame([("c", 0, end * 1000)], "case_id string, start_ms long, end_ms long")
+        spark.sparkContext.setJobGroup(group, group)
+        manifest = cache.refresh(spark, paths, bounds, store, list(names))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        csv = [a.inputRecords() for a in finished(spark, group) if a.inputRecords() >= 50]
+        sums = {r[0]: r[1] for r in cache.read_samples(spark, store).groupBy("metric_file").agg({"value": "sum"}).collect()}
+        return sum(csv), {r["path"].rsplit("/", 1)[-1]: r["run"] for r in manifest.collect()}, sums
+
+    with pytest.raises(FileNotFoundError):
+        cache.read_samples(spark, store)
+    write("a.csv", 100, 1)
+    write("b.csv", 60, 1)
+    read, runs, sums = run()
+    assert runs == {"a.csv": 1, "b.csv": 1} and sums == {"a.csv": 100.0, "b.csv": 60.0} and 160 <= read <= 162
+    assert run()[0] == 0
+    write("new.csv", 70, 2)
+    read, runs, sums = run()
+    assert runs == {"a.csv": 1, "b.csv": 1, "new.csv": 3} and sums["new.csv"] == 140.0 and 70 <= read <= 71
+    write("b.csv", 80, 3)
+    (folder / "a.csv").unlink()
+    read, runs, sums = run()
+    assert runs == {"b.csv": 4, "new.csv": 3} and sums == {"b.csv": 240.0, "new.csv": 140.0}
+    read, runs, sums = run(end=9)
+    assert runs == {"b.csv": 5, "new.csv": 5} and sums == {"b.csv": 30.0, "new.csv": 20.0}
+    assert cache.drop_old_versions(spark, store) == 4 and cache.drop_old_versions(spark, store) == 0
+    assert run(end=9)[2] == {"b.csv": 30.0, "new.csv": 20.0}
+    assert run(end=9, names=["other"])[2] == {}
+    for last in sorted(tmp_path.glob("cache/manifest/run=*"), key=lambda p: int(p.name[4:]))[-1:]:
+        (last / "_SUCCESS").unlink()  # a run that was cut off while writing its manifest
+    assert {r["metric_file"] for r in cache.read_samples(spark, store).collect()} == {"b.csv", "new.csv"}

@@ -22,12 +22,12 @@ def source_keys(df: DataFrame) -> list[str]:
 
 
 def filter_samples(
-    samples: DataFrame, bounds: DataFrame, names: list[str] | None = None
+    samples: DataFrame, bounds: DataFrame, names: list[str] | None = None, keep: list[str] | None = None
 ) -> DataFrame:
     """Samples of the named metrics between the case's first and last window start.
 
     Both ends are inclusive. The upper end is the start of the last window, so that samples
-    inside that window are left out.
+    inside that window are left out. ``keep`` are further columns to keep.
     """
     named = samples.where(F.col("metric_name").isin(names or K.POD_METRICS + K.HOST_METRICS))
     seconds = bounds.select(
@@ -36,7 +36,7 @@ def filter_samples(
         (F.col("end_ms") / F.lit(1000.0)).alias("_end"),
     )
     inside = F.col("timestamp").between(F.col("_start"), F.col("_end"))
-    kept = dict.fromkeys([*source_keys(samples), *SAMPLE_COLUMNS])
+    kept = dict.fromkeys([*source_keys(samples), *SAMPLE_COLUMNS, *(keep or [])])
     return named.select(*kept).join(seconds, "case_id").where(inside).drop("_start", "_end")
 
 

@@ -20,7 +20,7 @@ from windowguard.plans.service_queries import FILTERED
 from windowguard.plans.text_queries import TYPED, _range_results, _typed
 from windowguard.plans.wide_queries import WHOLE, wide_table
 from windowguard.session import shared_dir, stage
-from windowguard.sources import files, sinks
+from windowguard.sources import cache, files, sinks
 from windowguard.sources import tables as A
 
 
@@ -167,6 +167,9 @@ def request_files(spark, folder):
     )
 
 
+ORDERS_A_FILE = 4000
+
+
 @query(
     """SELECT l_returnflag AS run_end, l_linestatus AS test_name, count(*) * 2 AS n,
     CAST(sum(l_partkey + l_suppkey) AS BIGINT) AS total FROM lineitem WHERE NOT l_tax > 0.07e0 AND l_returnflag <> 'N' GROUP BY 1, 2"""
@@ -178,8 +181,8 @@ def range_result_files(spark, folder):
     for run in ("A", "N", "R"):
         for test in ("F", "O"):
             own = results.where((F.col("run_end") == run) & (F.col("test_name") == test))
-            # A file holds one array of results, here of the line items that share a hash.
-            bundled = own.groupBy(F.pmod(F.xxhash64("l_orderkey"), F.lit(16)).alias("part")).agg(
+            # A file holds one array of results, here of the line items of a range of orders.
+            bundled = own.groupBy(F.floor(F.col("l_orderkey") / ORDERS_A_FILE).alias("part")).agg(
                 F.to_json(F.collect_list(F.struct("metric", "values"))).alias("value")
             )
             place = f"{root}/{'old-' if run == 'N' else 'run-'}{run}/{test}/metrics"
@@ -261,6 +264,27 @@ def sample_cache(spark, folder):
     )
 
 
+@query(
+    f"""WITH {FILTERED} SELECT case_id, CASE WHEN pod IS NULL THEN 'host.csv' ELSE 'pods.csv' END AS metric_file, metric_name,
+      count(*) AS n, round(sum(value), 2) AS total, CASE WHEN pod IS NULL THEN 2 ELSE 1 END AS run
+    FROM kept_samples GROUP BY ALL"""
+)
+def sample_cache_refresh(spark, folder):
+    """A cache filled from one file a case, refreshed after a second came; ``run`` filtered the file."""
+    root = _folder(spark)
+    trace, client = red_tables(spark, folder, A.DAY_MS)
+    bounds = stage(red.case_bounds(red.endpoint_features(trace, client, A.ENDPOINTS)), "bounds")
+    samples = stage(A.metric_reports(spark, folder), "reports")
+    for name, chosen in (("pods.csv", "pod is not null"), ("host.csv", "pod is null")):
+        _write_cases(samples.where(chosen), root, f"metric_data/{name}")
+        manifest = cache.refresh(spark, f"{root}/*/metric_data/*.csv", bounds, f"{root}/cache")
+    runs = manifest.select("case_id", F.regexp_extract("path", "/metric_data/([^/]+)", 1).alias("metric_file"), "run").distinct()
+    counts = cache.read_samples(spark, f"{root}/cache").groupBy("case_id", "metric_file", "metric_name").agg(
+        F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")
+    )
+    return counts.join(runs, ["case_id", "metric_file"])
+
+
 @query(
     f"""WITH {Q.EV}, {Q.CLIENTS} SELECT 'latency_ms' AS feature, 'per_endpoint' AS scope, endpoint_key AS group_key,
       round(min(latency_ms), 6) AS lo, round(max(latency_ms), 6) AS hi FROM clients WHERE case_id LIKE 'Normal%' GROUP BY 3

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from windowguard import schemas
 from windowguard.functions import scalars as S
 from windowguard.session import stage
-from windowguard.sources import headers
+from windowguard.sources import headers, json_arrays
 
 LOG = logging.getLogger(__name__)
 
@@ -95,7 +95,9 @@ def metric_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.createDataFrame(found, "path string, columns array<string>, usable boolean")
 
 
-def read_metric_samples(spark: SparkSession, paths: str | list[str], labels: list[str] | None = None) -> DataFrame:
+def read_metric_samples(
+    spark: SparkSession, paths: str | list[str], labels: list[str] | None = None, source: str | None = None
+) -> DataFrame:
     """Long metric CSVs: labels as text, timestamp and value as numbers.
 
     Each file is read by the names in its own header, so files may differ in order and in their
@@ -104,7 +106,8 @@ def read_metric_samples(spark: SparkSession, paths: str | list[str], labels: lis
     not use are not parsed, and its conditions reach the scan. Files that cannot be used are skipped
     with a warning (``metric_headers`` lists them), so one bad file does not stop the others. Rows
     whose time is no number are left out. ``metric_file`` is the file a sample comes from. ``labels``
-    are the further columns to give, all of any header by default.
+    are the further columns to give, all of any header by default; ``source`` names a column for the
+    path of the file, if one is wanted.
     """
     known: dict[tuple[str, ...], list[str]] = {}
     found = _headers(spark, paths)
@@ -115,7 +118,7 @@ def read_metric_samples(spark: SparkSession, paths: str | list[str], labels: lis
     if skipped:
         LOG.warning("%d metric files have no usable header and are skipped", skipped)
     # The folder gives the case, whatever the file says.
-    own = {"case_id", "metric_file"}
+    own = {"case_id", "metric_file"} | ({source} if source else set())
     if labels is None:
         labels = sorted({n for columns in known for n in headers.distinct_names(list(columns))} - {*METRIC_COLUMNS, *own})
     names = [*METRIC_COLUMNS, *labels]
@@ -134,12 +137,13 @@ def read_metric_samples(spark: SparkSession, paths: str | list[str], labels: lis
             *[cell(n) for n in names],
             _before(path, "metric_data").alias("case_id"),
             F.regexp_extract(path, "/metric_data/([^/]+)", 1).alias("metric_file"),
+            *([path.alias(source)] if source else []),
         )
 
     if known:
         rows = reduce(DataFrame.unionAll, (scan(list(c), m) for c, m in known.items()))
     else:
-        kinds = ", ".join(f"`{n}` {'double' if n in NUMBERS else 'string'}" for n in [*names, *sorted(own)])
+        kinds = ", ".join(f"`{n}` {'double' if n in NUMBERS else 'string'}" for n in [*names, "case_id", "metric_file", *([source] if source else [])])
         rows = spark.createDataFrame([], kinds)
     return _nan_to_null(rows.where(F.col("timestamp").isNotNull()))
 
@@ -239,18 +243,20 @@ def read_requests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.schema(schemas.REQUEST).json(paths)
 
 
-def read_traces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Nested trace documents."""
-    return spark.read.schema(schemas.TRACE).json(paths, multiLine=True)
+def read_traces(spark: SparkSession, paths: str | list[str], split_bytes: int = json_arrays.SPLIT_BYTES) -> DataFrame:
+    """Nested trace documents; a large array of traces is read by many tasks."""
+    return json_arrays.read_json_arrays(spark, paths, schemas.TRACE, split_bytes).drop("path")
 
 
-def read_range_results(spark: SparkSession, paths: str | list[str], run_prefix: str = "") -> DataFrame:
+def read_range_results(
+    spark: SparkSession, paths: str | list[str], run_prefix: str = "", split_bytes: int = json_arrays.SPLIT_BYTES
+) -> DataFrame:
     """Metric range results with run and test folder; unreadable files give no usable row.
 
-    Only runs whose folder begins with ``run_prefix`` are taken.
+    Only runs whose folder begins with ``run_prefix`` are taken. A large array is read by many tasks.
     """
-    raw = spark.read.schema(schemas.RANGE_RESULT).json(paths, multiLine=True, mode="PERMISSIVE")
-    path = _path()
+    raw = json_arrays.read_json_arrays(spark, paths, schemas.RANGE_RESULT, split_bytes)
+    path = F.col("path")
     return raw.select(
         _part(path, 4).alias("run_end"), _part(path, 3).alias("test_name"),
         _part(path, 1).alias("file"), "metric", "values",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
@@ -25,36 +26,60 @@ def list_files(spark: SparkSession, paths: str | list[str]) -> list[str]:
     return sorted(set(spark.read.text(paths).inputFiles()))
 
 
-def first_lines(spark: SparkSession, paths: str | list[str]) -> dict[str, str]:
-    """First line with any text of every file, by decoded path; empty where there is none.
+def _opened(spark: SparkSession, paths: str | list[str], read: Callable) -> dict[str, str]:
+    """What ``read`` takes from the beginning of every file, by decoded path.
 
-    Each file is opened through its store and read up to FIRST_BYTES, several at a time, so the
-    cost is one short request a file, however large the files are. A line longer than that is cut.
-    Compressed files are recognised by their name, as the readers do.
+    Each file is opened through its store, several at a time, so the cost is one short request a
+    file, however large the files are. Compressed files are recognised by their name, as the readers do.
     """
     jvm = spark._jvm
     settings = spark._jsc.hadoopConfiguration()
     codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(settings)
 
-    def first(name: str) -> tuple[str, str]:
+    def look(name: str) -> tuple[str, str]:
         path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
         source = path.getFileSystem(settings).open(path)
         try:
             codec = codecs.getCodec(path)
-            lines = jvm.org.apache.hadoop.util.LineReader(codec.createInputStream(source) if codec else source)
-            text, left = jvm.org.apache.hadoop.io.Text(), FIRST_BYTES
-            while left > 0:
-                read = lines.readLine(text, left, left)
-                if read <= 0 or text.toString().strip():
-                    break
-                left -= read
-            return path.toString(), text.toString().strip("\r\n")
+            return path.toString(), read(codec.createInputStream(source) if codec else source)
         finally:
             source.close()
 
     names = list_files(spark, paths)
     with ThreadPoolExecutor(min(THREADS, max(1, len(names)))) as pool:
-        return dict(pool.map(first, names))
+        return dict(pool.map(look, names))
+
+
+def first_lines(spark: SparkSession, paths: str | list[str]) -> dict[str, str]:
+    """First line with any text of every file, by decoded path; empty where there is none.
+
+    It is looked for in the first FIRST_BYTES; a line longer than that is cut.
+    """
+    hadoop = spark._jvm.org.apache.hadoop
+
+    def read(source) -> str:
+        lines, text, left = hadoop.util.LineReader(source), hadoop.io.Text(), FIRST_BYTES
+        while left > 0:
+            got = lines.readLine(text, left, left)
+            if got <= 0 or text.toString().strip():
+                break
+            left -= got
+        return text.toString().strip("\r\n")
+
+    return _opened(spark, paths, read)
+
+
+def beginnings(spark: SparkSession, paths: str | list[str]) -> dict[str, str]:
+    """The text of the first FIRST_BYTES of every file, by decoded path."""
+    hadoop = spark._jvm.org.apache.hadoop
+    never = bytes([0, 1, 0, 1])
+
+    def read(source) -> str:
+        text = hadoop.io.Text()
+        hadoop.util.LineReader(source, never).readLine(text, FIRST_BYTES, FIRST_BYTES)
+        return text.toString()
+
+    return _opened(spark, paths, read)
 
 
 def fields(line: str) -> list[str]:
