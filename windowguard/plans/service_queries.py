@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from windowguard import constants as K
 from windowguard.functions import scalars as S
-from windowguard.operators import logs, metrics, red, series
+from windowguard.operators import intervals, logs, metrics, red, series
 from windowguard.plans import sql as Q
 from windowguard.plans.endpoint_queries import red_tables
 from windowguard.plans.registry import query, rounded
@@ -227,3 +227,51 @@ def template_clusters(spark, folder):
     templates = stage(logs.fit_templates(lines), "templates")
     matched = logs.match_templates(lines, templates).groupBy("template_id").agg(F.count("*").alias("n"))
     return templates.select("template", "template_id").join(matched, "template_id", "right")
+
+
+MINUTE = 60_000
+#: From every purchase of little value of a faulty case on, for minutes that grow with its key; many overlap.
+INJECTIONS = f"""injections AS (SELECT case_id, ts_ms AS start_ms, ts_ms + k * {20 * MINUTE} AS end_ms FROM ev
+  WHERE event_type = 'purchase' AND k % 9 = 0 AND case_id <> 'Normal')"""
+
+
+def _injections(spark, folder):
+    ev = A.events(spark, folder).where("event_type = 'purchase' and k % 9 = 0 and case_id <> 'Normal'")
+    return ev.select("case_id", F.col("ts_ms").alias("start_ms"), (F.col("ts_ms") + F.col("k") * 20 * MINUTE).alias("end_ms"))
+
+
+@query(
+    f"""WITH {Q.EV}, {INJECTIONS}, cells AS (SELECT DISTINCT case_id, endpoint_key, {Q.bucket("ts_ms", HOUR)} AS timestamp_window_ms FROM ev)
+    SELECT case_id, endpoint_key, timestamp_window_ms,
+      CASE WHEN NOT EXISTS (FROM injections i WHERE i.case_id = c.case_id) THEN 'normal'
+        WHEN EXISTS (FROM injections i WHERE i.case_id = c.case_id AND c.timestamp_window_ms BETWEEN start_ms AND end_ms) THEN 'inject'
+        WHEN timestamp_window_ms < (SELECT min(start_ms) FROM injections i WHERE i.case_id = c.case_id) THEN 'baseline'
+        ELSE 'recover' END AS phase FROM cells c"""
+)
+def interval_phases(spark, folder):
+    """Phases of all cells by many overlapping injections a case."""
+    cells = A.events(spark, folder).select("case_id", "endpoint_key", S.bucket(F.col("ts_ms"), HOUR).alias("timestamp_window_ms"))
+    return intervals.phases(cells.distinct(), _injections(spark, folder), HOUR)
+
+
+@query(
+    f"""WITH {Q.EV}, {INJECTIONS}, hits AS (SELECT e.case_id, e.event_id, count(*) AS n_intervals, max(end_ms - start_ms) AS longest_ms
+      FROM ev e JOIN injections i ON e.case_id = i.case_id AND e.ts_ms BETWEEN i.start_ms AND i.end_ms GROUP BY 1, 2)
+    SELECT * FROM hits"""
+)
+def interval_hits(spark, folder):
+    """How many injections cover each event, and how long the longest is."""
+    ev = A.events(spark, folder).select("case_id", "event_id", "ts_ms")
+    met = intervals.inside(ev, _injections(spark, folder), ["case_id"], "ts_ms", "start_ms", "end_ms", MINUTE)
+    longest = F.max(F.col("end_ms") - F.col("start_ms")).alias("longest_ms")
+    return met.groupBy("case_id", "event_id").agg(F.count("*").alias("n_intervals"), longest)
+
+
+@query(
+    f"""WITH {Q.EV}, {Q.REPORTS}, {INJECTIONS} SELECT case_id, metric_name, count(*) AS n, round(sum(value), 2) AS total FROM samples s
+    WHERE EXISTS (FROM injections i WHERE i.case_id = s.case_id AND s.ts BETWEEN start_ms / 1000 AND end_ms / 1000) GROUP BY 1, 2"""
+)
+def interval_samples(spark, folder):
+    """Metric samples within any injection of their case."""
+    kept = intervals.samples_inside(A.metric_reports(spark, folder), _injections(spark, folder), 60.0)
+    return kept.groupBy("case_id", "metric_name").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
