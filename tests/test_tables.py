@@ -308,3 +308,29 @@ def test_score_table_uses_normal_rows_only(spark):
     got = {r["sample_id"]: r for r in oneclass.score_table(df).collect()}
     assert got["a"]["score"] == 0 and got["b"]["score"] == pytest.approx(4.0)
     assert (got["a"]["y_true"], got["b"]["y_true"]) == (0, 1)
+
+
+def test_bucketed_tables_join_without_an_exchange(spark, tmp_path):
+    from test_entry import plan
+    from windowguard.sources import bucketed
+
+    left = spark.range(5000).select(F.concat(F.lit("s"), "id").alias("sample_id"), F.col("id").alias("a"))
+    right = spark.range(0, 5000, 2).select(F.concat(F.lit("s"), "id").alias("sample_id"), (F.col("id") * 2).alias("b"))
+    paths = [str(tmp_path / n) for n in ("l's", "r")]
+    both = [bucketed.write_bucketed(df, p, "sample_id", 8) for df, p in zip((left, right), paths, strict=True)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = both[0].join(both[1], "sample_id")
+        assert "Exchange" not in plan(joined) and "SortMergeJoin" in plan(joined)
+        assert joined.count() == 2500 and joined.where("b <> 2 * a").count() == 0
+        counted = both[0].groupBy("sample_id").count()
+        assert "Exchange" not in plan(counted)
+        for df, path in zip((left, right), paths, strict=True):
+            spark.sql(f"DROP TABLE {bucketed._name(path, 'sample_id', 8)}")
+        again = [bucketed.read_bucketed(spark, p, df.schema, "sample_id", 8) for df, p in zip((left, right), paths, strict=True)]
+        joined = again[0].join(again[1], "sample_id")
+        assert "Exchange" not in plan(joined) and joined.count() == 2500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    replaced = bucketed.write_bucketed(right, paths[1], "sample_id", 8)
+    assert replaced.count() == 2500

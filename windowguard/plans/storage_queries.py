@@ -20,7 +20,7 @@ from windowguard.plans.service_queries import FILTERED
 from windowguard.plans.text_queries import TYPED, _range_results, _typed
 from windowguard.plans.wide_queries import WHOLE, wide_table
 from windowguard.session import shared_dir, stage
-from windowguard.sources import cache, files, sinks
+from windowguard.sources import bucketed, cache, files, sinks
 from windowguard.sources import tables as A
 
 
@@ -229,6 +229,32 @@ def contract_files(spark, folder):
     return rounded(sinks.read_contract(spark, path)).select(*K.ID_COLUMNS, *K.LABEL_COLUMNS, *Q.FEATURES)
 
 
+@query(
+    f"""WITH {Q.WIDE} SELECT case_id, endpoint_key, timestamp_window_ms,
+    row_number() OVER (PARTITION BY case_id ORDER BY endpoint_key, timestamp_window_ms) - 1 AS position FROM wide"""
+)
+def contract_order(spark, folder):
+    """Where each row of the written wide table stands in the files of its case."""
+    path = f"{_folder(spark)}/contract"
+    sinks.write_contract(wide_table(spark, folder), path)
+    return sinks.stored_order(spark, path).select("case_id", "endpoint_key", "timestamp_window_ms", "position")
+
+
+@query(
+    f"""WITH {Q.WIDE} SELECT sample_id, phase, is_anomaly,
+    round(coalesce(endpoint_red__trace_latency_p95, 0) + coalesce(endpoint_red__client_latency_p95, 0), 6) AS score FROM wide"""
+)
+def colocated_scores(spark, folder):
+    """Scores joined to the wide table by sample_id, both stored in the same buckets."""
+    root = _folder(spark)
+    wide = stage(wide_table(spark, folder), "wide")
+    sides = [F.coalesce(f"endpoint_red__{side}_latency_p95", F.lit(0.0)) for side in ("trace", "client")]
+    contract = bucketed.write_bucketed(wide, f"{root}/contract", "sample_id", 16)
+    scores = wide.select("sample_id", (sides[0] + sides[1]).alias("score"))
+    scores = bucketed.write_bucketed(scores, f"{root}/scores", "sample_id", 16)
+    return rounded(contract.join(scores, "sample_id").select("sample_id", "phase", "is_anomaly", "score"))
+
+
 @query(
     f"""WITH {Q.WIDE} SELECT {", ".join(K.ID_COLUMNS)}, anomaly_type, phase, {Q.rounds(Q.FEATURES)}
     FROM wide WHERE anomaly_type LIKE 'Normal%'"""

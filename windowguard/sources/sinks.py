@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from windowguard.functions import scalars as S
@@ -27,6 +27,20 @@ def read_contract(spark: SparkSession, path: str, train_only: bool = False) -> D
     return df.where(S.is_normal(F.col("anomaly_type"))) if train_only else df
 
 
+def stored_order(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table with ``position``, their place from 0 in its files, by case.
+
+    Files follow each other by name, rows by their place in the file. Rows are counted per file, and
+    only the counts are added up, so a large case stays spread over its files.
+    """
+    rows = read_contract(spark, path).withColumns({"_file": F.col("_metadata.file_name"), "_row": F.col("_metadata.row_index")})
+    sizes = rows.groupBy("case_id", "_file").agg(F.count("*").alias("_rows"))
+    earlier = Window.partitionBy("case_id").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("case_id", "_file", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    placed = rows.join(before, ["case_id", "_file"])
+    return placed.withColumn("position", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
+
+
 def write_scores(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
