@@ -334,3 +334,36 @@ def test_bucketed_tables_join_without_an_exchange(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     replaced = bucketed.write_bucketed(right, paths[1], "sample_id", 8)
     assert replaced.count() == 2500
+
+
+def test_checks_count_while_the_table_is_written(spark, tmp_path):
+    from test_entry import finished, plan
+
+    rows = [("a", 0.5, 1.0)] * 3 + [(None, 1.0, 0.0)] * 2 + [("b", None, 2.0), ("c", float("inf"), 0.5), ("d", 1.0, None)]
+    rows += [(f"s{i}", float(i), float(i % 2)) for i in range(500)]
+    scores = spark.createDataFrame(rows, "sample_id string, score double, y_true double")
+    source = str(tmp_path / "source")
+    scores.repartition(3).write.parquet(source)
+    stored = spark.read.parquet(source)
+    watched = quality.watched_scores(stored)
+    spark.sparkContext.setJobGroup("watched", "watched")
+    watched.df.write.parquet(str(tmp_path / "out"))
+    found = watched.violations
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(found) == sorted(map(tuple, quality.scores_violations(stored).collect()))
+    assert ("duplicate", "sample_id", 3) in found
+    assert sum(a.inputRecords() for a in finished(spark, "watched")) == len(rows)
+    assert spark.read.parquet(str(tmp_path / "out")).columns == scores.columns
+    with pytest.raises(quality.ContractError, match="duplicate sample_id"):
+        sinks.write_scores_checked(stored, str(tmp_path / "checked"))
+    assert not (tmp_path / "checked").exists() and not list(tmp_path.glob("checked-*"))
+    good = stored.where("sample_id like 's%' and score is not null")
+    for _ in range(2):
+        sinks.write_scores_checked(good, str(tmp_path / "checked"))
+    assert spark.read.parquet(str(tmp_path / "checked")).count() == 500
+    keys = spark.createDataFrame([("c", "e", 1, 1)], "case_id string, endpoint_key string, timestamp_window_ms long, x int")
+    dealt = quality.Watched(sinks.ordered_contract(keys), sinks.CONTRACT_ORDER, lambda d, n: [quality._rule("duplicate", "key", n)])
+    assert plan(dealt.df).count("Exchange") == 1
+    no_key = quality.watched_scores(stored.drop("sample_id"))
+    no_key.df.write.format("noop").mode("overwrite").save()
+    assert no_key.violations == [("missing_column", "sample_id", 1)]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,19 +44,13 @@ def duplicate_rows(df: DataFrame, key: str) -> DataFrame:
     return df.agg(_repeats(key).alias("n_duplicates"))
 
 
-def contract_violations(df: DataFrame, config: ContractConfig | None = None) -> DataFrame:
-    """Rows (rule, column, n_rows) for every broken rule of the wide table.
-
-    Missing columns count once per column; if an id or label column is missing only that is
-    reported.
-    """
-    config = config or ContractConfig()
+def _contract_rules(df: DataFrame, config: ContractConfig, repeats: Column) -> list[Column]:
     must = K.ID_COLUMNS + K.LABEL_COLUMNS
     missing = [c for c in [*must, *config.feature_columns] if c not in df.columns]
     rules = [_rule("missing_column", c, F.lit(1)) for c in missing]
     if set(missing) & set(must):
-        return _report(df, rules)
-    rules.append(_rule("duplicate", "sample_id", _repeats("sample_id")))
+        return rules
+    rules.append(_rule("duplicate", "sample_id", repeats))
     for column in [c for c in K.RATE_COLUMNS if c in df.columns]:
         value = F.col(column)
         outside = ~F.isnan(value) & ((value < 0) | (value > 1))
@@ -63,21 +59,29 @@ def contract_violations(df: DataFrame, config: ContractConfig | None = None) ->
     rules.append(
         _rule("phase_mismatch", "is_anomaly", _hits(~injected.eqNullSafe(F.col("is_anomaly"))))
     )
-    return _report(df, rules)
+    return rules
 
 
-def scores_violations(df: DataFrame) -> DataFrame:
-    """Rows (rule, column, n_rows) for every broken rule of the scores table."""
+def contract_violations(df: DataFrame, config: ContractConfig | None = None) -> DataFrame:
+    """Rows (rule, column, n_rows) for every broken rule of the wide table.
+
+    Missing columns count once per column; if an id or label column is missing only that is
+    reported.
+    """
+    return _report(df, _contract_rules(df, config or ContractConfig(), _repeats("sample_id")))
+
+
+def _score_rules(df: DataFrame, repeats: Column) -> list[Column]:
     types = {f.name: f.dataType for f in df.schema.fields}
     empty = _rule("empty", "", F.when(F.count("*") == 0, 1).otherwise(0))
     missing = [c for c in ("sample_id", "score", "y_true") if c not in types]
     if missing:
-        return _report(df, [empty, *[_rule("missing_column", c, F.lit(1)) for c in missing]])
+        return [empty, *[_rule("missing_column", c, F.lit(1)) for c in missing]]
     rules = [empty]
     if not isinstance(types["sample_id"], T.StringType):
         rules.append(_rule("not_a_string", "sample_id", F.lit(1)))
     rules.append(_rule("null", "sample_id", _hits(F.col("sample_id").isNull())))
-    rules.append(_rule("duplicate", "sample_id", _repeats("sample_id")))
+    rules.append(_rule("duplicate", "sample_id", repeats))
 
     raw = F.col("score")
     score = raw.try_cast("double")
@@ -94,7 +98,50 @@ def scores_violations(df: DataFrame) -> DataFrame:
         rules.append(_rule("null", "y_true", _hits(absent)))
         rules.append(_rule("not_integral", "y_true", _hits(~absent & (y != F.floor(y)))))
         rules.append(_rule("outside_0_1", "y_true", _hits(~absent & ~y.isin(0.0, 1.0))))
-    return _report(df, rules)
+    return rules
+
+
+def scores_violations(df: DataFrame) -> DataFrame:
+    """Rows (rule, column, n_rows) for every broken rule of the scores table."""
+    return _report(df, _score_rules(df, _repeats("sample_id")))
+
+
+NTH = "_nth_of_key"
+
+
+class Watched:
+    """A table to be written, whose broken rules are counted by the write itself.
+
+    ``df`` is what to write; ``violations`` has the counts once it has been written. Repeats are told by
+    numbering the rows of a key, for which the rows of a key have to meet: a table that is already dealt
+    out and sorted by the key needs no exchange for that.
+    """
+
+    def __init__(self, df: DataFrame, key: list[str], rules_of: Callable[[DataFrame, Column], list[Column]]):
+        nth = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
+        numbered = df.withColumn(NTH, nth) if set(key) <= set(df.columns) else df.withColumn(NTH, F.lit(1))
+        self._seen = Observation()
+        rules = rules_of(df, _hits(F.col(NTH) > 1))
+        self.df = numbered.observe(self._seen, F.array(*rules).alias("rules")).drop(NTH)
+
+    @property
+    def violations(self) -> list[tuple[str, str, int]]:
+        """(rule, column, n_rows) of every broken rule; waits for the write."""
+        return [(r["rule"], r["column"], r["n_rows"]) for r in self._seen.get["rules"] if r["n_rows"] > 0]
+
+    def require_valid(self, table: str) -> None:
+        found = [f"{rule} {column} ({n})" for rule, column, n in self.violations]
+        if found:
+            raise ContractError(f"{table} violations: " + "; ".join(found))
+
+
+def watched_contract(df: DataFrame, key: list[str], config: ContractConfig | None = None) -> Watched:
+    """The wide table; ``key`` are the columns that a sample_id is made of."""
+    return Watched(df, key, lambda d, repeats: _contract_rules(d, config or ContractConfig(), repeats))
+
+
+def watched_scores(df: DataFrame) -> Watched:
+    return Watched(df, ["sample_id"], _score_rules)
 
 
 def metrics_violations(df: DataFrame) -> DataFrame:

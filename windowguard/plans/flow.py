@@ -140,8 +140,7 @@ def write_contract_from_folder(
         missed = rates.where(F.col("hit_rate") < LOW_LOG_HIT_RATE).count()
         if missed:
             LOG.warning("%d cases have log features in less than half of their rows", missed)
-    quality.require_valid(quality.contract_violations(contract, config), "contract")
-    sinks.write_contract(contract, f"{out}/contract")
+    sinks.write_contract_checked(contract, f"{out}/contract", config)
     sinks.write_stats(stats, f"{out}/normalization_stats")
 
 
@@ -149,9 +148,7 @@ def write_scores_from_contract(
     spark: SparkSession, contract_path: str, out: str, config: ContractConfig | None = None
 ) -> None:
     """Wide table to validated one-class scores."""
-    scores = stage(oneclass.score_table(sinks.read_contract(spark, contract_path), config), "scores")
-    quality.require_valid(quality.scores_violations(scores), "scores")
-    sinks.write_scores(scores, out)
+    sinks.write_scores_checked(oneclass.score_table(sinks.read_contract(spark, contract_path), config), out)
 
 
 def write_metrics_from_scores(

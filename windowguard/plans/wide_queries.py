@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from windowguard.plans.endpoint_queries import red_tables
 from windowguard.plans.registry import query, rounded
 from windowguard.plans.service_queries import log_table
 from windowguard.schemas import ContractConfig
-from windowguard.session import stage
+from windowguard.session import shared_dir, stage
+from windowguard.sources import sinks
 from windowguard.sources import tables as A
 
 CONFIG = ContractConfig()
@@ -76,21 +79,33 @@ def join_hit_rate(spark, folder):
     return rounded(quality.hit_rate(wide_table(spark, folder), "service_log__event_rate"))
 
 
-@query(
-    f"""WITH {Q.WIDE}, twice AS (SELECT * FROM wide UNION ALL SELECT * FROM wide WHERE phase = 'recover'),
+BROKEN = f"""WITH {Q.WIDE}, twice AS (SELECT * FROM wide UNION ALL SELECT * FROM wide WHERE phase = 'recover'),
     found AS (
       SELECT 'duplicate' AS rule, 'sample_id' AS "column", count(*) - count(DISTINCT sample_id) AS n_rows FROM twice
       {" ".join(f"UNION ALL SELECT 'outside_0_1', '{r}', count(*) FILTER ({r} < 0 OR {r} > 1) FROM twice" for r in K.RATE_COLUMNS)}
       UNION ALL SELECT 'phase_mismatch', 'is_anomaly', count(*) FILTER (phase = 'recover') FROM twice)
     SELECT rule, "column", CAST(n_rows AS BIGINT) AS n_rows FROM found WHERE n_rows > 0"""
-)
-def contract_violations(spark, folder):
-    """Broken rules of a wide table with repeated rows, raw rates and wrong flags."""
+
+
+def _broken(spark, folder) -> DataFrame:
+    """A wide table with repeated rows, raw rates and wrong flags."""
     wide = stage(wide_table(spark, folder), "wide")
     recover = F.col("phase") == "recover"
-    twice = wide.unionByName(wide.where(recover))
-    broken = twice.withColumn("is_anomaly", F.col("is_anomaly") | recover)
-    return quality.contract_violations(broken, CONFIG)
+    return wide.unionByName(wide.where(recover)).withColumn("is_anomaly", F.col("is_anomaly") | recover)
+
+
+@query(BROKEN)
+def contract_violations(spark, folder):
+    """Broken rules of a wide table with repeated rows, raw rates and wrong flags."""
+    return quality.contract_violations(_broken(spark, folder), CONFIG)
+
+
+@query(BROKEN)
+def contract_violations_written(spark, folder):
+    """The same rules, counted while the table is written in its order."""
+    watched = quality.watched_contract(sinks.ordered_contract(_broken(spark, folder)), sinks.CONTRACT_ORDER, CONFIG)
+    watched.df.write.parquet(f"{shared_dir(spark)}/watched-{uuid.uuid4().hex}")
+    return spark.createDataFrame(watched.violations, "rule string, column string, n_rows long")
 
 
 @query("SELECT count(*) - count(DISTINCT l_orderkey) AS n_duplicates FROM lineitem")

@@ -8,17 +8,67 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from windowguard.functions import scalars as S
+from windowguard.operators import quality
+from windowguard.schemas import ContractConfig
 
 CONTRACT_ORDER = ["case_id", "endpoint_key", "timestamp_window_ms"]
 
 
-def write_contract(df: DataFrame, path: str) -> None:
-    """The wide table in total order, one folder per case.
+def ordered_contract(df: DataFrame) -> DataFrame:
+    """The wide table in total order over its partitions.
 
     Range partitioning by the full order splits a large case over many tasks.
     """
-    ordered = df.repartitionByRange(*CONTRACT_ORDER).sortWithinPartitions(*CONTRACT_ORDER)
-    ordered.write.mode("overwrite").partitionBy("case_id").parquet(path)
+    return df.repartitionByRange(*CONTRACT_ORDER).sortWithinPartitions(*CONTRACT_ORDER)
+
+
+def write_contract(df: DataFrame, path: str) -> None:
+    """The wide table in total order, one folder per case."""
+    ordered_contract(df).write.mode("overwrite").partitionBy("case_id").parquet(path)
+
+
+def replace_folder(spark: SparkSession, made: str, path: str) -> None:
+    """Put the folder ``made`` in the place of ``path``, in the same store."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    source, target = hadoop.Path(made), hadoop.Path(path)
+    store = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.delete(target, True)
+    store.mkdirs(target.getParent())
+    if not store.rename(source, target):
+        raise OSError(f"{made} cannot be renamed to {path}")
+
+
+def write_contract_checked(df: DataFrame, path: str, config: ContractConfig | None = None) -> None:
+    """``write_contract`` with the rules of the table counted by the write itself.
+
+    The rows of one sample_id are neighbours in the order written, so repeats cost no exchange. The
+    table is written aside and takes its place only if no rule is broken; otherwise it is removed and
+    the error names the rules.
+    """
+    spark = df.sparkSession
+    watched = quality.watched_contract(ordered_contract(df), CONTRACT_ORDER, config)
+    aside = f"{path}-{uuid.uuid4().hex}"
+    watched.df.write.partitionBy("case_id").parquet(aside)
+    _settle(spark, watched, aside, path, "contract")
+
+
+def write_scores_checked(df: DataFrame, path: str) -> None:
+    """``write_scores`` with the rules of the table counted by the write itself, likewise."""
+    watched = quality.watched_scores(df)
+    aside = f"{path}-{uuid.uuid4().hex}"
+    watched.df.write.parquet(aside)
+    _settle(df.sparkSession, watched, aside, path, "scores")
+
+
+def _settle(spark: SparkSession, watched: quality.Watched, aside: str, path: str, table: str) -> None:
+    try:
+        watched.require_valid(table)
+    except quality.ContractError:
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        target = hadoop.Path(aside)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        raise
+    replace_folder(spark, aside, path)
 
 
 def read_contract(spark: SparkSession, path: str, train_only: bool = False) -> DataFrame:
