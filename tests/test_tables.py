@@ -367,3 +367,31 @@ def test_checks_count_while_the_table_is_written(spark, tmp_path):
     no_key = quality.watched_scores(stored.drop("sample_id"))
     no_key.df.write.format("noop").mode("overwrite").save()
     assert no_key.violations == [("missing_column", "sample_id", 1)]
+
+
+def test_stages_are_saved_and_loaded(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from windowguard.operators import stages
+
+    rows = [("Normal", "e", float(i), 0.5) for i in range(11)] + [("Lv_P_x", "e", 20.0, 0.9), ("Lv_P_x", "f", 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "anomaly_type string, endpoint_key string, x double, rate double")
+    scaler = stages.NormalScaler(rules=["x:per_endpoint"], rates=["rate"])
+    scaler.save(str(tmp_path / "scaler"))
+    again = stages.NormalScaler.load(str(tmp_path / "scaler"))
+    assert again.by_feature() == {"x": "per_endpoint"} and again.uid == scaler.uid
+    model = Pipeline(stages=[again]).fit(df)
+    model.save(str(tmp_path / "model"))
+    model.write().overwrite().save(str(tmp_path / "model"))
+    loaded = PipelineModel.load(str(tmp_path / "model"))
+    want = normalize.clip_rates(normalize.apply_minmax(df, normalize.fit_minmax(df.where("anomaly_type = 'Normal'"), {"x": "per_endpoint"}), {"x": "per_endpoint"}), ["rate"])
+    assert sorted(map(str, loaded.transform(df).collect())) == sorted(map(str, want.collect()))
+    assert loaded.stages[0].getOrDefault("rates") == ["rate"]
+    parsed = spark.createDataFrame(
+        [("Normal", "s", 1000 * i, "INFO", f"job {i} done") for i in range(5)] + [("Lv_P_x", "s", 0, "ERROR", "job 9 done"), ("Lv_P_x", "s", 1, "INFO", "odd")],
+        "case_id string, service_name string, ts_ms long, level string, content string",
+    )
+    fitted = stages.LogTemplates(windowMs=60_000).fit(parsed)
+    fitted.save(str(tmp_path / "logs"))
+    got = stages.LogTemplatesModel.load(str(tmp_path / "logs")).transform(parsed)
+    assert {tuple(r) for r in got.collect()} == {("Normal", "s", 0, 5.0, 0.0, 0.2), ("Lv_P_x", "s", 0, 2.0, 0.5, 1.0)}

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windowguard import constants as K
 from windowguard.functions import scalars as S
-from windowguard.operators import logs, normalize, oneclass, quality, series
+from windowguard.operators import logs, normalize, oneclass, quality, series, stages
 from windowguard.plans import flow
 from windowguard.plans import sql as Q
 from windowguard.plans.endpoint_queries import red_tables
@@ -70,6 +71,28 @@ def rate_clip(spark, folder):
     return rounded(contract_table(spark, folder))
 
 
+@query(f"WITH {Q.NORMALIZED} SELECT {WHOLE} FROM contract")
+def scaler_stage(spark, folder):
+    """The wide table scaled by a pipeline that was fitted, saved and loaded."""
+    wide = stage(wide_table(spark, folder), "wide")
+    scaler = stages.NormalScaler(rules=[f"{f}:{scope}" for f, scope in CONFIG.rules.items()])
+    path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    Pipeline(stages=[scaler]).fit(wide).save(path)
+    return rounded(PipelineModel.load(path).transform(wide))
+
+
+@query(
+    f"""WITH {Q.EV}, {Q.LOG_CHAIN}, {Q.log_tables(A.DAY_MS)} SELECT case_id, service_name, timestamp_window_ms,
+    {Q.rounds(["service_log__" + f for f in K.LOG_FEATURES])} FROM log_windows"""
+)
+def log_stage(spark, folder):
+    """Log features of a model that was fitted, saved and loaded."""
+    parsed = logs.parse_logs(log_table(spark, folder).drop("event_id"), "UTC")
+    path = f"{shared_dir(spark)}/templates-{uuid.uuid4().hex}"
+    stages.LogTemplates(windowMs=A.DAY_MS).fit(parsed).save(path)
+    return rounded(stages.LogTemplatesModel.load(path).transform(parsed))
+
+
 @query(
     f"""WITH {Q.WIDE} SELECT case_id, round(avg(CASE WHEN service_log__event_rate IS NOT NULL
     THEN 1 ELSE 0 END), 6) AS hit_rate FROM wide GROUP BY 1"""
