@@ -248,3 +248,24 @@ def test_vectors_are_stored_and_sparse(spark):
     vectors = {r["s"]: r["features"] for r in other.collect()}
     assert vectors[3].size == 2 and list(vectors[3].values) == [1.0] and len(vectors[4].values) == 0
     assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_wide_lines_of_very_many_series(spark):
+    import csv
+
+    rows = [("r", f"m{i:05d}", t, f"{i}.{t}", 0) for t in range(3) for i in range(t, 20_000, t * 7_000 + 1)]
+    rows += [("r", "m00000", 0, "later", 1), ("s", 'odd,"name"', 5, 'a"b', 0), ("s", "m00007", 6, None, 0)]
+    schema = "run string, metric_name string, timestamp string, value string, position int"
+    long = spark.createDataFrame([(r, n, str(t), v, p) for r, n, t, v, p in rows], schema)
+    names = profile.prom_dictionary(long)
+    lines = profile.prom_wide_lines(long, ["run"], ["position"], names)
+    assert len(lines._jdf.queryExecution().executedPlan().toString()) < 100_000
+    header = next(csv.reader([profile.prom_header(names).first()["line"]]))
+    assert header == ["timestamp", *sorted({r[1] for r in rows})] and len(header) == 20_002
+    got = {(r["run"], r["timestamp"]): next(csv.reader([r["line"]])) for r in lines.collect()}
+    want = {}
+    for run, name, time, value, _ in rows:
+        want.setdefault((run, str(time)), {})[name] = value
+    assert set(got) == set(want)
+    for key, cells in got.items():
+        assert cells[0] == key[1] and cells[1:] == [want[key].get(n) or "" for n in header[1:]]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from windowguard import constants as K
 from windowguard.functions import scalars as S
-from windowguard.operators.series import quantiles
+from windowguard.operators.series import numbered, quantiles
 from windowguard.session import stage
 
 
@@ -237,6 +237,49 @@ def prom_wide(
     return long.groupBy(*keys, "timestamp").pivot("metric_name", names).agg(last)
 
 
+def _csv_cell(value: Column) -> Column:
+    quoted = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(value.rlike('[",\r\n]'), quoted).otherwise(value)
+
+
+def prom_dictionary(long: DataFrame) -> DataFrame:
+    """(metric_name, index): every name of the table with its place from 0 in name order."""
+    return stage(numbered(long.select("metric_name").distinct(), ["metric_name"], "index"), "metric-names")
+
+
+def prom_wide_lines(long: DataFrame, keys: list[str], order: list[str], dictionary: DataFrame | None = None) -> DataFrame:
+    """The rows of ``prom_wide`` as CSV text: (keys, timestamp, line), for any number of series.
+
+    A line holds the time and then one cell per name of the dictionary, empty where the time has no
+    value. Rows are kept as sorted lists of the values that are there, and the commas of the missing ones
+    are put between them when the text is made, so neither the plan nor a row's data grows with the names
+    that a time lacks. ``prom_header`` is the line above them.
+    """
+    names = prom_dictionary(long) if dictionary is None else dictionary
+    size = names.agg(F.count("*")).scalar()
+    last = long.groupBy(*keys, "timestamp", "metric_name").agg(F.max_by("value", F.struct(*order)).alias("value"))
+    cells = last.where(F.col("value").isNotNull()).join(names, "metric_name")
+    listed = F.array_sort(F.collect_list(F.struct("index", _csv_cell(F.col("value")).alias("value"))))
+    # A time whose values are all null is a row as well.
+    times = last.groupBy(*keys, "timestamp").agg(F.lit(True).alias("_there"))
+    rows = cells.groupBy(*keys, "timestamp").agg(listed.alias("_cells"))
+    cell = F.col("_cells")
+    before = F.concat(F.array(F.lit(-1).cast("long")), F.transform(cell, lambda c: c["index"].cast("long")))
+    told = F.zip_with(cell, F.slice(before, 1, F.size(cell)), lambda c, b: F.concat(F.repeat(F.lit(","), (c["index"] - b).cast("int")), c["value"]))
+    rest = size - 1 - F.element_at(before, -1)
+    text = F.concat(_csv_cell(F.col("timestamp")), F.array_join(told, ""), F.repeat(F.lit(","), rest.cast("int")))
+    nothing = F.concat(_csv_cell(F.col("timestamp")), F.repeat(F.lit(","), size.cast("int")))
+    whole = times.join(rows, [*keys, "timestamp"], "left")
+    return whole.select(*keys, "timestamp", F.when(cell.isNull(), nothing).otherwise(text).alias("line"))
+
+
+def prom_header(dictionary: DataFrame) -> DataFrame:
+    """The header ``line`` of the text rows, one row as long as the names are."""
+    names = F.array_sort(F.collect_list(F.struct("index", _csv_cell(F.col("metric_name")).alias("name"))))
+    joined = F.array_join(F.transform(names, lambda n: n["name"]), ",")
+    return dictionary.agg(F.concat(F.lit("timestamp,"), joined).alias("line"))
+
+
 def fit_pca(df: DataFrame, vector: str, names: list[str], k: int | None = None):
     """Loadings (component, feature, loading) and variance (component, ratio, cumulative).
 

@@ -399,6 +399,31 @@ def metric_wide_pivot(spark, folder):
     return profile.prom_wide(long, ["run_end", "test_name"], order)
 
 
+LAST_VALUES = """WITH long AS (
+      SELECT l_returnflag AS run_end, l_linestatus AS test_name, 'node_m' || l_linenumber ||
+          CASE WHEN l_linenumber <= 4 THEN '&mode=' || l_linestatus || '&cpu=' || l_returnflag ELSE '' END AS metric_name,
+        CAST(epoch_ms(l_shipdate) // 1000 + p * 86400 AS VARCHAR) AS "timestamp",
+        CAST(CASE p WHEN 0 THEN l_partkey ELSE l_suppkey END AS VARCHAR) AS value,
+        l_orderkey, l_partkey, l_suppkey, p
+      FROM lineitem, (VALUES (0), (1)) AS t(p) WHERE NOT l_tax > 0.07e0),
+    last AS (SELECT *, row_number() OVER (PARTITION BY run_end, test_name, "timestamp", metric_name
+      ORDER BY l_orderkey DESC, l_partkey DESC, l_suppkey DESC, p DESC) AS r FROM long)"""
+
+
+@query(
+    f"""{LAST_VALUES}, names AS (SELECT DISTINCT metric_name FROM long), times AS (SELECT DISTINCT run_end, test_name, "timestamp" FROM long)
+    SELECT run_end, test_name, "timestamp", "timestamp" || ',' || string_agg(coalesce(value, ''), ',' ORDER BY n.metric_name) AS line
+    FROM times t CROSS JOIN names n LEFT JOIN (FROM last WHERE r = 1) USING (run_end, test_name, "timestamp", metric_name) GROUP BY 1, 2, 3
+    UNION ALL SELECT NULL, NULL, NULL, 'timestamp,' || string_agg(metric_name, ',' ORDER BY metric_name) FROM names"""
+)
+def metric_wide_lines(spark, folder):
+    """The same table as lines of text with their header, without a column per series."""
+    long = stage(profile.prom_long(_range_results(spark, folder)), "series")
+    names = profile.prom_dictionary(long)
+    lines = profile.prom_wide_lines(long, ["run_end", "test_name"], ["l_orderkey", "l_partkey", "l_suppkey", "position"], names)
+    return lines.unionByName(profile.prom_header(names), allowMissingColumns=True)
+
+
 PAGE_FILES = """inv AS (SELECT 'root/run-1/' || CASE WHEN contains(url, '/en/') THEN 'correct' ELSE 'error' END AS folder,
   regexp_extract(url, '^[a-z]+://([^/]+)/', 1) || CASE WHEN contains(url, '?') THEN '.csv' ELSE '.log' END AS name,
   length(html) AS size FROM pages)"""
