@@ -51,15 +51,26 @@ def service_of_pod(pod: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(pod, K.POD_SUFFIX, ""), F.lit("")), pod)
 
 
+#: Put between the parts of a matched log line; no text has it.
+CUT = "\x00\x01\x00"
+
+
 def log_parts(line: Column, timezone: str) -> Column:
-    """Struct (ts_ms, level, content) of a log line; ``ts_ms`` is NULL where the line does not parse."""
-    stamp = F.nullif(F.regexp_extract(line, K.LOG_LINE, 1), F.lit(""))
-    content = F.btrim(F.regexp_replace(line, K.LOG_LINE, ""), F.lit(WHITESPACE))
-    return F.struct(
-        local_to_ms(stamp, timezone).alias("ts_ms"),
-        F.regexp_extract(line, K.LOG_LINE, 2).alias("level"),
-        content.alias("content"),
-    )
+    """Struct (ts_ms, level, content) of a log line; ``ts_ms`` is NULL where the line does not parse.
+
+    One match gives all three parts, and the lambda evaluates it once.
+    """
+    marked = F.split(F.regexp_replace(line, K.LOG_LINE, f"$1{CUT}$2{CUT}"), CUT, 3)
+
+    def named(parts: Column) -> Column:
+        stamp = F.when(F.size(parts) == 3, F.get(parts, F.lit(0)))
+        return F.struct(
+            local_to_ms(stamp, timezone).alias("ts_ms"),
+            F.get(parts, F.lit(1)).alias("level"),
+            F.btrim(F.get(parts, F.lit(2)), F.lit(WHITESPACE)).alias("content"),
+        )
+
+    return F.get(F.transform(F.array(marked), named), F.lit(0))
 
 
 def normalize_path(url: Column, known: Iterable[str] = ()) -> Column:

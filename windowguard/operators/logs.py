@@ -16,10 +16,14 @@ UNMATCHED = "-1"
 
 
 def parse_logs(lines: DataFrame, timezone: str = K.LOG_TIMEZONE) -> DataFrame:
-    """Add ts_ms, level and content to rows with a ``line``; lines that do not parse are dropped."""
-    parsed = lines.withColumn("_parts", S.log_parts(F.col("line"), timezone))
+    """Add ts_ms, level and content to rows with a ``line``; lines that do not parse are dropped.
+
+    Dropping them is part of the generator, since a filter would be pushed below the parsing and
+    repeat it.
+    """
+    parts = F.array(S.log_parts(F.col("line"), timezone))
     kept = [c for c in lines.columns if c != "line"]
-    return parsed.where(F.col("_parts.ts_ms").isNotNull()).select(*kept, "_parts.*")
+    return lines.select(*kept, F.inline(F.filter(parts, lambda p: p["ts_ms"].isNotNull())))
 
 
 def _masked() -> Column:
