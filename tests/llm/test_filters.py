@@ -68,6 +68,16 @@ def test_passages(spark, documents, texts, items, limit):
     assert got == want
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 60])
+def test_one_item_with_several_texts_counts_once(spark, limit):
+    words = [f"w{i}" for i in range(30)]
+    items = [("x", " ".join(words[:10])), ("x", " ".join(words[4:14])), ("y", " ".join(words[4:14])), (None, " ".join(words[9:19])), (None, " ".join(words[8:18]))]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "nothing")], "doc_id int, text string")
+    found = {r.doc_id: r.found["items"] for r in decontaminate.find_passages(docs, benchmark, "found", limit=limit).collect()}
+    assert sorted(found[1], key=str) == [None, "x", "y"] and found[2] == []
+
+
 def test_passage_report_and_filter(spark, documents, texts, items):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     report = {(r.doc_id, r.n_words): r for r in decontaminate.report(documents, benchmark).collect()}

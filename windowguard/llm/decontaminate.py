@@ -184,8 +184,8 @@ def find_passages(
 
     ``hits`` are the runs of words inside any occurrence, ``items`` the distinct ids of items that
     occur. Texts are lower-cased (A-Z) and taken as words of digits, letters and non-ASCII bytes.
-    A null or empty text has no words. Items without words occur nowhere; an item repeated in the
-    table counts once, a null id stays a null. With no items nothing is hit. Repeated documents are
+    A null or empty text has no words. Items without words occur nowhere; the rows of
+    one item_id are one item, found if any of their texts occurs; a null id stays a null. With no items nothing is hit. Repeated documents are
     judged one by one; columns of any other name pass through untouched.
 
     Patterns are broadcast in blocks of at most ``limit`` bytes of test text, one pass over the
@@ -223,7 +223,8 @@ def _search(docs: DataFrame, shared, kind: T.DataType, name: str) -> DataFrame:
                     names = [ids[x] for x in sorted(items[i])]
                     if before:
                         hits = merge_runs(before["hits"], hits)
-                        names = list(dict.fromkeys(before["items"] + names))
+                        names = before["items"] + names
+                    names = list(dict.fromkeys(names))  # an id may have several texts
                     rows.append({"n_words": int(first[i + 1] - first[i]), "hits": hits, "items": names})
                 columns = [piece.column(c) for c in kept] + [pa.array(rows, arrow_type)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, name])
