@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -175,6 +176,22 @@ def edited(words, dice, n):
     return " ".join(out)
 
 
+def test_parity_sketches_never_overstate_the_difference(monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "SKETCH_ROWS", 3)
+    dice = np.random.default_rng(5)
+    pool = dice.integers(0, 1 << 63, 900, np.uint64)
+    sets = [dice.choice(pool, n, replace=False) for n in (0, 1, 2, 30, 400, 890, 5, 0, 700)]
+    sets += [np.unique(np.concatenate((sets[4][:380], pool[-40:]))), sets[4], sets[3][1:]]
+    first = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    sketches = simhash_dedup.parity_sketches(np.concatenate(sets), first)
+    for a, x in zip(sets, sketches, strict=True):
+        for b, y in zip(sets, sketches, strict=True):
+            unlike = len(set(a.tolist()) ^ set(b.tolist()))
+            apart = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+            assert apart <= unlike and (unlike - apart) % 2 == 0
+            assert unlike or not apart
+
+
 def test_star_of_copies_that_are_near_their_original_only(spark):
     dice = random.Random(3)
     words = [f"s{dice.randrange(10**6)}" for _ in range(300)]

@@ -166,8 +166,34 @@ FIRST_BITS = 20
 #: Members of a bucket up to this size are compared pair by pair, those of a larger one with a few
 #: in a first round, and after it by their shingles.
 COPY_BUCKET, COPY_LEADS = 16, 3
-#: Holders of one shingle are compared in blocks of about this many.
-BLOCK = 256
+#: Holders of one shingle are compared in blocks of about this many; every holder is sent to each block.
+BLOCK = 4096
+#: 64-bit words of a text's parity sketch, and texts whose sketches are made at a time.
+SKETCH_WORDS, SKETCH_ROWS = 8, 4096
+
+
+def parity_sketches(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Per text SKETCH_WORDS words in which every shingle has flipped one bit.
+
+    Where two sketches differ in d bits, at least d shingles are in one text only: shingles in both
+    cancel out, and every other one flips a single bit.
+    """
+    bits = 64 * SKETCH_WORDS
+    place = (salted(hashes, LANES + len(COPY_SEGMENTS)) % np.uint64(bits)).astype(np.int64)
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    out = np.zeros((len(first) - 1, SKETCH_WORDS), np.int64)
+    for low in range(0, len(out), SKETCH_ROWS):
+        high = min(low + SKETCH_ROWS, len(out))
+        own = slice(first[low], first[high])
+        flips = np.bincount((row[own] - low) * bits + place[own], minlength=(high - low) * bits) & 1
+        out[low:high] = np.packbits(flips.astype(np.uint8), bitorder="little").view("<i8").reshape(-1, SKETCH_WORDS)
+    return out
+
+
+def may_be_similar(size: str, its_size: str, sketch: str, its_sketch: str, percent: int) -> Column:
+    """False only where the sketches prove that two texts of these numbers of shingles are less similar."""
+    unlike = sum(F.bit_count(F.get(sketch, F.lit(i)).bitwiseXOR(F.get(its_sketch, F.lit(i)))) for i in range(SKETCH_WORDS))
+    return (100 + percent) * unlike <= (100 - percent) * (F.col(size) + F.col(its_size))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -175,7 +201,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     ``node`` is a 128-bit hash of the word sequence, ``prints`` four 64-bit SimHash fingerprints of
     the distinct shingles under different mixings, ``least`` the least shingle hash under eight others
-    (empty without words).
+    (empty without words), ``size`` the number of distinct shingles and ``sketch`` their parities.
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,11 +228,15 @@ def signatures(docs: DataFrame) -> DataFrame:
                     pa.ListArray.from_arrays(
                         pa.array(np.cumsum(widths, dtype=np.int32)), pa.array(least.view(np.int64).ravel())
                     ),
+                    pa.array(count.astype(np.int32)),
+                    pa.ListArray.from_arrays(
+                        pa.array(np.arange(len(count) + 1, dtype=np.int32) * SKETCH_WORDS), pa.array(parity_sketches(hashes, first).ravel())
+                    ),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t1", "t2", "node", "prints", "least"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t1", "t2", "node", "prints", "least", "size", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, t1 long, t2 long, node binary, prints array<long>, least array<long>"
+    schema = f"doc_id {kind}, t1 long, t2 long, node binary, prints array<long>, least array<long>, size int, sketch array<long>"
     return docs.select("doc_id", *text_hashes(), "text").mapInArrow(mark, schema)
 
 
@@ -229,9 +259,9 @@ def sequence_hashes(column: pa.Array) -> list[bytes]:
 
 
 def copy_keys(nodes: DataFrame) -> DataFrame:
-    """(key, node, first): for each segment the Golay keys of its 23 bits, each with a least shingle hash.
+    """(key, node, first, size, sketch): for each segment the Golay keys of its 23 bits, each with a least shingle hash.
 
-    ``first`` is the first of the node's fingerprints.
+    ``first`` is the first of the node's fingerprints; size and sketch are the node's.
 
     Similar texts agree in a least shingle as often as they share shingles, which makes the short
     Golay keys selective; the keys in turn split the buckets of common shingles.
@@ -250,27 +280,30 @@ def copy_keys(nodes: DataFrame) -> DataFrame:
                         pa.array(key.view(np.int64)),
                         part.column("node").take(pa.array(row)),
                         pa.array(prints[row, 0].view(np.int64)),
+                        *(part.column(c).take(pa.array(row)) for c in ("size", "sketch")),
                     ]
-                    yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "first"])
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "first", "size", "sketch"])
 
-    usable = nodes.where(F.size("least") > 0).select("prints", "least", "node")
-    return usable.mapInArrow(emit, "key long, node binary, first long")
+    usable = nodes.where(F.size("least") > 0).select("prints", "least", "node", "size", "sketch")
+    return usable.mapInArrow(emit, "key long, node binary, first long, size int, sketch array<long>")
 
 
-def candidate_copies(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs a < b of nodes that share a key and are near in their fingerprints.
+def candidate_copies(buckets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of nodes that share a key and are near in their fingerprints and sketches.
 
     In a small bucket every pair is taken. In a larger one every member is paired with the few that
     a hash of bucket and member puts first; ``crowded_links`` finds what these do not.
     """
-    near = hamming.apart("first", "other") <= FIRST_BITS
-    small = buckets.where(F.col("n") <= COPY_BUCKET).select("key", "node", "first")
-    twin = small.select("key", F.col("node").alias("mate"), F.col("first").alias("other"))
+    near = (hamming.apart("first", "other") <= FIRST_BITS) & may_be_similar("size", "its_size", "sketch", "its_sketch", percent)
+    own = ["node", "first", "size", "sketch"]
+    its = dict(zip(own, ["mate", "other", "its_size", "its_sketch"], strict=True))
+    small = buckets.where(F.col("n") <= COPY_BUCKET).select("key", *own)
+    twin = small.select("key", *[F.col(c).alias(n) for c, n in its.items()])
     within = small.join(twin, (small["key"] == twin["key"]) & (F.col("node") < F.col("mate")) & near)
-    crowded = buckets.where(F.col("n") > COPY_BUCKET).select("key", "node", "first")
-    picks = [F.struct(F.xxhash64("key", "node", F.lit(i)).alias("dice"), "node", "first") for i in range(COPY_LEADS)]
+    crowded = buckets.where(F.col("n") > COPY_BUCKET).select("key", *own)
+    picks = [F.struct(F.xxhash64("key", "node", F.lit(i)).alias("dice"), *own) for i in range(COPY_LEADS)]
     leads = crowded.groupBy("key").agg(*[F.min(p).alias(f"lead{i}") for i, p in enumerate(picks)])
-    ends = F.array(*[F.struct(F.col(f"lead{i}.node").alias("mate"), F.col(f"lead{i}.first").alias("other")) for i in range(COPY_LEADS)])
+    ends = F.array(*[F.struct(*[F.col(f"lead{i}.{c}").alias(n) for c, n in its.items()]) for i in range(COPY_LEADS)])
     leads = stage(leads.select("key", F.inline(F.array_distinct(ends))), "leads")
     star = crowded.join(leads, (crowded["key"] == leads["key"]) & (F.col("node") != F.col("mate")) & near)
     ordered = [F.least("node", "mate").alias("a"), F.greatest("node", "mate").alias("b")]
@@ -318,8 +351,8 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * union).select("a", "b")
 
 
-def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
-    """(shingle, node, root, size, weight): the shingles by which texts of different classes can be similar.
+def rare_shingles(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(shingle, node, root, size, weight, sketch): the shingles by which texts of different classes can be similar.
 
     Similar texts x, y of two classes share ``percent`` of the shingles of either, all of them held
     by more than one class. So a text with fewer such shingles has no partner, and of those of any
@@ -334,22 +367,23 @@ def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
         (F.sum("df") / F.col("size")).alias("weight"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("list")
     )
     spare = F.size("list") - F.ceil(percent * F.col("size") / 100).cast("int") + 1
-    first = lists.withColumn("spare", spare).where("spare > 0")
-    return first.select(F.explode(F.slice("list", 1, F.col("spare"))).alias("at"), "node", "root", "size", "weight").select(
-        "at.shingle", "node", "root", "size", "weight"
+    first = lists.withColumn("spare", spare).where("spare > 0").join(nodes.select("node", "sketch"), "node")
+    return first.select(F.explode(F.slice("list", 1, F.col("spare"))).alias("at"), "node", "root", "size", "weight", "sketch").select(
+        "at.shingle", "node", "root", "size", "weight", "sketch"
     )
 
 
 def _other_class(percent: int) -> Column:
-    """Of rows (node, root, size) and (mate, its_root, its_size): different classes, sizes that allow the similarity."""
+    """Of rows (node, root, size, sketch) and the same of a mate: different classes that may hold similar texts."""
     sizes = 100 * F.least("size", "its_size") >= percent * F.greatest("size", "its_size")
-    return (F.col("root") != F.col("its_root")) & sizes
+    return (F.col("root") != F.col("its_root")) & sizes & may_be_similar("size", "its_size", "sketch", "its_sketch", percent)
 
 
 def lead_pairs(rare: DataFrame, percent: int) -> DataFrame:
     """Each holder of a shingle with the holder of most weight: an original meets its copies here."""
-    lead = rare.groupBy("shingle").agg(F.max(F.struct("weight", "node", "root", "size")).alias("lead"))
-    lead = lead.select("shingle", *[F.col(f"lead.{c}").alias(n) for c, n in (("node", "mate"), ("root", "its_root"), ("size", "its_size"))])
+    lead = rare.groupBy("shingle").agg(F.max(F.struct("weight", "node", "root", "size", "sketch")).alias("lead"))
+    its = {"node": "mate", "root": "its_root", "size": "its_size", "sketch": "its_sketch"}
+    lead = lead.select("shingle", *[F.col(f"lead.{c}").alias(n) for c, n in its.items()])
     pairs = rare.join(lead, "shingle").where(_other_class(percent))
     return pairs.select(F.least("node", "mate").alias("a"), F.greatest("node", "mate").alias("b")).distinct()
 
@@ -359,12 +393,13 @@ def all_pairs(rare: DataFrame, percent: int) -> DataFrame:
     sizes = rare.groupBy("shingle").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high"))
     sizes = stage(sizes.where("low != high").select("shingle", "blocks"), "copy-blocks")
     rows = rare.join(sizes, "shingle")
-    left = rows.select("shingle", "node", "root", "size", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    left = rows.select("shingle", "node", "root", "size", "sketch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     right = rows.select(
         "shingle",
         F.col("node").alias("mate"),
         F.col("root").alias("its_root"),
         F.col("size").alias("its_size"),
+        F.col("sketch").alias("its_sketch"),
         F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
     )
     pairs = left.join(right, ["shingle", "block"]).where((F.col("node") < F.col("mate")) & _other_class(percent))
@@ -383,7 +418,7 @@ def crowded_links(links: DataFrame, crowded: DataFrame, docs: DataFrame, nodes:
         links = stage(components(links, "a", "b").select(F.col("node").alias("a"), F.col("root").alias("b")), "copy-contracted")
         roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
         classed = sets.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "shingles")
-        rare = stage(rare_shingles(classed, percent), "copy-rare")
+        rare = stage(rare_shingles(classed, nodes, percent), "copy-rare")
         pairs = stage(propose(rare, percent), "copy-pairs")
         links = stage(links.unionByName(similar(pairs, sets, percent)), "copy-links")
     return links
@@ -400,10 +435,10 @@ def near_copies(docs: DataFrame, percent: int = round(100 * COPY_SIMILARITY)) ->
     """
     rows = docs.select("doc_id", "text")
     marked = stage(signatures(rows), "signatures")
-    nodes = stage(marked.groupBy("node").agg(F.min(F.struct("doc_id", "t1", "t2", "prints", "least")).alias("own")), "copy-nodes")
+    nodes = stage(marked.groupBy("node").agg(F.min(F.struct("doc_id", "t1", "t2", "prints", "least", "size", "sketch")).alias("own")), "copy-nodes")
     nodes = nodes.select("node", "own.*")
     buckets = hamming.sized_buckets(copy_keys(nodes))
-    pairs = stage(candidate_copies(buckets, nodes), "copy-pairs")
+    pairs = stage(candidate_copies(buckets, nodes, percent), "copy-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     links = stage(similar(pairs, sets_of(wanted, rows, nodes), percent), "copy-links")
     crowded = stage(buckets.where(F.col("n") > COPY_BUCKET).select("node").distinct(), "copy-crowded")
