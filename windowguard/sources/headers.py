@@ -84,7 +84,7 @@ def beginnings(spark: SparkSession, paths: str | list[str]) -> dict[str, str]:
 
 def fields(line: str) -> list[str]:
     """The cells of a CSV header line, without a byte order mark or space around them."""
-    cells = next(csv.reader([line.removeprefix("﻿")]), [])
+    cells = next(csv.reader([line.removeprefix("\ufeff")]), [])
     return [c.strip() for c in cells]
 
 

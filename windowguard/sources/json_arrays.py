@@ -16,7 +16,7 @@ from windowguard.sources import headers
 SPLIT_BYTES = 128 << 20
 
 # An array whose first element is an object, up to the colon behind the first key.
-_OPENING = re.compile(r'﻿?\s*\[\s*(\{\s*"(?:[^"\\]|\\.)*"\s*:)')
+_OPENING = re.compile('\ufeff?' r'\s*\[\s*(\{\s*"(?:[^"\\]|\\.)*"\s*:)')
 _STRING = r'"(?:[^"\\]|\\.)*+"'
 _BROKEN = "_broken_record"
 
