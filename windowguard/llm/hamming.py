@@ -96,16 +96,19 @@ LANE, LANES, SLICE = 9, 7, 255
 _ONES = sum(1 << (LANE * j) for j in range(LANES))
 
 
-def majority(hashed: DataFrame, keys: list[str]) -> DataFrame:
+def majority(hashed: DataFrame, keys: list[str], more: dict[str, tuple] | None = None) -> DataFrame:
     """63-bit SimHash ``fp`` and size ``n`` of the groups of ``keys``: bits set in over half of their hashes.
 
     ``hashed`` has the hashes ``h``, numbered by ``pos`` from 0 in their group, and the size ``n`` of
     the group. Hashes are counted in slices that the counters hold. In a group of one slice all
     counters are compared at once: adding 255 less half the size carries into the top bit of a
     counter exactly if it is more than half. In a larger one each counter is summed over the slices.
+    ``more`` names further aggregates: one over the rows, and the function that merges its results.
     """
+    more = more or {}
     ones, zero = F.lit(_ONES), F.lit(0).cast("long")
     sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(ones)).alias(f"p{k}") for k in range(LANE)]
+    sums += [one.alias(name) for name, (one, _) in more.items()]
     slices = hashed.withColumn("slice", F.floor(F.col("pos") / SLICE)).groupBy(*keys, "slice").agg(F.max("n").alias("n"), *sums)
     half = F.floor(F.col("n") / 2)
     fill = (SLICE - half) * ones
@@ -117,8 +120,9 @@ def majority(hashed: DataFrame, keys: list[str]) -> DataFrame:
         for k in range(LANE)
         for j in range(LANES)
     ]
+    counts += [merge(name).alias(name) for name, (_, merge) in more.items()]
     bits = [F.when(F.col(f"c{i}") > half, F.lit(1 << i)).otherwise(zero) for i in range(LANE * LANES)]
     # The size is an aggregate so that both branches filter one and the same result.
-    small = slices.where(F.col("n") <= SLICE).select(*keys, "n", at_once.alias("fp"))
+    small = slices.where(F.col("n") <= SLICE).select(*keys, "n", at_once.alias("fp"), *more)
     large = slices.where(F.col("n") > SLICE).groupBy(*keys, "n").agg(*counts)
-    return small.unionByName(large.select(*keys, "n", reduce(Column.bitwiseOR, bits).alias("fp")))
+    return small.unionByName(large.select(*keys, "n", reduce(Column.bitwiseOR, bits).alias("fp"), *more))
