@@ -63,3 +63,38 @@ def test_no_nested_loops_and_few_rows_an_interval(spark):
     long = spark.createDataFrame([("a", 0, 10**9)], "k string, s long, e long")
     probe = spark.range(0, 10**9, 10**8).select(F.lit("a").alias("k"), F.col("id").alias("t"))
     assert intervals.inside(probe, long, ["k"], "t", "s", "e", 1).count() == 10
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_coverage_equals_all_pairs(spark, seed):
+    points, spans, (left, right) = frames(spark, seed)
+    stretches = intervals.coverage(right, ["k"], "s", "e")
+    rows = sorted(map(tuple, stretches.collect()))
+    assert all(a[2] < b[1] for a, b in zip(rows, rows[1:], strict=False) if a[0] == b[0])
+    assert len(rows) <= 2 * len(spans)
+    met = intervals.inside(left, stretches, ["k"], "t", "s", "e", 1)
+    got = {(r["k"], r["id"]): (r["n_intervals"], r["longest"]) for r in met.collect()}
+    want = {}
+    for k, i, t in points:
+        over = [e - s for q, _, s, e in spans if None not in (k, t, q, s, e) and k == q and s <= t <= e]
+        if over:
+            want[k, i] = (len(over), max(over))
+    assert got == want and met.count() == len(want)
+    assert intervals.coverage(right.limit(0), ["k"], "s", "e").isEmpty()
+
+
+def test_interval_hits_meets_no_more_rows_than_events(spark, tmp_path, monkeypatch):
+    from windowguard.plans import service_queries
+
+    # Purchases of one user at one time: every one of the 600 events lies in 300 injections.
+    ev = spark.range(600).select(
+        F.lit("Lv_S_kill").alias("case_id"), F.col("id").alias("event_id"), (F.col("id") * 2).alias("ts_ms"),
+        F.when(F.col("id") < 300, "purchase").otherwise("view").alias("event_type"), F.lit(9).alias("k"),
+    )
+    met = []
+    inside = intervals.inside
+    monkeypatch.setattr(service_queries.A, "events", lambda *_: ev)
+    monkeypatch.setattr(intervals, "inside", lambda *a: met.append(inside(*a)) or met[-1])
+    rows = service_queries.interval_hits(spark, "").collect()
+    assert met[0].count() == 600
+    assert {r["event_id"]: r["n_intervals"] for r in rows} == {i: min(i + 1, 300) for i in range(600)}

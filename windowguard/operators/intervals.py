@@ -7,11 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from windowguard.operators.series import prefix_sums
 from windowguard.session import stage
 
 #: A bin of the next level is as long as this many of the level below.
 FAN = 64
 LEVELS = 6
+#: A piece of the next level of ``coverage`` is as long as this many of the level below.
+RANK_FAN = 4
 
 
 def merged(intervals: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
@@ -28,6 +31,61 @@ def merged(intervals: DataFrame, keys: list[str], start: str, end: str) -> DataF
     return numbered.groupBy(*keys, "_group").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_group")
 
 
+def coverage(intervals: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """(keys, start, end, n_intervals, longest): the stretches of a key that the same intervals cover.
+
+    ``start`` and ``end`` are whole numbers, both inclusive; ``longest`` is the largest end - start of the
+    ``n_intervals`` that cover a stretch. Stretches are disjoint, at most two an interval, however many
+    overlap. Their number comes from prefix sums over the ends. For the longest, an interval is cut into
+    pieces whose lengths, in stretches, are powers of RANK_FAN; the longest of each piece is kept, and a
+    stretch looks at the one piece of each length that holds it. Intervals with a null, and those that end
+    before they start, are left out.
+    """
+    rows = stage(intervals.where(F.col(start) <= F.col(end)).select(*keys, start, end), "intervals")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    opens = rows.select(*keys, F.col(start).alias("_at"), one.alias("_opens"), none.alias("_closes"))
+    closes = rows.select(*keys, (F.col(end) + 1).alias("_at"), none.alias("_opens"), one.alias("_closes"))
+    ends = opens.unionByName(closes).groupBy(*keys, "_at").agg(F.sum("_opens").alias("_opens"), F.sum("_closes").alias("_closes"))
+    ends = stage(ends.withColumn("_one", one), "interval-ends")
+    active = F.col("_opens_before") + F.col("_opens") - F.col("_closes_before") - F.col("_closes")
+    ranked = prefix_sums(ends, keys, "_at", ["_opens", "_closes", "_one"])
+    ranked = stage(ranked.select(*keys, "_at", F.col("_one_before").alias("_rank"), active.alias("n_intervals")), "interval-ranks")
+
+    # Of intervals with one start the one that ends last is longest wherever another lies.
+    widest = rows.groupBy(*keys, start).agg(F.max(end).alias(end))
+    first = ranked.select(*keys, F.col("_at").alias(start), F.col("_rank").alias("_low"))
+    behind = ranked.select(*keys, (F.col("_at") - 1).alias(end), F.col("_rank").alias("_high"))
+    placed = widest.join(first, [*keys, start]).join(behind, [*keys, end])
+    top = ranked.agg(F.max("_rank")).first()[0] or 0
+    sizes = [RANK_FAN**k for k in range(1 + next(k for k in range(64) if RANK_FAN**k > top))]
+
+    def whole(size: int) -> tuple[Column, Column]:
+        return F.ceil(F.col("_low") / size).cast("long"), F.floor(F.col("_high") / size).cast("long")
+
+    def pieces(level: int, low: Column, high: Column) -> Column:
+        bins = F.when(low < high, F.sequence(low, high - 1)).otherwise(F.array().cast("array<long>"))
+        return F.transform(bins, lambda b: F.struct(F.lit(level).alias("_level"), b.alias("_bin")))
+
+    cut = []
+    for level, size in enumerate(sizes):
+        low, high = whole(size)
+        upper_low, upper_high = whole(size * RANK_FAN)
+        above = upper_low < upper_high
+        cut.append(pieces(level, low, F.when(above, upper_low * RANK_FAN).otherwise(high)))
+        cut.append(pieces(level, F.when(above, upper_high * RANK_FAN).otherwise(high), high))
+    held = placed.select(*keys, (F.col(end) - F.col(start)).alias("longest"), F.explode(F.concat(*cut)).alias("_piece"))
+    held = held.groupBy(*keys, "_piece._level", "_piece._bin").agg(F.max("longest").alias("longest"))
+    looks = F.array(*[
+        F.struct(F.lit(level).alias("_level"), F.floor(F.col("_rank") / size).cast("long").alias("_bin")) for level, size in enumerate(sizes)
+    ])
+    covered = ranked.where("n_intervals > 0")
+    looking = covered.select(*keys, "_rank", F.explode(looks).alias("_look")).select(*keys, "_rank", "_look.*")
+    longest = looking.join(stage(held, "interval-pieces"), [*keys, "_level", "_bin"]).groupBy(*keys, "_rank").agg(F.max("longest").alias("longest"))
+    after = ranked.select(*keys, (F.col("_rank") - 1).alias("_rank"), (F.col("_at") - 1).alias(end))
+    found = covered.join(after, [*keys, "_rank"]).join(longest, [*keys, "_rank"])
+    return found.select(*keys, F.col("_at").alias(start), end, "n_intervals", "longest")
+
+
 def inside(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, width: float) -> DataFrame:
     """Every point with every interval of its keys that covers it, both ends inclusive.
 

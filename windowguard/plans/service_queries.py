@@ -262,9 +262,12 @@ def interval_phases(spark, folder):
 def interval_hits(spark, folder):
     """How many injections cover each event, and how long the longest is."""
     ev = A.events(spark, folder).select("case_id", "event_id", "ts_ms")
-    met = intervals.inside(ev, _injections(spark, folder), ["case_id"], "ts_ms", "start_ms", "end_ms", MINUTE)
-    longest = F.max(F.col("end_ms") - F.col("start_ms")).alias("longest_ms")
-    return met.groupBy("case_id", "event_id").agg(F.count("*").alias("n_intervals"), longest)
+    # Overlapping injections are added up first, so an event meets one stretch and not each of them. Stretches are
+    # disjoint: in bins of one millisecond and up, none shares a bin of its level with more than one other.
+    covered = intervals.coverage(_injections(spark, folder), ["case_id"], "start_ms", "end_ms")
+    met = intervals.inside(ev, covered, ["case_id"], "ts_ms", "start_ms", "end_ms", 1)
+    longest = F.max("longest").alias("longest_ms")
+    return met.groupBy("case_id", "event_id").agg(F.sum("n_intervals").alias("n_intervals"), longest)
 
 
 @query(
