@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windowguard.functions import scalars as S
+from windowguard.operators import trees
 from windowguard.operators.series import HEAVY_ROWS, prefix_sums
 from windowguard.session import stage
 
@@ -198,13 +199,11 @@ def fit_predict(train: DataFrame, test: DataFrame, model: str, seed: int = 42) -
     if model == "kmeans":
         fitted = KMeans(k=2, seed=seed).fit(train)
         return nearest_center(test, [[float(x) for x in c] for c in fitted.clusterCenters()])
-    learners = {
-        "tree": DecisionTreeClassifier(seed=seed),
-        "logistic": LogisticRegression(tol=1e-9, maxIter=200),
-    }
-    if model not in learners:
+    if model == "tree":
+        return trees.score(test, trees.grow(train))
+    if model != "logistic":
         raise ValueError(f"unknown model {model!r}, use kmeans, tree or logistic")
-    predicted = learners[model].fit(train).transform(test)
+    predicted = LogisticRegression(tol=1e-9, maxIter=200).fit(train).transform(test)
     score = F.get(vector_to_array("probability"), F.lit(1))
     return predicted.withColumn("score", score).drop("rawPrediction", "probability", "prediction")
 
