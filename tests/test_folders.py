@@ -412,3 +412,19 @@ def test_cache_reads_only_what_changed(spark, tmp_path):
     for last in sorted(tmp_path.glob("cache/manifest/run=*"), key=lambda p: int(p.name[4:]))[-1:]:
         (last / "_SUCCESS").unlink()  # a run that was cut off while writing its manifest
     assert {r["metric_file"] for r in cache.read_samples(spark, store).collect()} == {"b.csv", "new.csv"}
+
+
+def test_what_a_path_says_is_worked_out_once_a_file(spark, tmp_path):
+    from test_entry import plan
+
+    folder = tmp_path / "case a+%41" / "metric_data"
+    folder.mkdir(parents=True)
+    (folder / "m 1.csv").write_text(",".join(files.METRIC_COLUMNS) + "\n" + ",".join("1" for _ in files.METRIC_COLUMNS) + "\n")
+    samples = files.read_metric_samples(spark, str(tmp_path / "*" / "metric_data" / "*.csv"), source="_source")
+    assert {(r["case_id"], r["metric_file"], r["_source"].split("/")[-3]) for r in samples.collect()} == {("case a+%41", "m 1.csv", "case a+%41")}
+    (folder / "m").mkdir()
+    (folder / "m" / "r 1.json").write_text('[{"metric": {"job": "node"}, "values": [["1", "2"]]}]')
+    results = files.read_range_results(spark, str(folder / "m" / "*.json"))
+    assert [tuple(r)[:3] for r in results.collect()] == [("case a+%41", "metric_data", "r 1.json")]
+    for read in (samples, results):
+        assert "url_decode" not in plan(read).lower() and "UrlCodec" not in plan(read)

@@ -109,6 +109,7 @@ def read_metric_samples(
     are the further columns to give, all of any header by default; ``source`` names a column for the
     path of the file, if one is wanted.
     """
+    # What follows from a path is worked out once a file, not once a row.
     known: dict[tuple[str, ...], list[str]] = {}
     found = _headers(spark, paths)
     for path, columns in sorted(found.items()):
@@ -123,6 +124,17 @@ def read_metric_samples(
         labels = sorted({n for columns in known for n in headers.distinct_names(list(columns))} - {*METRIC_COLUMNS, *own})
     names = [*METRIC_COLUMNS, *labels]
 
+    path = F.col("path")
+    places = headers.file_table(
+        spark,
+        {headers.encoded_path(spark, m): m for members in known.values() for m in members},
+        [
+            _before(path, "metric_data").alias("case_id"),
+            F.regexp_extract(path, "/metric_data/([^/]+)", 1).alias("metric_file"),
+            *([path.alias(source)] if source else []),
+        ],
+    )
+
     def scan(columns: list[str], members: list[str]) -> DataFrame:
         schema = T.StructType([T.StructField(n, T.StringType()) for n in headers.distinct_names(columns)])
         reader = spark.read.schema(schema).option("header", True).option("ignoreLeadingWhiteSpace", False)
@@ -132,13 +144,7 @@ def read_metric_samples(
             text = F.col(f"`{name}`") if name in schema.names else F.lit(None).cast("string")
             return (text.try_cast("double") if name in NUMBERS else text).alias(name)
 
-        path = _path()
-        return raw.select(
-            *[cell(n) for n in names],
-            _before(path, "metric_data").alias("case_id"),
-            F.regexp_extract(path, "/metric_data/([^/]+)", 1).alias("metric_file"),
-            *([path.alias(source)] if source else []),
-        )
+        return raw.select(*[cell(n) for n in names], F.col("_metadata.file_path").alias(headers.FILE)).join(places, headers.FILE).drop(headers.FILE)
 
     if known:
         rows = reduce(DataFrame.unionAll, (scan(list(c), m) for c, m in known.items()))

@@ -6,7 +6,9 @@ import csv
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of a file that are looked at for its first line.
 FIRST_BYTES = 1 << 16
@@ -26,6 +28,30 @@ def list_files(spark: SparkSession, paths: str | list[str]) -> list[str]:
     return sorted(set(spark.read.text(paths).inputFiles()))
 
 
+#: The column by which rows find their file in ``file_table``, ``_metadata.file_path`` of both.
+FILE = "_file"
+
+
+def decoded_path() -> Column:
+    """Decoded path of the file a row comes from."""
+    return F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
+
+
+def encoded_path(spark: SparkSession, path: str) -> str:
+    """A decoded path as ``_metadata.file_path`` gives it."""
+    return spark._jvm.org.apache.hadoop.fs.Path(path).toUri().toString()
+
+
+def file_table(spark: SparkSession, paths: dict[str, str], columns: list[Column]) -> DataFrame:
+    """(_file, columns): a row for each file, with columns made of its decoded ``path``.
+
+    ``paths`` has the decoded path by the encoded one. Rows are joined with what their path says
+    instead of parsing it anew; the planner knows the size of the table, and no job is run for it.
+    """
+    names = pa.table({FILE: pa.array(paths.keys(), pa.string()), "path": pa.array(paths.values(), pa.string())})
+    return spark.createDataFrame(names).select(FILE, *columns)
+
+
 def _opened(spark: SparkSession, paths: str | list[str], read: Callable) -> dict[str, str]:
     """What ``read`` takes from the beginning of every file, by decoded path.
 
