@@ -177,17 +177,19 @@ ORDERS_A_FILE = 4000
 def range_result_files(spark, folder):
     """Range results written as JSON documents in run and test folders; runs with a prefix are read."""
     root = _folder(spark)
-    results = stage(_range_results(spark, folder), "results")
+    # Every result is turned into text once; a file's array is put together of those.
+    text = F.to_json(F.struct("metric", "values")).alias("text")
+    results = stage(_range_results(spark, folder).select("run_end", "test_name", "l_orderkey", text), "results")
     for run in ("A", "N", "R"):
         for test in ("F", "O"):
             own = results.where((F.col("run_end") == run) & (F.col("test_name") == test))
             # A file holds one array of results, here of the line items of a range of orders.
             bundled = own.groupBy(F.floor(F.col("l_orderkey") / ORDERS_A_FILE).alias("part")).agg(
-                F.to_json(F.collect_list(F.struct("metric", "values"))).alias("value")
+                F.concat(F.lit("["), F.array_join(F.collect_list("text"), ","), F.lit("]")).alias("value")
             )
             place = f"{root}/{'old-' if run == 'N' else 'run-'}{run}/{test}/metrics"
             bundled.select("value").write.option("maxRecordsPerFile", 1).text(place)
-    back = profile.prom_long(files.read_range_results(spark, f"{root}/*/*/metrics/part-*", "run-"))
+    back = profile.prom_long(files.read_range_results(spark, f"{root}/*/*/metrics", "run-"))
     return back.groupBy(F.substring("run_end", -1, 1).alias("run_end"), "test_name").agg(
         F.count("*").alias("n"), F.sum(F.col("value").cast("long")).alias("total")
     )

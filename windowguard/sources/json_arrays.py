@@ -21,14 +21,12 @@ _STRING = r'"(?:[^"\\]|\\.)*+"'
 _BROKEN = "_broken_record"
 
 
-def decoded_path() -> Column:
-    return F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
-
-
-def _whole(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
+def _whole(spark: SparkSession, files: dict[str, str], schema: T.StructType, patterns: str | list[str] | None = None) -> DataFrame:
+    """The records of files (decoded by encoded path), each read by one task; ``patterns``, if given, are paths of the same files."""
     reader = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
-    names = [headers.literal_path(p) for p in paths]
-    return reader.json(names).select(*schema.names, decoded_path().alias("path"))
+    rows = reader.json(patterns or [headers.literal_path(p) for p in files.values()])
+    rows = rows.select(*schema.names, F.col("_metadata.file_path").alias(headers.FILE))
+    return rows.join(headers.file_table(spark, files, [F.col("path")]), headers.FILE).drop(headers.FILE)
 
 
 def _balance(text: Column) -> Column:
@@ -46,7 +44,7 @@ def fragments(spark: SparkSession, paths: list[str], opening: str) -> DataFrame:
     """
     raw = spark.read.option("lineSep", opening).text([headers.literal_path(p) for p in paths])
     placed = raw.select(
-        decoded_path().alias("path"),
+        headers.decoded_path().alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("place"),
         F.concat(F.lit(opening), "value").alias("text"),
@@ -128,7 +126,9 @@ def read_json_arrays(spark: SparkSession, paths: str | list[str], schema: T.Stru
     many splits as they have; records cut in the middle are joined again. A large file that is no
     readable array to its end gives no rows; a small one gives at most rows without values.
     """
-    listed = spark.read.format("binaryFile").load(paths).select("path", "length").collect()  # names and sizes
+    named = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("name"), headers.decoded_path().alias("path"), "length")
+    listed = named.collect()  # names and sizes
+    names_of = {r["path"]: r["name"] for r in listed}
     small = [r["path"] for r in listed if r["length"] <= split_bytes]
     large = [r["path"] for r in listed if r["length"] > split_bytes]
     groups: dict[str, list[str]] = {}
@@ -142,7 +142,9 @@ def read_json_arrays(spark: SparkSession, paths: str | list[str], schema: T.Stru
                 small.append(path)
     else:
         small += large
-    frames = [_whole(spark, small, schema)] if small else []
+    # A list of names is looked up file by file; the paths as given say the same where no file is cut.
+    whole = {names_of[p]: p for p in small}
+    frames = [_whole(spark, whole, schema, None if groups else paths)] if small else []
     frames += [_split(spark, members, opening, schema) for opening, members in sorted(groups.items())]
     if not frames:
         return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("path", T.StringType())]))
