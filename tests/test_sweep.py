@@ -156,3 +156,23 @@ def test_jobs_do_not_grow_with_pairs(spark):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
 
     assert jobs(12) == jobs(2)
+
+
+def test_few_cells_move_in_the_sweep(spark):
+    from test_entry import plan
+
+    cells = [(i, f"t{j}", float(1 + (i * j) % 3)) for i in range(30) for j in range(40) if (i + j) % 4]
+    tokens = spark.createDataFrame([*cells, (1, "one", 5.0), (2, None, 1.0), (3, None, 2.0)], "seq long, token string, n double")
+    seen = {}
+    for _, t, v in [*cells, (1, "one", 5.0)]:
+        seen.setdefault(t, set()).add(v)
+    want = sorted((i, t, 1 + sorted(seen[t]).index(v)) for i, t, v in [*cells, (1, "one", 5.0)])
+    got = sweep.binned(tokens, "seq", "n", sweep.Sweep())
+    assert sorted(map(tuple, got.collect())) == want
+
+    members = spark.createDataFrame([("e", "s", i, i % 2, True, 1) for i in range(30)], "error_type string, service string, seq long, label int, train boolean, node long")
+    splits = spark.createDataFrame([("e", "s", 1, "t5", 2, 30, 15)], "error_type string, service string, node long, token string, bin int, n long, positive long")
+    moved = sweep.descend(members, splits, got)
+    high = {i for i, t, b in want if t == "t5" and b >= 2}
+    assert {r["seq"]: r["node"] for r in moved.collect()} == {i: 3 if i in high else 2 for i in range(30)}
+    assert "LeftSemi" in plan(moved)  # cells of tokens that split nothing are left behind

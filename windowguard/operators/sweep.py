@@ -69,7 +69,11 @@ def binned(tokens: DataFrame, seq_id: str, value: str, plan: Sweep) -> DataFrame
     even = F.floor(F.col("n_before") * plan.max_bins / F.col("n_total"))
     number = F.when(F.col("one_total") <= plan.max_bins, F.col("one_before")).otherwise(even) + 1
     bins = ranked.select("token", "value", number.cast("int").alias("bin"))
-    return stage(cells.join(bins, ["token", "value"]).select("seq", "token", "bin"), "sweep-cells")
+    # The least value of all is in the first bin whatever its token: those cells, most of them if values are counts, stay.
+    least = cells.agg(F.min("value")).scalar()
+    above = cells.where(F.col("value") > least).join(bins, ["token", "value"]).select("seq", "token", "bin")
+    first = cells.where(F.col("value") == least).where(F.col("token").isNotNull()).select("seq", "token", F.lit(1).alias("bin"))
+    return stage(first.unionByName(above), "sweep-cells")
 
 
 def _purity(positive: Column, n: Column) -> Column:
@@ -106,7 +110,9 @@ def best_splits(members: DataFrame, cells: DataFrame) -> DataFrame:
 def descend(members: DataFrame, splits: DataFrame, cells: DataFrame) -> DataFrame:
     """Members at the child nodes of their splits; those at a node without a split stay."""
     at = members.join(splits.select(*NODE, "token", F.col("bin").alias("_cut")), NODE, "left")
-    moved = at.join(cells, ["seq", "token"], "left")
+    # Of the cells only those of tokens that split a node move, as many as there are nodes at most.
+    asked = cells.join(splits.select("token"), "token", "left_semi")
+    moved = at.join(asked, ["seq", "token"], "left")
     right = F.coalesce(F.col("bin") >= F.col("_cut"), F.lit(False)).cast("long")
     node = F.when(F.col("_cut").isNull(), F.col("node")).otherwise(2 * F.col("node") + right)
     return moved.withColumn("node", node).select(*members.columns)
