@@ -269,3 +269,19 @@ def test_wide_lines_of_very_many_series(spark):
     assert set(got) == set(want)
     for key, cells in got.items():
         assert cells[0] == key[1] and cells[1:] == [want[key].get(n) or "" for n in header[1:]]
+
+
+def test_words_unseen_are_found_without_sorting_the_cells(spark):
+    from test_entry import plan
+
+    train = spark.createDataFrame([("s", 1, "a", 1), ("s", 1, "b", 2)], "source string, seq int, token string, n int")
+    test = spark.createDataFrame([("s", 2, "a", 1), ("s", 2, "c", 3), ("t", 3, "a", 2), ("s", 4, None, 1)], "source string, seq int, token string, n int")
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, "-1")
+    try:
+        scored = textmodels.oov_score(train, test, "seq", ["source"])
+        text = plan(scored)
+    finally:
+        spark.conf.unset(threshold)
+    assert "ShuffledHashJoin" in text and "SortMergeJoin" not in text
+    assert {tuple(r) for r in scored.collect()} == {("s", 2, 4, 3), ("t", 3, 2, 2), ("s", 4, 1, 1)}
