@@ -222,3 +222,17 @@ def test_connected_groups(spark):
     want = {i: 0 for i in range(30)} | {i: 30 for i in range(30, 61)} | {100 + 3 * i: 100 for i in range(20)}
     assert got == want
     assert connected(spark.createDataFrame([(1, 1)], "a int, b int"), "a", "b").count() == 0
+
+
+def test_keys_and_links_of_templates_hold_no_text(spark, monkeypatch):
+    from windowguard.operators import logs
+
+    texts = [f"start {a} {b} {c} end{c}x" for a in ("red", "blue") for b in ("fox", "hen", "cow") for c in "uvw"]
+    texts += ["start over again my friend"]
+    staged = {}
+    stage = logs.stage
+    monkeypatch.setattr(logs, "stage", lambda df, name: staged.setdefault(name, df) and stage(df, name))
+    got = logs.fit_templates(spark.createDataFrame([(t,) for t in texts], "content string")).collect()
+    assert sorted(r["template"] for r in got) == ["start <*> <*> <*> <*>", "start over again my friend"]
+    for name in ("log-keys", "log-links", "log-rooted"):
+        assert {t for _, t in staged[name].dtypes} <= {"int", "bigint"}, name

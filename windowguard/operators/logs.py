@@ -82,43 +82,50 @@ def _texts(positions: DataFrame, *keys: str) -> DataFrame:
 
 
 def similar_lines(lines: DataFrame) -> DataFrame:
-    """(masked, root): groups of lines linked by similarity, within each leaf of the token tree.
+    """(masked, root): groups, each with a name of its own, of lines linked by similarity, within each leaf of the token tree.
 
     ``lines`` has one row per masked text with its leaf, tokens, and ``need``, the number of equal
     constant tokens that links two lines. Two such lines share one of the rarest (position, token)
     pairs of each, as many as a line may miss and one more. So lines meet at those: first with the
     least line of a pair, then all those that are still in different groups. Every meeting is verified.
     """
-    cells = lines.select(*LEAF, "need", "masked", F.posexplode("tokens").alias("position", "token"))
+    # A line has about as many keys as tokens, so keys and links hold its number, never its text.
+    lines = stage(lines.withColumn("line", F.monotonically_increasing_id()), "log-lines")
+    cells = lines.select(*LEAF, "need", "line", F.posexplode("tokens").alias("position", "token"))
     cells = cells.where(F.col("token") != WILDCARD)
     holders = cells.groupBy(*LEAF, "position", "token").agg(F.count("*").alias("df")).where("df > 1")
     shared = cells.join(holders, [*LEAF, "position", "token"])
-    of_line = Window.partitionBy("masked")
+    of_line = Window.partitionBy("line")
     places = {
         "place": F.row_number().over(of_line.orderBy("df", "position")),
         "size": F.count("*").over(of_line),
     }
-    key = [*LEAF, "position", "token"]
-    keys = stage(shared.withColumns(places).where(F.col("place") <= F.col("size") - F.col("need") + 1).select(*key, "masked"), "log-keys")
-    tokens = lines.select("masked", "tokens", "need")
+    pairs_of_line = shared.withColumns(places).where(F.col("place") <= F.col("size") - F.col("need") + 1)
+    # The number of a (leaf, position, token) is its least line and the position: two of one position never share a line.
+    key = ["position", "least"]
+    named = pairs_of_line.groupBy(*LEAF, "position", "token").agg(F.min("line").alias("least"))
+    keys = stage(pairs_of_line.join(named, [*LEAF, "position", "token"]).select(*key, "line"), "log-keys")
+    tokens = lines.select("line", "tokens", "need")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct().join(tokens, "masked")
-        pairs = pairs.join(tokens.select(F.col("masked").alias("other"), F.col("tokens").alias("_others")), "other")
+        pairs = pairs.distinct().join(tokens, "line")
+        pairs = pairs.join(tokens.select(F.col("line").alias("other"), F.col("tokens").alias("_others")), "other")
         equal = F.zip_with("tokens", "_others", lambda x, y: ((x == y) & (x != WILDCARD)).cast("int"))
         total = F.aggregate(equal, F.lit(0), lambda n, x: n + x)
-        return pairs.where(total >= F.col("need")).select("masked", "other")
-
-    lead = keys.groupBy(*key).agg(F.min("masked").alias("other"))
-    links = stage(verified(keys.join(lead, key).where("masked <> other").select("masked", "other")), "log-links")
-    roots = connected(links, "masked", "other").select(F.col("node").alias("masked"), "root")
-    rooted = keys.join(roots, "masked", "left").withColumn("root", F.coalesce("root", "masked"))
-    mates = rooted.select(*key, F.col("masked").alias("other"), F.col("root").alias("_root"))
-    apart = rooted.join(mates, key).where((F.col("masked") < F.col("other")) & (F.col("root") != F.col("_root")))
-    more = stage(verified(apart.select("masked", "other")), "log-links")
+        return pairs.where(total >= F.col("need")).select("line", "other")
+
+    links = stage(verified(keys.where("line <> least").select("line", F.col("least").alias("other"))), "log-links")
+    roots = connected(links, "line", "other").select(F.col("node").alias("line"), "root")
+    rooted = stage(keys.join(roots, "line", "left").withColumn("root", F.coalesce("root", "line")), "log-rooted")
+    # Keys whose lines are in one group already are done.
+    open_keys = rooted.groupBy(*key).agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select(*key)
+    rooted = rooted.join(open_keys, key, "left_semi")
+    mates = rooted.select(*key, F.col("line").alias("other"), F.col("root").alias("_root"))
+    apart = rooted.join(mates, key).where((F.col("line") < F.col("other")) & (F.col("root") != F.col("_root")))
+    more = stage(verified(apart.select("line", "other")), "log-links")
     if not more.isEmpty():
-        roots = connected(links.unionByName(more), "masked", "other").select(F.col("node").alias("masked"), "root")
-    return roots
+        roots = connected(links.unionByName(more), "line", "other").select(F.col("node").alias("line"), "root")
+    return lines.select("line", "masked").join(roots, "line").select("masked", F.concat(F.lit("\n"), "root").alias("root"))  # unlike any text
 
 
 def fit_templates(parsed: DataFrame, similarity: float = K.TEMPLATE_SIMILARITY) -> DataFrame:
