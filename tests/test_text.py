@@ -285,3 +285,15 @@ def test_words_unseen_are_found_without_sorting_the_cells(spark):
         spark.conf.unset(threshold)
     assert "ShuffledHashJoin" in text and "SortMergeJoin" not in text
     assert {tuple(r) for r in scored.collect()} == {("s", 2, 4, 3), ("t", 3, 2, 2), ("s", 4, 1, 1)}
+
+
+def test_logistic_regression_in_a_session_that_has_observed_a_table(spark):
+    from pyspark.ml.linalg import Vectors
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    rows = spark.createDataFrame([(Vectors.dense([float(i)]), float(i > 5 or i == 2)) for i in range(10)], ["features", "label"])
+    got = textmodels.fit_predict(rows, rows, "logistic").orderBy("score").collect()
+    assert [r["features"][0] for r in got] == [float(i) for i in range(10)]

@@ -70,7 +70,7 @@ def binned(tokens: DataFrame, seq_id: str, value: str, plan: Sweep) -> DataFrame
     number = F.when(F.col("one_total") <= plan.max_bins, F.col("one_before")).otherwise(even) + 1
     bins = ranked.select("token", "value", number.cast("int").alias("bin"))
     # The least value of all is in the first bin whatever its token: those cells, most of them if values are counts, stay.
-    least = cells.agg(F.min("value")).scalar()
+    least = F.lit(cells.agg(F.min("value")).first()[0]).cast("double")
     above = cells.where(F.col("value") > least).join(bins, ["token", "value"]).select("seq", "token", "bin")
     first = cells.where(F.col("value") == least).where(F.col("token").isNotNull()).select("seq", "token", F.lit(1).alias("bin"))
     return stage(first.unionByName(above), "sweep-cells")

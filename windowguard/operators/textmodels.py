@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from windowguard.functions import scalars as S
 from windowguard.operators import trees
 from windowguard.operators.series import HEAVY_ROWS, prefix_sums
-from windowguard.session import stage
+from windowguard.session import scratch, stage
 
 
 def message_features(df: DataFrame, message: str, trigrams: str = "char") -> DataFrame:
@@ -204,7 +204,13 @@ def fit_predict(train: DataFrame, test: DataFrame, model: str, seed: int = 42) -
         return trees.score(test, trees.grow(train))
     if model != "logistic":
         raise ValueError(f"unknown model {model!r}, use kmeans, tree or logistic")
-    predicted = LogisticRegression(tol=1e-9, maxIter=200).fit(train).transform(test)
+    fitted = LogisticRegression(tol=1e-9, maxIter=200).fit(train)
+    # A fitted model holds its session, which cannot be sent to tasks once it has observed a table; a loaded one does not.
+    path = scratch(train.sparkSession, "logistic")
+    if path is not None:
+        fitted.save(path)
+        fitted = LogisticRegressionModel.load(path)
+    predicted = fitted.transform(test)
     score = F.get(vector_to_array("probability"), F.lit(1))
     return predicted.withColumn("score", score).drop("rawPrediction", "probability", "prediction")
 
