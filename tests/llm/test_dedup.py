@@ -221,6 +221,22 @@ def test_copy_that_says_a_passage_again(spark):
     assert all(r.keep.doc_id == r.doc_id // 2 * 2 for r in got)
 
 
+def test_keys_of_copies_move_as_two_numbers_and_name_all_holders(spark, documents):
+    marked = simhash_dedup.signatures(documents.select("doc_id", "text"))
+    nodes = marked.dropDuplicates(["node"]).cache()
+    keyed = simhash_dedup.copy_keys(nodes)
+    assert [f.dataType.simpleString() for f in keyed.schema] == ["bigint", "bigint"]
+    marks = {r.mark: bytes(r.node) for r in nodes.select(F.xxhash64("node").alias("mark"), "node").collect()}
+    holders = defaultdict(set)
+    for r in keyed.collect():
+        holders[r.key].add(marks[r.mark])
+    want = {(k, len(h), n) for k, h in holders.items() if len(h) > 1 for n in h}
+    got = simhash_dedup.copy_buckets(nodes).collect()
+    assert want and {(r.key, r.n, bytes(r.node)) for r in got} == want and len(got) == len(want)
+    sketches = {bytes(r.node): (r.prints[0], r.size, r.sketch) for r in nodes.collect()}
+    assert all(sketches[bytes(r.node)] == (r.first, r.size, r.sketch) for r in got)
+
+
 def test_dropping_near_copies_keeps_one_row_of_each_group(documents):
     kept = simhash_dedup.drop_copies(documents)
     assert kept.columns == documents.columns

@@ -259,9 +259,9 @@ def sequence_hashes(column: pa.Array) -> list[bytes]:
 
 
 def copy_keys(nodes: DataFrame) -> DataFrame:
-    """(key, node, first, size, sketch): for each segment the Golay keys of its 23 bits, each with a least shingle hash.
+    """(key, mark): for each segment the Golay keys of its 23 bits, each with a least shingle hash.
 
-    ``first`` is the first of the node's fingerprints; size and sketch are the node's.
+    ``mark`` is a hash of the node that keeps the rows short, since most keys are held by one node only.
 
     Similar texts agree in a least shingle as often as they share shingles, which makes the short
     Golay keys selective; the keys in turn split the buckets of common shingles.
@@ -276,16 +276,25 @@ def copy_keys(nodes: DataFrame) -> DataFrame:
                     word = (prints[:, lane] >> np.uint64(shift)) & np.uint64((1 << golay.BITS) - 1)
                     row, near = golay.keys(word)
                     key = arrays.pair(least[row, s], (near << 4 | s).astype(np.uint64))
-                    columns = [
-                        pa.array(key.view(np.int64)),
-                        part.column("node").take(pa.array(row)),
-                        pa.array(prints[row, 0].view(np.int64)),
-                        *(part.column(c).take(pa.array(row)) for c in ("size", "sketch")),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "first", "size", "sketch"])
+                    columns = [pa.array(key.view(np.int64)), part.column("mark").take(pa.array(row))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "mark"])
 
-    usable = nodes.where(F.size("least") > 0).select("prints", "least", "node", "size", "sketch")
-    return usable.mapInArrow(emit, "key long, node binary, first long, size int, sketch array<long>")
+    usable = nodes.where(F.size("least") > 0).select("prints", "least", F.xxhash64("node").alias("mark"))
+    return usable.mapInArrow(emit, "key long, mark long")
+
+
+def copy_buckets(nodes: DataFrame) -> DataFrame:
+    """(key, n, node, first, size, sketch): the nodes of every key that n > 1 nodes have.
+
+    ``first`` is the first of the node's fingerprints; size and sketch are the node's. Nodes of one
+    mark have each other's keys too, which adds candidates and takes none away.
+    """
+    # Counted and met where one shuffle has brought the rows of a key together: both sides read the same columns of it.
+    keyed = copy_keys(nodes).repartition("key")
+    sizes = keyed.groupBy("key").agg(F.count("mark").alias("n")).where("n > 1")
+    buckets = stage(keyed.join(sizes.hint("merge"), "key"), "copy-sized")
+    own = nodes.select(F.xxhash64("node").alias("mark"), "node", F.col("prints")[0].alias("first"), "size", "sketch")
+    return stage(buckets.join(own, "mark").drop("mark"), "copy-buckets")
 
 
 def candidate_copies(buckets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -334,10 +343,10 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted nodes; their texts are read again."""
-    homes = stage(nodes.join(wanted, "node").select("node", F.col("doc_id").alias("owner")), "copy-homes")
+    """The rows of ``wanted``, one per node, with the node's ``shingles``; the texts are read again."""
+    homes = stage(nodes.join(wanted, "node").select(*wanted.columns, F.col("doc_id").alias("owner")), "copy-homes")
     again = docs.join(homes.select("owner").distinct(), F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi")
-    sets = shingle_sets(again).join(homes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = shingle_sets(again).join(homes, "node").groupBy(*wanted.columns).agg(F.first("shingles").alias("shingles"))
     return stage(sets, "copy-sets")
 
 
@@ -360,15 +369,16 @@ def rare_shingles(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     shingle of each partner (prefix filter). Rare shingles come first. ``weight`` is high for texts
     whose shingles many others have.
     """
-    each = sets.select("node", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    each = sets.select("node", "root", F.explode("shingles").alias("shingle"))
     held = each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
-    across = each.join(held.where("low != high").select("shingle", "df"), "shingle")
-    lists = across.groupBy("node", "root", "size").agg(
-        (F.sum("df") / F.col("size")).alias("weight"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("list")
-    )
+    # What belongs to a node joins its list of shingles, not each of them.
+    across = each.select("node", "shingle").join(held.where("low != high").select("shingle", "df"), "shingle")
+    lists = across.groupBy("node").agg(F.sum("df").alias("total"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("list"))
+    known = sets.select("node", "root", F.size("shingles").alias("size")).join(nodes.select("node", "sketch"), "node")
     spare = F.size("list") - F.ceil(percent * F.col("size") / 100).cast("int") + 1
-    first = lists.withColumn("spare", spare).where("spare > 0").join(nodes.select("node", "sketch"), "node")
-    return first.select(F.explode(F.slice("list", 1, F.col("spare"))).alias("at"), "node", "root", "size", "weight", "sketch").select(
+    weight = (F.col("total") / F.col("size")).alias("weight")
+    first = lists.join(known, "node").withColumn("spare", spare).where("spare > 0")
+    return first.select(F.explode(F.slice("list", 1, F.col("spare"))).alias("at"), "node", "root", "size", weight, "sketch").select(
         "at.shingle", "node", "root", "size", "weight", "sketch"
     )
 
@@ -413,11 +423,13 @@ def crowded_links(links: DataFrame, crowded: DataFrame, docs: DataFrame, nodes:
     leaves few classes; then all pairs of different classes are compared that the prefix filter
     allows, so none is left out.
     """
-    sets = sets_of(crowded, docs, nodes)
+    sets = None
     for propose in (lead_pairs, all_pairs):
         links = stage(components(links, "a", "b").select(F.col("node").alias("a"), F.col("root").alias("b")), "copy-contracted")
         roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        classed = sets.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "shingles")
+        wanted = (crowded if sets is None else sets).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        classed = sets_of(wanted, docs, nodes) if sets is None else wanted
+        sets = classed.drop("root") if sets is None else sets
         rare = stage(rare_shingles(classed, nodes, percent), "copy-rare")
         pairs = stage(propose(rare, percent), "copy-pairs")
         links = stage(links.unionByName(similar(pairs, sets, percent)), "copy-links")
@@ -437,7 +449,7 @@ def near_copies(docs: DataFrame, percent: int = round(100 * COPY_SIMILARITY)) ->
     marked = stage(signatures(rows), "signatures")
     nodes = stage(marked.groupBy("node").agg(F.min(F.struct("doc_id", "t1", "t2", "prints", "least", "size", "sketch")).alias("own")), "copy-nodes")
     nodes = nodes.select("node", "own.*")
-    buckets = hamming.sized_buckets(copy_keys(nodes))
+    buckets = copy_buckets(nodes)
     pairs = stage(candidate_copies(buckets, nodes, percent), "copy-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     links = stage(similar(pairs, sets_of(wanted, rows, nodes), percent), "copy-links")
