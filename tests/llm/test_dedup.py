@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from windowguard.llm import components, hamming, line_dedup, simhash_dedup, substring_dedup, suffix_dedup
+from windowguard.session import stage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -309,6 +310,28 @@ def test_edited_lines_of_all_lengths(spark):
     assert len(want) > 85 and lost == want
 
 
+def test_frequent_words_do_not_make_lines_meet(spark, monkeypatch):
+    dice = random.Random(9)
+    common = "the of to in and is".split()
+    lines = []
+    for _ in range(400):
+        rare = ["".join(dice.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(5)]
+        lines.append(" ".join(f"{w} {' '.join(dice.sample(common, 2))}" for w in rare))
+    lines += [line[:-1] + "z" for line in lines[:20]]
+    compared = []
+
+    def counted(df, name):
+        staged = stage(df, name)
+        if name in ("line-pairs", "line-rest"):
+            compared.append(staged.count())
+        return staged
+
+    monkeypatch.setattr(line_dedup, "stage", counted)
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    lost = {r.doc_id for r in line_dedup.report(frame).where("n_removed > 0").collect()}
+    assert lost == set(range(400, 420)) and len(compared) == 2 and sum(compared) < 200
+
+
 def test_empty_tables(no_documents):
     assert substring_dedup.remove_repeats(no_documents).count() == 0
     assert suffix_dedup.remove_repeated_bytes(no_documents).count() == 0
