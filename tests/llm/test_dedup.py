@@ -4,13 +4,14 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
 from windowguard.llm import components, hamming, line_dedup, simhash_dedup, substring_dedup, suffix_dedup
-from windowguard.session import stage
+from windowguard.session import shared_dir, stage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -332,6 +333,22 @@ def test_frequent_words_do_not_make_lines_meet(spark, monkeypatch):
     assert lost == set(range(400, 420)) and len(compared) == 2 and sum(compared) < 200
 
 
+def test_lines_leave_one_table(spark, documents):
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before, codec = set(folder.iterdir()), spark.conf.get("spark.sql.parquet.compression.codec")
+    got = line_dedup.report(documents.where("doc_id is not null"))
+    left = [p.name for p in set(folder.iterdir()) - before]
+    assert len(left) == 1 and left[0].startswith("line-removed-") and got.where("n_removed > 0").count() > 3
+    assert spark.conf.get("spark.sql.parquet.compression.codec") == codec
+
+
+def test_normal_lines(spark):
+    text = "A,b\n c..  D-1234\tE \n\n...\r\n\u00c4\u03a3 \u03a3x9 8\u0663 ,\n-q"
+    frame = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): r.normal for r in line_dedup.lines(frame).collect()}
+    assert got == {(1, 0): "a b", (1, 1): "c d 0 e", (1, 4): "\u00e4\u03c2 \u03c3x0 0\u0663", (1, 5): "q"}
+
+
 def test_empty_tables(no_documents):
     assert substring_dedup.remove_repeats(no_documents).count() == 0
     assert suffix_dedup.remove_repeated_bytes(no_documents).count() == 0
