@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,6 +215,31 @@ def test_templates_equal_plain_linkage(spark, similarity):
     assert Counter(r["template"] for r in got.collect()) == Counter(plain_templates(texts, similarity))
 
 
+def test_templates_of_large_leaves(spark, monkeypatch):
+    from windowguard.operators import logs
+
+    dice = random.Random(3)
+    texts = [" ".join(["p", *dice.choices("abcdefgh", [9, 8, 7, 4, 3, 2, 1, 1], k=dice.choice([4, 6, 9]))]) for _ in range(300)]
+    monkeypatch.setattr(logs, "LEAF_CELLS", 900)
+    got = logs.fit_templates(contents(spark, texts), 0.5)
+    assert Counter(r["template"] for r in got.collect()) == Counter(plain_templates(texts, 0.5))
+
+
+def test_templates_leave_few_tables(spark):
+    from windowguard.session import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    texts = [f"start {a} {b} {c} end{c}x" for a in ("red", "blue") for b in ("fox", "hen", "cow") for c in "uvw"]
+    texts += ["start over again my friend", "user ada logged in", "user bob logged in", "alone as it is"]
+    got = logs.fit_templates(contents(spark, texts)).collect()
+    assert sorted(r["template"] for r in got) == ["alone as it is", "start <*> <*> <*> <*>", "start over again my friend", "user <*> logged in"]
+    # Of texts there are the lines and the templates; a line of a leaf of its own is nowhere twice.
+    left = {p.name.rsplit("-", 1)[0]: p for p in set(folder.iterdir()) - before}
+    assert set(left) == {"log-lines", "log-varied", "log-leaves", "log-whole", "log-mixed"}
+    assert "tokens" not in spark.read.parquet(str(left["log-lines"])).columns
+
+
 def test_connected_groups(spark):
     from windowguard.operators.components import connected
 

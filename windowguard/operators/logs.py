@@ -9,7 +9,7 @@ from windowguard import constants as K
 from windowguard.functions import scalars as S
 from windowguard.operators.components import connected
 from windowguard.operators.series import fill_windows
-from windowguard.session import stage
+from windowguard.session import stage, stage_alone
 
 WILDCARD = "<*>"
 UNMATCHED = "-1"
@@ -58,74 +58,104 @@ def condense(parsed: DataFrame, window_ms: int = K.WINDOW_MS, *extra: Column) ->
 
 
 LEAF = ["n_tokens", "first_token"]
+#: Leaves of more tokens than this are not handled by one task.
+LEAF_CELLS = 1 << 21
 
 
-def _positions(lines: DataFrame, *keys: str) -> DataFrame:
-    """The token of each position within the lines of the same keys, a wildcard where they differ."""
-    token = F.when(F.min("token") == F.max("token"), F.min("token")).otherwise(WILDCARD)
-    return (
-        lines.select(*keys, F.posexplode_outer("tokens").alias("position", "token"))
-        .fillna("", subset=["token"])
-        .groupBy(*keys, "position")
-        .agg(token.alias("token"), F.count("*").alias("lines"))
-    )
+def _numbered(parsed: DataFrame) -> DataFrame:
+    """(line, masked) and the leaf of every masked text; only the text is shuffled."""
+    if "masked" not in parsed.columns:
+        parsed = parsed.withColumn("masked", _masked())
+    return _template_key(parsed.select("masked").distinct()).select(F.monotonically_increasing_id().alias("line"), *LEAF, "masked")
 
 
-def _texts(positions: DataFrame, *keys: str) -> DataFrame:
-    """The template text of each group of lines, how many tokens of it are constant, and its lines."""
-    ordered = F.array_sort(F.collect_list(F.struct("position", "token")))
-    return positions.groupBy(*keys).agg(
-        F.array_join(F.transform(ordered, lambda p: p["token"]), " ").alias("template"),
-        F.count(F.when(F.col("token") != WILDCARD, 1)).alias("common"),
-        F.max("lines").alias("lines"),
-    )
+def _with_leaves(lines: DataFrame) -> DataFrame:
+    """The numbered lines with the least line of their leaf and the number of its lines."""
+    leaves = lines.groupBy(*LEAF).agg(F.min("line").alias("leaf"), F.count("*").alias("leaf_lines")).toDF("_n", "_first", "leaf", "leaf_lines")
+    return lines.join(leaves, F.col("n_tokens").eqNullSafe(F.col("_n")) & (F.col("first_token") == F.col("_first"))).drop("_n", "_first")
 
 
-def similar_lines(lines: DataFrame) -> DataFrame:
-    """(masked, root): groups, each with a name of its own, of lines linked by similarity, within each leaf of the token tree.
+def _varied(lines: DataFrame, group: str) -> DataFrame:
+    """(group, position): where a group, named by one of its lines, has a wildcard or more than one token."""
+    first = lines.where(F.col("line") == F.col(group)).select(group, F.col("masked").alias("_first"))
+    unlike = F.zip_with(F.split("masked", " "), F.split("_first", " "), lambda x, y: (x != y) | (x == WILDCARD))
+    marked = lines.select(group, "masked").join(first, group).select(group, F.posexplode(unlike).alias("position", "_unlike"))
+    return marked.where("_unlike").select(group, "position").distinct()
 
-    ``lines`` has one row per masked text with its leaf, tokens, and ``need``, the number of equal
-    constant tokens that links two lines. Two such lines share one of the rarest (position, token)
-    pairs of each, as many as a line may miss and one more. So lines meet at those: first with the
-    least line of a pair, then all those that are still in different groups. Every meeting is verified.
+
+def _reduced(lines: DataFrame, varied: DataFrame, group: str) -> DataFrame:
+    """The leaf and template of each group: the tokens of the line that names it, with wildcards at the varied positions."""
+    first = lines.where(F.col("line") == F.col(group)).select(group, F.posexplode(F.split("masked", " ")).alias("position", "token"))
+    marked = first.join(varied.withColumn("_wild", F.lit(True)), [group, "position"], "left")
+    token = F.when(F.col("_wild"), WILDCARD).otherwise(F.col("token"))
+    ordered = marked.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("position", token.alias("token")))).alias("_tokens"))
+    tokens = F.transform("_tokens", lambda p: p["token"])
+    # The first token is that of all lines of the leaf.
+    return ordered.select(F.size("_tokens").alias("n_tokens"), F.get(tokens, F.lit(0)).alias("first_token"), F.array_join(tokens, " ").alias("template"))
+
+
+def _cells(lines: DataFrame) -> DataFrame:
+    """(leaf, need, line, cell) of the constant tokens; a cell is a hash of leaf, position and token.
+
+    A line has about as many cells as tokens, so keys and links hold numbers, never a text. Equal
+    hashes of unlike cells only make more lines meet.
     """
-    # A line has about as many keys as tokens, so keys and links hold its number, never its text.
-    lines = stage(lines.withColumn("line", F.monotonically_increasing_id()), "log-lines")
-    cells = lines.select(*LEAF, "need", "line", F.posexplode("tokens").alias("position", "token"))
-    cells = cells.where(F.col("token") != WILDCARD)
-    holders = cells.groupBy(*LEAF, "position", "token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = cells.join(holders, [*LEAF, "position", "token"])
-    of_line = Window.partitionBy("line")
+    tokens = lines.select("leaf", "need", "line", F.posexplode(F.split("masked", " ")).alias("position", "token"))
+    return tokens.where(F.col("token") != WILDCARD).select("leaf", "need", "line", F.xxhash64("leaf", "position", "token").alias("cell"))
+
+
+def _rarest(shared: DataFrame) -> DataFrame:
+    """(cell, line): of the cells with ``df`` > 1 lines, the rarest of each line, as many as it may miss and one more."""
+    of_line = Window.partitionBy("leaf", "line")
     places = {
-        "place": F.row_number().over(of_line.orderBy("df", "position")),
+        "place": F.row_number().over(of_line.orderBy("df", "cell")),
         "size": F.count("*").over(of_line),
     }
-    pairs_of_line = shared.withColumns(places).where(F.col("place") <= F.col("size") - F.col("need") + 1)
-    # The number of a (leaf, position, token) is its least line and the position: two of one position never share a line.
-    key = ["position", "least"]
-    named = pairs_of_line.groupBy(*LEAF, "position", "token").agg(F.min("line").alias("least"))
-    keys = stage(pairs_of_line.join(named, [*LEAF, "position", "token"]).select(*key, "line"), "log-keys")
-    tokens = lines.select("line", "tokens", "need")
+    return shared.withColumns(places).where(F.col("place") <= F.col("size") - F.col("need") + 1).select("cell", "line")
+
+
+def similar_lines(lines: DataFrame) -> DataFrame:
+    """(line, root): the least line of its group for every line that is linked to another one of its leaf.
+
+    ``lines`` has one row per masked text with its number, its leaf, the lines and tokens of that, and
+    ``need``, the number of equal constant tokens that links two lines. Two such lines share one of the rarest (position, token)
+    pairs of each, as many as a line may miss and one more. So lines meet at those: first with the
+    least line of a pair, then all those that are still in different groups. Every meeting is verified.
+    """
+    # Most leaves have few lines: their texts, shorter than their cells, are moved, and the cells of a leaf stay in one task.
+    small = F.col("leaf_lines") * F.col("n_tokens") <= LEAF_CELLS
+    of_leaf = Window.partitionBy("leaf", "cell")
+    rare = _rarest(_cells(lines.where(small).repartition("leaf")).withColumn("df", F.count("*").over(of_leaf)).where("df > 1"))
+    large = lines.where(~small)
+    if not large.isEmpty():
+        cells = _cells(large)
+        holders = stage(cells.groupBy("leaf", "cell").agg(F.count("*").alias("df")).where("df > 1"), "log-cells")
+        rare = rare.unionByName(_rarest(cells.join(holders, ["leaf", "cell"])))
+    keys = stage(rare, "log-keys")
+    # Few lines share enough cells to have keys; only their texts are moved.
+    held = lines.select("line", "leaf", "need", "masked").join(keys.select("line").distinct(), "line", "left_semi")
+    held = stage(held, "log-held")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct().join(tokens, "line")
-        pairs = pairs.join(tokens.select(F.col("line").alias("other"), F.col("tokens").alias("_others")), "other")
-        equal = F.zip_with("tokens", "_others", lambda x, y: ((x == y) & (x != WILDCARD)).cast("int"))
+        pairs = pairs.distinct().join(held, "line")
+        pairs = pairs.join(held.select(F.col("line").alias("other"), F.col("leaf").alias("_leaf"), F.col("masked").alias("_others")), "other")
+        equal = F.zip_with(F.split("masked", " "), F.split("_others", " "), lambda x, y: ((x == y) & (x != WILDCARD)).cast("int"))
         total = F.aggregate(equal, F.lit(0), lambda n, x: n + x)
-        return pairs.where(total >= F.col("need")).select("line", "other")
+        return pairs.where((F.col("leaf") == F.col("_leaf")) & (total >= F.col("need"))).select("line", "other")
 
-    links = stage(verified(keys.where("line <> least").select("line", F.col("least").alias("other"))), "log-links")
+    least = keys.groupBy("cell").agg(F.min("line").alias("other"))
+    links = stage(verified(keys.join(least, "cell").where("line <> other").select("line", "other")), "log-links")
     roots = connected(links, "line", "other").select(F.col("node").alias("line"), "root")
     rooted = stage(keys.join(roots, "line", "left").withColumn("root", F.coalesce("root", "line")), "log-rooted")
-    # Keys whose lines are in one group already are done.
-    open_keys = rooted.groupBy(*key).agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select(*key)
-    rooted = rooted.join(open_keys, key, "left_semi")
-    mates = rooted.select(*key, F.col("line").alias("other"), F.col("root").alias("_root"))
-    apart = rooted.join(mates, key).where((F.col("line") < F.col("other")) & (F.col("root") != F.col("_root")))
+    # Cells whose lines are in one group already are done.
+    open_keys = rooted.groupBy("cell").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("cell")
+    rooted = rooted.join(open_keys, "cell", "left_semi")
+    mates = rooted.select("cell", F.col("line").alias("other"), F.col("root").alias("_root"))
+    apart = rooted.join(mates, "cell").where((F.col("line") < F.col("other")) & (F.col("root") != F.col("_root")))
     more = stage(verified(apart.select("line", "other")), "log-links")
     if not more.isEmpty():
         roots = connected(links.unionByName(more), "line", "other").select(F.col("node").alias("line"), "root")
-    return lines.select("line", "masked").join(roots, "line").select("masked", F.concat(F.lit("\n"), "root").alias("root"))  # unlike any text
+    return roots
 
 
 def fit_templates(parsed: DataFrame, similarity: float = K.TEMPLATE_SIMILARITY) -> DataFrame:
@@ -135,20 +165,35 @@ def fit_templates(parsed: DataFrame, similarity: float = K.TEMPLATE_SIMILARITY)
     least ``similarity`` of their tokens are equal and constant (tokens with a digit are wildcards from
     the start and never count), and linked lines, directly or by others, make one template, in which
     tokens that vary are wildcards. A leaf whose lines all agree on that many tokens is one template
-    without any comparison. The result does not depend on the order of the lines.
+    without any comparison, and the line of a leaf of its own is one as it is. The result does not
+    depend on the order of the lines.
     """
-    need = F.ceil(F.lit(similarity) * F.col("n_tokens") - F.lit(1e-9)).cast("int")
-    lines = _template_key(parsed).select(*LEAF, "masked", "tokens").distinct()
-    lines = stage(lines.withColumn("need", need), "log-texts")
-    whole = stage(_texts(_positions(lines, *LEAF, "need"), *LEAF, "need"), "log-leaves")
-    mixed = (F.col("lines") > 1) & (F.col("common") < F.col("need"))
-    found = whole.where(~mixed).select(*LEAF, "template")
-    split = whole.where(mixed).select(*LEAF)
-    if not split.isEmpty():
-        rest = lines.join(split, LEAF, "left_semi")
-        grouped = rest.join(similar_lines(rest), "masked", "left").withColumn("root", F.coalesce("root", "masked"))
-        texts = _texts(_positions(grouped, *LEAF, "root"), *LEAF, "root")
-        found = found.unionByName(texts.select(*LEAF, "template").distinct())
+
+    def leaves() -> DataFrame:
+        return _with_leaves(stage_alone(lambda: _numbered(parsed), "log-texts", "zstd"))
+
+    lines = stage_alone(leaves, "log-lines", "zstd")
+    found = lines.where("leaf_lines = 1").select(*LEAF, F.coalesce("masked", F.lit("")).alias("template"))
+    many = lines.where("leaf_lines > 1").withColumn("need", F.ceil(F.lit(similarity) * F.col("n_tokens") - F.lit(1e-9)).cast("int"))
+    varied = stage_alone(lambda: _varied(many, "leaf"), "log-varied", "zstd")
+    common = F.col("n_tokens") - F.col("_varied")
+    counted = many.where("line = leaf").join(varied.groupBy("leaf").agg(F.count("*").alias("_varied")), "leaf")
+    mixed = stage_alone(lambda: counted.where(common < F.col("need")).select("leaf"), "log-leaves")
+    whole = many.join(mixed, "leaf", "left_anti")
+    found = found.unionByName(stage_alone(lambda: _reduced(whole, varied, "leaf"), "log-whole", "zstd"))
+    if not mixed.isEmpty():
+
+        def grouped() -> DataFrame:
+            rest = stage_alone(lambda: many.join(mixed, "leaf", "left_semi"), "log-rest", "zstd")
+            return rest.join(similar_lines(rest), "line", "left")
+
+        def texts() -> DataFrame:
+            rest = stage_alone(grouped, "log-grouped", "zstd")
+            linked = rest.where("root is not null")
+            alone = rest.where("root is null").select(*LEAF, F.col("masked").alias("template"))
+            return _reduced(linked, _varied(linked, "root"), "root").unionByName(alone).distinct()
+
+        found = found.unionByName(stage_alone(texts, "log-mixed", "zstd"))
     return found.withColumn("template_id", F.md5("template"))
 
 
