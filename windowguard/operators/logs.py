@@ -75,12 +75,12 @@ def _with_leaves(lines: DataFrame) -> DataFrame:
     return lines.join(leaves, F.col("n_tokens").eqNullSafe(F.col("_n")) & (F.col("first_token") == F.col("_first"))).drop("_n", "_first")
 
 
-def _varied(lines: DataFrame, group: str) -> DataFrame:
-    """(group, position): where a group, named by one of its lines, has a wildcard or more than one token."""
+def _varied(lines: DataFrame, group: str, *more: str) -> DataFrame:
+    """(group, position): where a group, named by one of its lines, has a wildcard or more than one token; ``more`` are the same in a group."""
     first = lines.where(F.col("line") == F.col(group)).select(group, F.col("masked").alias("_first"))
     unlike = F.zip_with(F.split("masked", " "), F.split("_first", " "), lambda x, y: (x != y) | (x == WILDCARD))
-    marked = lines.select(group, "masked").join(first, group).select(group, F.posexplode(unlike).alias("position", "_unlike"))
-    return marked.where("_unlike").select(group, "position").distinct()
+    marked = lines.select(group, *more, "masked").join(first, group).select(group, *more, F.posexplode(unlike).alias("position", "_unlike"))
+    return marked.where("_unlike").select(group, *more, "position").distinct()
 
 
 def _reduced(lines: DataFrame, varied: DataFrame, group: str) -> DataFrame:
@@ -114,31 +114,35 @@ def _rarest(shared: DataFrame) -> DataFrame:
     return shared.withColumns(places).where(F.col("place") <= F.col("size") - F.col("need") + 1).select("cell", "line")
 
 
-def similar_lines(lines: DataFrame) -> DataFrame:
-    """(line, root): the least line of its group for every line that is linked to another one of its leaf.
+def leaf_keys(lines: DataFrame) -> DataFrame:
+    """(cell, line): the keys at which the lines of a leaf meet that may be similar.
 
     ``lines`` has one row per masked text with its number, its leaf, the lines and tokens of that, and
-    ``need``, the number of equal constant tokens that links two lines. Two such lines share one of the rarest (position, token)
-    pairs of each, as many as a line may miss and one more. So lines meet at those: first with the
-    least line of a pair, then all those that are still in different groups. Every meeting is verified.
+    ``need``, the number of equal constant tokens that links two lines. Two such lines share one of the
+    rarest (position, token) pairs of each, as many as a line may miss and one more.
     """
     # Most leaves have few lines: their texts, shorter than their cells, are moved, and the cells of a leaf stay in one task.
     small = F.col("leaf_lines") * F.col("n_tokens") <= LEAF_CELLS
     of_leaf = Window.partitionBy("leaf", "cell")
-    rare = _rarest(_cells(lines.where(small).repartition("leaf")).withColumn("df", F.count("*").over(of_leaf)).where("df > 1"))
+    rare = _rarest(_cells(lines.where(small)).withColumn("df", F.count("*").over(of_leaf)).where("df > 1"))
     large = lines.where(~small)
     if not large.isEmpty():
         cells = _cells(large)
         holders = stage(cells.groupBy("leaf", "cell").agg(F.count("*").alias("df")).where("df > 1"), "log-cells")
         rare = rare.unionByName(_rarest(cells.join(holders, ["leaf", "cell"])))
-    keys = stage(rare, "log-keys")
-    # Few lines share enough cells to have keys; only their texts are moved.
-    held = lines.select("line", "leaf", "need", "masked").join(keys.select("line").distinct(), "line", "left_semi")
-    held = stage(held, "log-held")
+    return stage(rare, "log-keys")
+
+
+def similar_lines(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """(line, root): the least line of its group for every line that is linked to another one of its leaf.
+
+    ``lines`` are those with ``keys``. They meet at those: first with the least line of a key, then all
+    those that are still in different groups. Every meeting is verified.
+    """
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct().join(held, "line")
-        pairs = pairs.join(held.select(F.col("line").alias("other"), F.col("leaf").alias("_leaf"), F.col("masked").alias("_others")), "other")
+        pairs = pairs.distinct().join(lines.select("line", "leaf", "need", "masked"), "line")
+        pairs = pairs.join(lines.select(F.col("line").alias("other"), F.col("leaf").alias("_leaf"), F.col("masked").alias("_others")), "other")
         equal = F.zip_with(F.split("masked", " "), F.split("_others", " "), lambda x, y: ((x == y) & (x != WILDCARD)).cast("int"))
         total = F.aggregate(equal, F.lit(0), lambda n, x: n + x)
         return pairs.where((F.col("leaf") == F.col("_leaf")) & (total >= F.col("need"))).select("line", "other")
@@ -158,6 +162,24 @@ def similar_lines(lines: DataFrame) -> DataFrame:
     return roots
 
 
+def _mixed_templates(many: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The leaf and template of the lines of mixed leaves, each once."""
+    keys = stage_alone(lambda: leaf_keys(many.repartition("leaf").join(mixed, "leaf", "left_semi")), "log-keyed")
+    # Few lines share enough cells to have keys. Which do is told by numbers, so texts are moved once.
+    keyed = keys.select("line", F.lit(True).alias("keyed")).distinct()
+    wanted = stage(many.select("leaf", "line").join(mixed, "leaf", "left_semi").select("line").join(keyed, "line", "left"), "log-wanted")
+    rest = stage_alone(lambda: many.join(wanted, "line"), "log-rest", "zstd")
+    held = rest.where("keyed").drop("keyed")
+    linked = stage_alone(lambda: held.join(similar_lines(held, keys), "line", "left"), "log-grouped", "zstd")
+    groups = linked.where("root is not null")
+    texts = _reduced(groups, _varied(groups, "root"), "root")
+    alone = rest.where("keyed is null").select(*LEAF, F.col("masked").alias("template"))
+    alone = alone.unionByName(linked.where("root is null").select(*LEAF, F.col("masked").alias("template")))
+    # The template of a group has a wildcard, so no line without one can say the same.
+    wild = F.contains("template", F.lit(WILDCARD))
+    return texts.unionByName(alone.where(wild)).distinct().unionByName(alone.where(~wild))
+
+
 def fit_templates(parsed: DataFrame, similarity: float = K.TEMPLATE_SIMILARITY) -> DataFrame:
     """Templates of the lines: (n_tokens, first_token, template, template_id).
 
@@ -175,25 +197,18 @@ def fit_templates(parsed: DataFrame, similarity: float = K.TEMPLATE_SIMILARITY)
     lines = stage_alone(leaves, "log-lines", "zstd")
     found = lines.where("leaf_lines = 1").select(*LEAF, F.coalesce("masked", F.lit("")).alias("template"))
     many = lines.where("leaf_lines > 1").withColumn("need", F.ceil(F.lit(similarity) * F.col("n_tokens") - F.lit(1e-9)).cast("int"))
-    varied = stage_alone(lambda: _varied(many, "leaf"), "log-varied", "zstd")
-    common = F.col("n_tokens") - F.col("_varied")
-    counted = many.where("line = leaf").join(varied.groupBy("leaf").agg(F.count("*").alias("_varied")), "leaf")
-    mixed = stage_alone(lambda: counted.where(common < F.col("need")).select("leaf"), "log-leaves")
-    whole = many.join(mixed, "leaf", "left_anti")
-    found = found.unionByName(stage_alone(lambda: _reduced(whole, varied, "leaf"), "log-whole", "zstd"))
-    if not mixed.isEmpty():
 
-        def grouped() -> DataFrame:
-            rest = stage_alone(lambda: many.join(mixed, "leaf", "left_semi"), "log-rest", "zstd")
-            return rest.join(similar_lines(rest), "line", "left")
+    def varied_of_whole() -> DataFrame:
+        varied = _varied(many, "leaf", "n_tokens", "need").withColumn("_varied", F.count("*").over(Window.partitionBy("leaf")))
+        return varied.where(F.col("n_tokens") - F.col("_varied") >= F.col("need")).select("leaf", "position")
 
-        def texts() -> DataFrame:
-            rest = stage_alone(grouped, "log-grouped", "zstd")
-            linked = rest.where("root is not null")
-            alone = rest.where("root is null").select(*LEAF, F.col("masked").alias("template"))
-            return _reduced(linked, _varied(linked, "root"), "root").unionByName(alone).distinct()
-
-        found = found.unionByName(stage_alone(texts, "log-mixed", "zstd"))
+    # Lines of a leaf differ, so each leaf has varied positions; mixed leaves have too many.
+    varied = stage_alone(varied_of_whole, "log-varied", "zstd")
+    whole = varied.select("leaf").distinct()
+    mixed = stage_alone(lambda: many.where("line = leaf").select("leaf").join(whole, "leaf", "left_anti"), "log-leaves")
+    found = found.unionByName(stage_alone(lambda: _reduced(many.join(mixed, "leaf", "left_anti"), varied, "leaf"), "log-whole", "zstd"))
+    if not mixed.isEmpty():
+        found = found.unionByName(stage_alone(lambda: _mixed_templates(many, mixed), "log-mixed", "zstd"))
     return found.withColumn("template_id", F.md5("template"))
 
 
