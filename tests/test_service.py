@@ -240,6 +240,13 @@ def test_templates_leave_few_tables(spark):
     assert "tokens" not in spark.read.parquet(str(left["log-lines"])).columns
 
 
+def test_frames_written_one_after_the_other_are_one_table(spark):
+    from windowguard.session import stage_alone
+
+    got = stage_alone(lambda: [spark.range(3), spark.range(3, 5)], "parts")
+    assert sorted(r["id"] for r in got.collect()) == [0, 1, 2, 3, 4]
+
+
 def test_connected_groups(spark):
     from windowguard.operators.components import connected
 

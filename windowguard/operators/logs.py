@@ -191,8 +191,11 @@ def fit_templates(parsed: DataFrame, similarity: float = K.TEMPLATE_SIMILARITY)
     depend on the order of the lines.
     """
 
-    def leaves() -> DataFrame:
-        return _with_leaves(stage_alone(lambda: _numbered(parsed), "log-texts", "zstd"))
+    def leaves() -> list[DataFrame]:
+        texts = stage_alone(lambda: _numbered(parsed), "log-texts", "zstd")
+        # Half of the leaves at a time, as all texts are on disk twice already.
+        half = F.pmod(F.xxhash64(*LEAF), F.lit(2))
+        return [_with_leaves(texts.where(half == i)) for i in range(2)]
 
     lines = stage_alone(leaves, "log-lines", "zstd")
     found = lines.where("leaf_lines = 1").select(*LEAF, F.coalesce("masked", F.lit("")).alias("template"))
